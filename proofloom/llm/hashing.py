@@ -22,7 +22,7 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> _U(33))
 
 
-def _power(kind: str, n: int) -> np.ndarray:
+def power(kind: str, n: int) -> np.ndarray:
     if len(_powers[kind]) < n:
         steps = np.full(max(n, 2_500_000), _BASE if kind == "up" else _BASE_INVERSE, _U)
         steps[0] = 1
@@ -53,8 +53,8 @@ def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     end[edges - 1] = solid[edges - 1]
     starts, ends = np.flatnonzero(begin), np.flatnonzero(end) + 1
     sums = np.zeros(len(data) + 1, _U)
-    np.cumsum(_BYTE[_LOWER[data]] * _power("up", len(data)), out=sums[1:])
-    hashes = mixed((sums[ends] - sums[starts]) * _power("down", len(data))[starts] + (ends - starts).astype(_U))
+    np.cumsum(_BYTE[_LOWER[data]] * power("up", len(data)), out=sums[1:])
+    hashes = mixed((sums[ends] - sums[starts]) * power("down", len(data))[starts] + (ends - starts).astype(_U))
     return hashes, np.searchsorted(starts, offsets).astype(np.int64)
 
 

@@ -9,7 +9,7 @@ link when 100 * intersection >= 90 * union.
 3. Index. By the prefix filter, sets that link share one of their n - ceil(0.9 n) + 1 first shingles. Index lists hold
    (set, size, position); entries whose size or position rules a link out are skipped before any set is read, and a
    parity sketch of each set gives an exact lower bound of the symmetric difference that skips most of what is left.
-4. Answers. In each list every set is compared with the list's least entry alone, its most frequent hub first. A set
+4. Answers. In each list every set is compared with the entry of least position alone, the one that can share most with the others. A set
    that links with its hub takes over the hub's answers, for what reaches the one reaches the other; only pairs of a
    list that are not yet in one component are compared after that, so a group of copies costs no more than its size.
 
@@ -159,7 +159,7 @@ def linked(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, bits: int
     # A class is the rows of one set; its id is the least doc_id. An id may name several sets where rows share it.
     sets = stored(some.groupBy("print", "n").agg(F.min("doc_id").alias("rep"), F.min_by("prefix", "doc_id").alias("prefix"), F.min_by("sketch", "doc_id").alias("sketch")), "classes")
     entries = sets.select("rep", "n", F.posexplode("prefix").alias("pos", "token"))
-    order = Window.partitionBy("token").orderBy("n", "rep")
+    order = Window.partitionBy("token").orderBy("pos", "n", "rep")
     listed = entries.withColumns({"hub": F.first(F.struct("rep", "n", "pos")).over(order), "before": F.lag("rep").over(order), "after": F.lead("rep").over(order)})
     lists = stored(listed.filter("before IS NOT NULL OR after IS NOT NULL").drop("before", "after"), "lists")
 

@@ -1,8 +1,8 @@
 """Operator 6: a quality classifier, histogram gradient-boosted trees over document statistics.
 
 A text becomes a row of statistics of its characters, words and lines. Trees are grown level by level on histograms of
-at most 64 quantile bins, with the logistic loss, on at most MAX_ROWS labelled rows (those whose hashed doc_id is
-least); a finished tree is three flat arrays in heap order, walked for all rows at once. Labels, lang, source and doc_id
+at most 64 quantile bins, with the logistic loss, on at most MAX_ROWS labelled rows (an even share by hashed doc_id
+where there are more); a finished tree is three flat arrays in heap order, walked for all rows at once. Labels, lang, source and doc_id
 are never inputs of a score.
 
 Null and empty texts have statistics of zero and get a score like any other. Without labels every score is 0.5. A label
@@ -137,7 +137,10 @@ def held_out(doc_id: int | None) -> bool:
 def fit(features: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Trees:
     """Learns from at most max_rows labelled rows, none of them held out; those rows are what reaches the driver."""
     known = labels.filter("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("quality")).filter(F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
-    rows = features.join(known, "doc_id").select("doc_id", "x", "quality").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows).toPandas()
+    total = known.count()
+    if total > max_rows:  # an even share by hashed doc_id, a little below the bound
+        known = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(2**32)) < int(0.97 * max_rows / total * 2**32))
+    rows = features.join(known, "doc_id").select("x", "quality").toPandas()
     x = np.stack(rows["x"].to_list()).astype(np.float32) if len(rows) else np.zeros((0, N_FEATURES), np.float32)
     return grow(x, rows["quality"].to_numpy(np.float64))
 

@@ -29,7 +29,7 @@ from .common import slices, table
 MARK = "▁"
 RATE, SEED, VARIANTS = 0.1, 20240, 4
 HEAP_FROM = 48
-BATCH_BYTES = 4_000_000
+BATCH_BYTES = 1_500_000
 #: Stands for a space mark of the text itself until it becomes bytes; not a character, so no valid text holds it.
 _OWN_MARK = "\udcff"
 _loaded: dict[tuple, "Pieces"] = {}
@@ -279,14 +279,16 @@ def decode(encoded: DataFrame, model: str, name: str = "decoded") -> DataFrame:
     return encoded.mapInArrow(run, StructType([*encoded.schema.fields, StructField(name, StringType())]))
 
 
-def digested(encoded: DataFrame) -> DataFrame:
-    """(doc_id, n_tokens, ids_crc32, lossless): ids_crc32 of the ids as little-endian unsigned 32-bit integers."""
+def digested(encoded: DataFrame, model: str) -> DataFrame:
+    """(doc_id, n_tokens, ids_crc32, lossless): the ids' crc32 as little-endian unsigned 32-bit integers, and whether they decode to the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = Pieces.load(model)
         for b in batches:
-            crc = [zlib.crc32(x.values.to_numpy(zero_copy_only=False).astype("<u4").tobytes()) if x.is_valid else None for x in b.column("ids")]
-            same = [x.as_py() == y.as_py() for x, y in zip(b.column("text"), b.column("decoded"), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_tokens"), pa.array(crc, pa.int64()), pa.array(same)], names=["doc_id", "n_tokens", "ids_crc32", "lossless"])
+            ids = [x.values.to_numpy(zero_copy_only=False) if x.is_valid else None for x in b.column("ids")]
+            crc = [None if x is None else zlib.crc32(x.astype("<u4").tobytes()) for x in ids]
+            same = [t.as_py() == (None if x is None else pieces.decode(x)) for x, t in zip(ids, b.column("text"), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_tokens"), pa.array(crc, pa.int64()), pa.array(same, pa.bool_())], names=["doc_id", "n_tokens", "ids_crc32", "lossless"])
 
     return encoded.mapInArrow(run, "doc_id long, n_tokens long, ids_crc32 long, lossless boolean")
 
@@ -295,4 +297,4 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     model = public_tokenizers.path("piece_bpe_32k.model")
-    return digested(decode(encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model), model))
+    return digested(encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model), model)

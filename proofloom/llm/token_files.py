@@ -127,7 +127,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int,
     """Writes the file set; what reaches the driver is one row for each file."""
     spark = docs.sparkSession
     files = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(files, "doc_id", "text").sortWithinPartitions("doc_id", "text")
+    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", "text")
     rows = sorted(ordered.mapInArrow(_writer(folder, tokenizer, end_id), "part long, docs long, ids long, width long").collect())
     bases = np.concatenate([[0], np.cumsum([r.ids for r in rows])]).tolist()
     return TokenFiles(folder, max([2, *(r.width for r in rows)]), [(r.part, r.docs, r.ids, int(b)) for r, b in zip(rows, bases, strict=False)])

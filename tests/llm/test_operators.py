@@ -269,8 +269,8 @@ def lines_brute(rows):
     for i, t in sorted(dict(rows).items()):
         for place, x in enumerate((t or "").split("\n")):
             if own := line_dedup.normalised(x):
-                padded = own.ljust(5, "\0")
-                lines.setdefault(own, {padded[k : k + 5] for k in range(len(padded) - 4)})
+                padded = own.decode().ljust(line_dedup.SHINGLE, "\0")
+                lines.setdefault(own, {padded[k : k + line_dedup.SHINGLE] for k in range(len(padded) - line_dedup.SHINGLE + 1)})
                 where[own].append((i, place))
     parent = {x: x for x in lines}
 
@@ -319,13 +319,14 @@ def test_band_recall():
     for _ in range(300):
         a = "".join(rng.choice(list("abcdefgh "), 240))
         b = list(a)
-        for at in rng.integers(0, 240, 4):
+        for at in rng.integers(0, 240, 3):
             b[at] = "z"
-        x, own = line_dedup.shingle_hashes([a, "".join(b)])
+        a, b = a.encode(), "".join(b).encode()
+        x, own = line_dedup.shingle_hashes([a, b])
         p, q = set(x[own == 0].tolist()), set(x[own == 1].tolist())
         if len(p & q) >= 0.8 * len(p | q):
             total += 1
-            k = line_dedup.band_keys([a, "".join(b)])
+            k = line_dedup.band_keys([a, b])
             found += bool((k[0] == k[1]).any())
     assert total > 100 and found / total > 0.97
 
