@@ -105,16 +105,19 @@ def report(docs: DataFrame, items: DataFrame, max_windows: int = MAX_WINDOWS) ->
 
 def clean(docs: DataFrame, items: DataFrame, remove: str = "documents") -> DataFrame:
     """docs without the documents that are hit or, with remove="spans", without the words that are hit."""
-    rows, _ = with_hits(docs, items)
+    # A document travels as one column, so its own columns never clash with those of the search.
+    rows, _ = with_hits(docs.select(F.struct("*").alias("own"), "text"), items)
     if remove == "documents":
-        return rows.filter("n_hit = 0").select(docs.columns)
+        # Written first: a filter that sank below the search would split the text again for every word it looks at.
+        return stored(rows.select("own", "n_hit"), "searched").filter("n_hit = 0").select("own.*")
     # Pieces alternate between words and what stands between them; `lead` is 1 if a text does not begin with a word.
     word = r"[0-9A-Za-z\x{80}-\x{10FFFF}]"
     pieces = F.regexp_extract_all("text", F.lit(rf"{word}+|[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), F.lit(0))
     rows = rows.withColumn("pieces", pieces).withColumn("lead", F.when(F.col("text").rlike(rf"\A{word}"), 0).otherwise(1))
     rows = rows.withColumn("gone", F.expr("array_distinct(flatten(transform(hits, h -> sequence(h.s, h.s + h.n - 1))))"))
     left = F.expr("array_join(filter(pieces, (p, i) -> NOT ((i + lead) % 2 = 0 AND array_contains(gone, cast((i - lead) div 2 as int)))), '')")
-    return rows.withColumn("text", F.when(F.col("n_hit") > 0, left).otherwise(F.col("text"))).select(docs.columns)
+    text = F.when(F.col("n_hit") > 0, left).otherwise(F.col("text"))
+    return rows.select(*(text.alias(c) if c == "text" else F.col("own").getField(c).alias(c) for c in docs.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
