@@ -389,3 +389,14 @@ def test_heap_and_rounds_agree():
         key = pieces._unit_keys(np.array([3]), chars, np.arange(len(unit)), np.array([0]))
         _, start, end, ids = pieces._rounds(chars, np.array([len(unit)]), key)
         assert pieces._out(unit, ids.tolist(), start.tolist(), end.tolist()) == pieces.by_heap(3, unit)
+
+
+def test_decontamination_keeps_columns_with_its_own_names(spark):
+    docs = spark.createDataFrame([(1, "one two three four", 7, "x", 3), (2, "clean", None, "y", 0), (3, None, 1, None, 2)], "doc_id long, text string, w int, hits string, n_hit int")
+    items = spark.createDataFrame([(1, "two three")], "item_id long, text string")
+    kept = decontamination.clean(docs, items)
+    assert kept.columns == docs.columns
+    assert sorted(kept.collect()) == sorted(docs.filter("doc_id > 1").collect())
+    cut = decontamination.clean(docs, items, remove="spans")
+    assert cut.columns == docs.columns
+    assert [(r.w, r.hits, r.n_hit) for r in cut.orderBy("doc_id").collect()] == [(7, "x", 3), (None, "y", 0), (1, None, 2)]
