@@ -4,11 +4,12 @@
    is shorter). One hash a shingle is dealt into BANDS x ROWS bins, each keeping its least value; empty bins borrow from
    the next one that is filled. The rows of a band make one key. With 10 bands of 4 rows, lines of Jaccard 0.8 share a
    key with probability 0.99.
-2. Candidates. In each list of a key, in the order of line hashes, every line is paired with the first and with the one
-   before it: no more than two pairs a line, whatever the length of the list.
+2. Candidates. In each list of a key, in the order of line hashes, every line is first paired with the first one and
+   with the one before it. Once these pairs are verified and joined to components, all pairs of a list that lie in
+   different components follow, so that no pair of a list is left out and a group of copies costs no more than its size.
 3. Verification. The exact Jaccard of the shingle sets decides. Only lines that are candidates travel: a Bloom filter of
    them is broadcast if its size is within a limit that is checked; else all lines do.
-4. Components, by distributed union-find; of each the first occurrence stays, by doc_id, then place in the text.
+4. Components, by distributed union-find, after either set of pairs; of each the first occurrence stays, by doc_id, then place in the text.
 
 Equal lines (as normalised) are one line from the start. Empty lines are neither counted nor removed. Null texts stay
 null; empty ones stay. Rows that repeat (doc_id and text) count as one document and keep the same lines; a null doc_id
@@ -175,15 +176,30 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def similar_lines(docs: DataFrame, bloom_limit: int = BLOOM_BYTES) -> DataFrame:
     """(node, component) of line hashes: lines that are alike, directly or through others."""
+    return similar_in_lists(docs.select("text").mapInArrow(_banded, "band long, line long"), docs, bloom_limit)
+
+
+def similar_in_lists(bands: DataFrame, docs: DataFrame, bloom_limit: int = BLOOM_BYTES) -> DataFrame:
+    """(node, component) of the lines of docs that lists (band, line) bring together and that are alike."""
     order = Window.partitionBy("band").orderBy("line")
-    bands = docs.select("text").mapInArrow(_banded, "band long, line long")
     near = bands.withColumns({"hub": F.first("line").over(order), "before": F.lag("line").over(order)}).filter("line <> hub AND line <> before")
-    pairs = near.select(F.explode(F.array_distinct(F.array("hub", "before"))).alias("a"), F.col("line").alias("b")).distinct()
+    listed = stored(near.withColumn("place", F.row_number().over(order)), "band-lists")
+    pairs = listed.select(F.explode(F.array_distinct(F.array("hub", "before"))).alias("a"), F.col("line").alias("b")).distinct()
     pairs = stored(pairs, "line-pairs")
     texts = stored(_candidate_lines(docs, pairs.select(F.explode(F.array("a", "b")).alias("line")).distinct(), bloom_limit), "lines")
     side = lambda k: texts.select(F.col("line").alias(k), F.col("words").alias(f"w_{k}"))
-    links = pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_similar, "a long, b long")
-    return components(links.toDF("u", "v"))
+    verified = lambda some: stored(some.join(side("a"), "a").join(side("b"), "b").mapInArrow(_similar, "a long, b long"), "line-links").toDF("u", "v")
+    found = stored(components(verified(pairs)), "line-components")
+
+    # Lists of four lines or more hold pairs that were not compared: those that are not yet in one component follow.
+    long = listed.filter("place > 2").select("band").distinct()
+    placed = listed.join(long, "band", "left_semi").select("band", "line").join(found.withColumnRenamed("node", "line"), "line", "left").select("band", "line", F.coalesce("component", "line").alias("component"))
+    mixed_lists = placed.groupBy("band").agg(F.min("component").alias("least"), F.max("component").alias("greatest")).filter("least <> greatest").select("band")
+    open_ = stored(placed.join(mixed_lists, "band", "left_semi"), "open-lists")
+    rest = open_.alias("a").join(open_.alias("b"), (F.col("a.band") == F.col("b.band")) & (F.col("a.component") < F.col("b.component")))
+    rest = rest.select(F.least("a.line", "b.line").alias("a"), F.greatest("a.line", "b.line").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
+    more = verified(rest)
+    return found if more.isEmpty() else components(found.toDF("u", "v").union(more))
 
 
 def deduplicated(docs: DataFrame, bloom_limit: int = BLOOM_BYTES) -> DataFrame:

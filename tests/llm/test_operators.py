@@ -313,6 +313,23 @@ def test_line_dedup(spark, none, limit):
     assert line_dedup.deduplicated(none, limit).count() == 0
 
 
+def test_lists_leave_out_no_pair(spark):
+    """One list of all lines: neither its first line nor neighbours in it need be alike, yet every link is found."""
+    rng = np.random.default_rng(8)
+    letters = list("abcdefghijklmnop ")
+    lines = []
+    for _ in range(15):
+        base = "".join(rng.choice(letters, int(rng.integers(60, 160))))
+        lines += [base, *(base[:k] + "z" + base[k + 1 :] for k in rng.integers(len(base), size=int(rng.integers(0, 3))))]
+    made = [(i, x) for i, x in enumerate(lines)]
+    hashed = {line_dedup.line_hash(line_dedup.normalised(x)): line_dedup.shingle_set(line_dedup.normalised(x)) for x in lines}
+    links = [(a, b) for a, b in combinations(hashed, 2) if len(hashed[a] & hashed[b]) >= line_dedup.SIMILARITY * len(hashed[a] | hashed[b])]
+    docs = spark.createDataFrame(made, "doc_id long, text string").repartition(3)
+    got = {r.node: r.component for r in line_dedup.similar_in_lists(spark.createDataFrame([(0, h) for h in hashed], "band long, line long"), docs).collect()}
+    assert len(links) > 10 and set(got) == {h for pair in links for h in pair}
+    assert got == {r.node: r.component for r in components(spark.createDataFrame(links, "u long, v long")).collect()}
+
+
 def test_band_recall():
     rng = np.random.default_rng(6)
     found = total = 0
