@@ -7,9 +7,11 @@
 2. Candidates. In each list of a key, in the order of line hashes, every line is first paired with the first one and
    with the one before it. Once these pairs are verified and joined to components, all pairs of a list that lie in
    different components follow, so that no pair of a list is left out and a group of copies costs no more than its size.
-3. Verification. The exact Jaccard of the shingle sets decides. Only lines that are candidates travel: a Bloom filter of
-   them is broadcast if its size is within a limit that is checked; else all lines do.
-4. Components, by distributed union-find, after either set of pairs; of each the first occurrence stays, by doc_id, then place in the text.
+3. Verification. The exact Jaccard of the shingle sets decides, but for pairs that parity sketches rule out. Only lines
+   that are candidates travel: a Bloom filter of them is broadcast if its size is within a limit that is checked; else
+   all lines do.
+4. Components, by distributed union-find, after either set of pairs; of each the first occurrence stays, by doc_id, then
+   place in the text.
 
 Equal lines (as normalised) are one line from the start. Empty lines are neither counted nor removed. Null texts stay
 null; empty ones stay. Rows that repeat (doc_id and text) count as one document and keep the same lines; a null doc_id
@@ -36,6 +38,7 @@ SHINGLE, BANDS, ROWS, SIMILARITY, SEED = 8, 10, 4, 0.8, 11
 BATCH_BYTES = 1_000_000
 BLOOM_BYTES = 64_000_000
 BLOOM_BITS, BLOOM_HASHES = 12, 5
+SKETCH_BITS = 1024
 _U = np.uint64
 
 
@@ -164,13 +167,34 @@ def shingle_set(line: bytes) -> set[str]:
     return {text[i : i + SHINGLE] for i in range(max(1, len(text) - SHINGLE + 1))}
 
 
+def parity_sketches(lines: list[bytes]) -> list[tuple[int, int]]:
+    """Of each line, how many shingles its set has, and as bits of a number which cells an odd count of them falls into."""
+    hashes, own = shingle_hashes(lines)
+    order = np.lexsort((hashes, own))
+    hashes, own = hashes[order], own[order]
+    new = np.append(True, (hashes[1:] != hashes[:-1]) | (own[1:] != own[:-1]))
+    hashes, own = hashes[new], own[new]
+    cells = np.bincount(own * SKETCH_BITS + (hashes % _U(SKETCH_BITS)).astype(np.int64), minlength=len(lines) * SKETCH_BITS).astype(np.uint8) & 1
+    bits = np.packbits(cells.reshape(len(lines), SKETCH_BITS), axis=1)
+    return [(n, int.from_bytes(x.tobytes())) for n, x in zip(np.bincount(own, minlength=len(lines)).tolist(), bits, strict=True)]
+
+
 def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Where sketches differ in more cells than sets of SIMILARITY can, they rule a pair out; the sets decide the others."""
     for b in batches:
+        left, right = b.column("w_a").to_pylist(), b.column("w_b").to_pylist()
+        lines, known = list({*left, *right}), {}
+        for at in range(0, len(lines), 1000):
+            known.update(zip(lines[at : at + 1000], parity_sketches(lines[at : at + 1000]), strict=True))
         keep = []
-        for x, y in zip(b.column("w_a").to_pylist(), b.column("w_b").to_pylist(), strict=True):
-            p, q = shingle_set(x), shingle_set(y)
-            common = len(p & q)
-            keep.append(common >= SIMILARITY * (len(p) + len(q) - common))
+        for x, y in zip(left, right, strict=True):
+            (n, p), (m, q) = known[x], known[y]
+            ok = (1 + SIMILARITY) * (p ^ q).bit_count() <= (1 - SIMILARITY) * (n + m) + 1e-6
+            if ok:
+                p, q = shingle_set(x), shingle_set(y)
+                common = len(p & q)
+                ok = common >= SIMILARITY * (len(p) + len(q) - common)
+            keep.append(ok)
         yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 

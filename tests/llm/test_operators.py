@@ -330,6 +330,15 @@ def test_lists_leave_out_no_pair(spark):
     assert got == {r.node: r.component for r in components(spark.createDataFrame(links, "u long, v long")).collect()}
 
 
+def test_sketches_bound_the_difference():
+    rng = np.random.default_rng(9)
+    lines = ["".join(rng.choice(list("abc "), int(rng.integers(1, 300)))).encode() for _ in range(80)] + [b"", b"short", "é".encode() * 2000]
+    sets = [line_dedup.shingle_set(x) for x in lines]
+    known = line_dedup.parity_sketches(lines)
+    assert [n for n, _ in known] == [len(x) for x in sets]
+    assert all((known[i][1] ^ known[j][1]).bit_count() <= len(sets[i] ^ sets[j]) for i, j in combinations(range(len(lines)), 2))
+
+
 def test_band_recall():
     rng = np.random.default_rng(6)
     found = total = 0
