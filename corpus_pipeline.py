@@ -2,7 +2,8 @@
 
 1. quality: documents that the classifier rejects go.
 2. lines: one line of each component of similar lines stays; documents that lose every line go.
-3. near_duplicates: of each component of the Jaccard join the document with the least doc_id stays.
+3. near_duplicates: of each component of the Jaccard join, at five-word shingles and 80 percent, the document with the
+   least doc_id stays.
 4. decontamination: documents that hold a benchmark passage go.
 5. tokens: SentencePiece ids with merge-dropout, `ids` and `n_tokens`, beside the documents' columns.
 
@@ -18,6 +19,8 @@ from proofloom.llm import decontamination, jaccard_join, line_dedup, quality, se
 from proofloom.llm.common import stored, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: The near-duplicate stage's own rule; the Jaccard join's defaults bind op9's query alone.
+NEAR_WORDS, NEAR_PERCENT = 5, 80
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +33,7 @@ def lines_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = jaccard_join.linked(docs)
+    groups = jaccard_join.linked(docs, n=NEAR_WORDS, percent=NEAR_PERCENT)
     gone = groups.filter("doc_id <> component_id").select("doc_id").distinct()
     return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
 

@@ -426,3 +426,25 @@ def test_decontamination_keeps_columns_with_its_own_names(spark):
     cut = decontamination.clean(docs, items, remove="spans")
     assert cut.columns == docs.columns
     assert [(r.w, r.hits, r.n_hit) for r in cut.orderBy("doc_id").collect()] == [(7, "x", 3), (None, "y", 0), (1, None, 2)]
+
+
+def test_pipeline_near_duplicates_by_five_words(spark):
+    """The stage against brute force at five words and 80 percent; some pairs that link by it do not at three words and 90."""
+    import corpus_pipeline
+
+    rng = np.random.default_rng(11)
+    texts, sets = [], []
+    for n, edits in [(200, 4), (50, 1), (200, 5), (80, 1), (120, 2), (120, 3), (30, 1), (4, 0), (4, 1)] * 3:
+        base = [f"w{k}" for k in rng.integers(0, 5000, n)]
+        copy = list(base)
+        for k in range(edits):
+            copy[(k + 1) * n // (edits + 1)] = "other"
+        texts += [" ".join(base), " ".join(copy)]
+    for t in texts:
+        w = t.split()
+        sets.append({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))})
+    links = [(a, b) for a, b in combinations(range(len(texts)), 2) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    assert (0, 1) in links and (2, 3) in links
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    kept = {r.doc_id for r in corpus_pipeline.near_duplicates_stage(spark, docs, SF).collect()}
+    assert kept == set(range(len(texts))) - {b for _, b in links}
