@@ -34,7 +34,7 @@ from .common import slices, stored, table
 from .graph import components
 from .hashing import mixed, power
 
-SHINGLE, BANDS, ROWS, SIMILARITY, SEED = 8, 10, 4, 0.8, 11
+SHINGLE, BANDS, ROWS, SIMILARITY, SEED = 5, 10, 4, 0.8, 11
 BATCH_BYTES = 1_000_000
 BLOOM_BYTES = 64_000_000
 BLOOM_BITS, BLOOM_HASHES = 12, 5
