@@ -4,8 +4,8 @@ Base patterns find assigned values, access ids and long hexadecimal runs, as the
 a bounded sample of documents are labelled credentials; ordinary tokens there are the background. For each kind, the
 prefix tree of its labelled strings, over character classes, is reduced by merging states whose outgoing frequencies
 agree within the Hoeffding bound (ALERGIA), in red-blue order. Every token of 20 or more characters anywhere in the
-corpus is then scored by the best automaton's log-likelihood a character, less that under the background's class
-bigrams; those above the margin that no base span covers become spans of kind `format`.
+corpus, or what base spans leave over of it, is then scored as a whole by the best automaton's log-likelihood a
+character, less that under the background's class bigrams; those above the margin become spans of kind `format`.
 
 Null and empty texts give no spans; rows are independent, so repeated rows repeat their result. If the sample holds
 fewer than MIN_LABELLED strings of a kind it has no automaton; an empty table gives an empty result.
@@ -28,6 +28,7 @@ from .common import rows_mapper, table
 BASE = ("assign", "access", "hex")
 #: Bounds of the training sample: documents read, strings of a kind, and characters of a string.
 SAMPLE_DOCS, SAMPLE_STRINGS, SAMPLE_LENGTH = 4000, 300, 96
+LEAST = 20  # characters of a token that is scored
 MIN_LABELLED, ALPHA, MARGIN = 20, 0.05, 0.5
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -184,15 +185,25 @@ def learn(docs: DataFrame) -> Formats:
     return Formats(strings, Counter(pairs))
 
 
+def _left_over(start: int, end: int, spans: list[tuple[int, int, str]]) -> Iterator[tuple[int, int]]:
+    """The parts of a token, of LEAST characters or more, that no base span covers; spans are by start."""
+    for a, b, _ in spans:
+        if a < end and start < b:
+            if a - start >= LEAST:
+                yield start, a
+            start = b
+    if end - start >= LEAST:
+        yield start, end
+
+
 def find(text: str, formats: Formats, margin: float = MARGIN) -> list[tuple[int, int, str]]:
     """Base spans and format spans by start, then kind."""
-    spans = base_spans(text)
+    base = base_spans(text)
+    spans = list(base)
     for m in _LONG.finditer(text):
-        token = m[0]
-        if not any("0" <= c <= "9" for c in token) or any(a < m.end() and m.start() < b for a, b, _ in spans):
-            continue
-        if formats.likelihood(token[:SAMPLE_LENGTH]) > margin:
-            spans.append((m.start(), m.end(), "format"))
+        for a, b in _left_over(m.start(), m.end(), base):
+            if formats.likelihood(text[a:b]) > margin:
+                spans.append((a, b, "format"))
     return sorted(spans, key=lambda x: (x[0], (*BASE, "format").index(x[2])))
 
 
