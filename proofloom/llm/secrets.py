@@ -1,33 +1,39 @@
 """Operator 3: secret scans by grammar inference.
 
 Base patterns find assigned values, access ids and long hexadecimal runs, as the contract states them. What they find in
-a bounded sample of documents are labelled credentials; ordinary tokens there are the background. For each kind, the
-prefix tree of its labelled strings, over character classes, is reduced by merging states whose outgoing frequencies
-agree within the Hoeffding bound (ALERGIA), in red-blue order. Every token of 20 or more characters anywhere in the
-corpus, or what base spans leave over of it, is then scored as a whole by the best automaton's log-likelihood a
-character, less that under the background's class bigrams; those above the margin become spans of kind `format`.
-
-Null and empty texts give no spans; rows are independent, so repeated rows repeat their result. If the sample holds
-fewer than MIN_LABELLED strings of a kind it has no automaton; an empty table gives an empty result.
+all documents are labelled credentials, of whose distinct strings a bounded sample by hash is kept; ordinary tokens of
+all documents are the background. For each kind, the prefix tree of its labelled strings, over character classes, is
+reduced by merging states whose outgoing frequencies agree within the Hoeffding bound (ALERGIA), in red-blue order.
+Every token of 20 or more characters anywhere in the corpus, or what base spans leave over of it, is then scored as a
+whole by the best automaton's log-likelihood a character, less that under the background's class bigrams; those above
+the margin become spans of kind `format`.
+
+Null and empty texts give no spans; rows are independent, so repeated rows repeat their result. If the corpus holds
+fewer than MIN_LABELLED distinct strings of a kind it has no automaton; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import heapq
 import math
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import rows_mapper, table
+from .common import rows_mapper, slices, stored, table
 
 BASE = ("assign", "access", "hex")
-#: Bounds of the training sample: documents read, strings of a kind, and characters of a string.
-SAMPLE_DOCS, SAMPLE_STRINGS, SAMPLE_LENGTH = 4000, 300, 96
+#: Bounds of the training sample: strings of a kind, and characters of a string.
+SAMPLE_STRINGS, SAMPLE_LENGTH = 300, 96
+BATCH_BYTES = 2_000_000
 LEAST = 20  # characters of a token that is scored
 MIN_LABELLED, ALPHA, MARGIN = 20, 0.05, 0.5
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -36,7 +42,8 @@ _HEX = re.compile(r"[0-9a-f]{24,}")
 _LONG = re.compile(r"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_.=-]{20,}")
 _CUES = ("passw", "secret", "token", "apikey", "api_key")
 _CLASSES = str.maketrans({**dict.fromkeys("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "A"), **dict.fromkeys("abcdefghijklmnopqrstuvwxyz", "a"), **dict.fromkeys("0123456789", "0")})
-END = "$"
+END, OTHER = "$", "?"
+PAIR_SYMBOLS = END + OTHER + "Aa0+/_.=-"  # of the background's pairs; all characters outside the classes are one
 SYMBOLS = 10  # classes that a string may hold, with its end: letters of either case, digits, + / _ . = - and the end
 
 
@@ -157,31 +164,63 @@ class Formats:
         return max((a.score(classes) for a in self.automata.values()), default=-math.inf) - ground
 
 
-def _sampled(columns: dict[str, list]) -> Iterator[dict]:
-    for text in columns["text"]:
-        pairs: Counter = Counter()
-        spans = base_spans(text or "")
-        for a, b, kind in spans:
-            yield {"kind": kind, "value": value_of(text, a, b, kind)[:SAMPLE_LENGTH], "n": 1}
-        for word in (text or "").split():
-            if len(word) >= 8 and not any(c.isdigit() for c in word):
-                around = END + word.translate(_CLASSES) + END
-                pairs.update(zip(around[:-1], around[1:], strict=True))
-        yield from ({"kind": "", "value": a + b, "n": n} for (a, b), n in pairs.items())
+@functools.cache
+def _tables() -> tuple[np.ndarray, np.ndarray]:
+    """The place in PAIR_SYMBOLS of each character, white space as the end, and whether it is a digit."""
+    symbol = np.full(0x110000, PAIR_SYMBOLS.index(OTHER), np.uint8)
+    for c in map(chr, range(128)):
+        if (known := c.translate(_CLASSES)) in PAIR_SYMBOLS[2:]:
+            symbol[ord(c)] = PAIR_SYMBOLS.index(known)
+    digit = np.zeros(0x110000, bool)
+    for c in range(0x110000):
+        if chr(c).isspace():
+            symbol[c] = 0
+        digit[c] = chr(c).isdigit()
+    return symbol, digit
+
+
+def background(texts: list[str | None]) -> np.ndarray:
+    """How often each pair of PAIR_SYMBOLS occurs in the words of 8 or more characters without a digit, with their ends."""
+    symbol, digit = _tables()
+    chars = np.frombuffer(" ".join(["", *(t or "" for t in texts), ""]).encode("utf-32-le"), np.uint32)
+    kinds = symbol[chars].astype(np.int64)
+    edges = np.flatnonzero(np.diff(kinds == 0)) + 1  # white space comes first and last, so these are starts and ends in turn
+    starts, ends = edges[::2], edges[1::2]
+    digits = np.concatenate([[0], np.cumsum(digit[chars])])
+    kept = (ends - starts >= 8) & (digits[ends] == digits[starts])
+    inside = np.zeros(len(chars) + 1, np.int64)
+    inside[starts[kept]] += 1
+    inside[ends[kept] + 1] -= 1
+    at = np.flatnonzero(np.cumsum(inside[:-1]))
+    return np.bincount(kinds[at - 1] * len(PAIR_SYMBOLS) + kinds[at], minlength=len(PAIR_SYMBOLS) ** 2)
+
+
+def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's pair counts, and of its distinct labelled strings of each kind the SAMPLE_STRINGS of least hash."""
+    pairs = np.zeros(len(PAIR_SYMBOLS) ** 2, np.int64)
+    strings: dict[str, set[tuple[int, str]]] = {k: set() for k in BASE}
+    for whole in batches:
+        for batch in slices(whole, "text", BATCH_BYTES):
+            texts = batch.column("text").to_pylist()
+            pairs += background(texts)
+            for text in texts:
+                for a, b, kind in base_spans(text or ""):
+                    value = value_of(text, a, b, kind)[:SAMPLE_LENGTH]
+                    strings[kind].add((xxhash.xxh64_intdigest(value.encode()) >> 1, value))
+            for kind, own in strings.items():
+                if len(own) > SAMPLE_STRINGS:
+                    strings[kind] = set(heapq.nsmallest(SAMPLE_STRINGS, own))
+    rows = [{"kind": kind, "value": value, "n": h} for kind, own in strings.items() for h, value in own]
+    n = len(PAIR_SYMBOLS)
+    rows += [{"kind": "", "value": PAIR_SYMBOLS[i // n] + PAIR_SYMBOLS[i % n], "n": int(pairs[i])} for i in np.flatnonzero(pairs).tolist()]
+    yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("kind", pa.string()), ("value", pa.string()), ("n", pa.int64())]))
 
 
 def learn(docs: DataFrame) -> Formats:
-    """Fits on the SAMPLE_DOCS documents whose hashed doc_id is least, and so on a bounded part of any corpus."""
-    order = F.xxhash64("doc_id")
-    last = docs.select(order.alias("h")).orderBy("h").limit(SAMPLE_DOCS).agg(F.max("h")).first()[0]
-    if last is None:
-        return Formats({}, Counter())
-    rows = docs.filter(order <= last).select("text").mapInArrow(rows_mapper(_sampled, pa.schema([("kind", pa.string()), ("value", pa.string()), ("n", pa.int64())])), "kind string, value string, n long")
-    counted = rows.groupBy("kind", "value").agg(F.sum("n").alias("n"))
-    strings: dict[str, list[str]] = defaultdict(list)
-    for kind in BASE:
-        strings[kind] = [r.value for r in counted.filter(F.col("kind") == kind).orderBy(F.xxhash64("value"), "value").limit(SAMPLE_STRINGS).collect()]
-    pairs = {(r.value[0], r.value[1]): r.n for r in counted.filter("kind = ''").orderBy(F.desc("n"), "value").limit(2000).collect()}
+    """Fits on all documents: on the sums of their pairs, and on the SAMPLE_STRINGS distinct labelled strings of least hash of each kind."""
+    found = stored(docs.select("text").mapInArrow(_labelled, "kind string, value string, n long"), "labelled")
+    strings = {kind: [r.value for r in found.filter(F.col("kind") == kind).select("n", "value").distinct().orderBy("n", "value").limit(SAMPLE_STRINGS).collect()] for kind in BASE}
+    pairs = {(r.value[0], r.value[1]): r.n for r in found.filter("kind = ''").groupBy("value").agg(F.sum("n").alias("n")).collect()}  # no more than PAIR_SYMBOLS squared
     return Formats(strings, Counter(pairs))
 
 

@@ -504,3 +504,21 @@ def test_secret_candidates_are_scored_whole():
     got = [text[a:b] for a, b, kind in secrets.find(text, heard) if kind == "format"]
     assert heard.tokens == [letters, path, rest, "q" * 20 + "/", "/" + "s" * 18 + "."]
     assert got == [letters, path, rest]
+
+
+def test_secrets_are_learned_from_all_documents(spark):
+    rng = np.random.default_rng(14)
+    words = ["ordinary", "considerable", "Naïvety—ful", "with1digit99", "tiny", "under_score.path", "cost$dollars", "end\u00a0of\u2003lines"]
+    made = [" ".join(rng.choice(words, 4)) for _ in range(12_000)]
+    for i in range(24):
+        made[i * 500] += " AKIA" + "".join(rng.choice(list("ABCDEFGHIJ0123456789"), 16))
+    docs = spark.createDataFrame(list(enumerate([*made, None, ""])), "doc_id long, text string").repartition(5)
+    formats = secrets.learn(docs)
+    assert set(formats.automata) == {"access"}
+    pairs = secrets.Counter()
+    for word in " ".join(made).split():
+        if len(word) >= 8 and not any(c.isdigit() for c in word):
+            classes = "".join(c.translate(secrets._CLASSES) if c.isascii() and (c.isalnum() or c in "+/_.=-") else "?" for c in word)
+            around = "$" + classes + "$"
+            pairs.update(zip(around[:-1], around[1:], strict=True))
+    assert formats.log == secrets.Formats({}, pairs).log and len(pairs) > 10
