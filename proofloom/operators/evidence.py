@@ -106,9 +106,12 @@ def scorecard(claims: DataFrame) -> DataFrame:
 
 
 def related(queries: DataFrame, history: DataFrame, p: Params = DEFAULT) -> DataFrame:
-    """For each query (query_id, q) its nearest among the newest past ones (id, embedding); repeats go after the cut."""
+    """For each query (query_id, q) its nearest among the newest past ones (id, embedding); repeats go after the cut.
+
+    The past ones, p.history at most, are what is broadcast, so there may be any number of queries.
+    """
     newest = history.filter("embedding IS NOT NULL").orderBy(F.desc("id")).limit(p.history)
-    pairs = F.broadcast(newest).crossJoin(bounded(queries, p)).filter("id <> query_id").filter(F.size("q") == F.size("embedding"))
+    pairs = F.broadcast(newest).crossJoin(queries).filter("id <> query_id").filter(F.size("q") == F.size("embedding"))
     scored = pairs.select("query_id", "id", F.round(cosine(F.col("q"), F.col("embedding")), 4).alias("similarity")).filter(F.col("similarity") >= p.related)
     order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), F.desc("id"))
     return scored.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= p.related_k).filter(F.col("similarity") < p.related_repeat).drop("k")

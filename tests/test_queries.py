@@ -140,3 +140,9 @@ def test_reports(spark):
     assert {r.id: (r.status, r.summary) for r in R.log_list(logs).collect()} == {1: ("Error", "Error"), 2: ("Error", "Error"), 3: ("Unknown", "N/A"), 4: ("Error", "Error"), 5: ("Safe", "N/A")}
     answers = spark.createDataFrame([(1, '```json\n{"alignment_score": 80, "gaps": ["a"], "risk_level": "hIGH"}\n```'), (2, "no json"), (3, "{}")], "id long, raw string")
     assert {r.id: (r.alignment_score, r.n_gaps, r.risk_level) for r in R.mapped(answers).collect()} == {1: (80.0, 1, "High"), 2: (50.0, 0, "Medium"), 3: (0.0, 0, "Medium")}
+
+
+def test_related_takes_any_number_of_queries(spark):
+    history = spark.createDataFrame([(-1, [1.0, 1.0])], "id long, embedding array<double>")
+    many = spark.range(10_001).select(F.col("id").alias("query_id"), F.array(F.lit(1.0), F.lit(0.5)).alias("q"))
+    assert E.related(many, history).count() == 10_001
