@@ -3,13 +3,13 @@
 A text is a space mark and its characters, with spaces as space marks. Where no piece of the vocabulary has two
 characters of the classes that meet, a text falls into units that are encoded apart. In a unit the agenda takes the
 adjacent pair of best score, the leftmost of equals; a pair is skipped, for good, if the keyed hash of the seed, the
-unit and the pair's three bounds falls below the dropout rate. A document's variant, a keyed hash of its doc_id modulo
-VARIANTS, is part of the key, so a unit has as many segmentations as variants. All distinct units of a batch advance
-together in numpy, one merge each a round; long units have a heap.
+doc_id, the unit, its place in the document and the pair's three bounds falls below the dropout rate, so every
+occurrence of a unit is cut by itself. Equal units of a batch share the work only where no pair that comes up without
+dropout is skipped; the others advance together in numpy, one merge each a round; long units have a heap.
 
 Characters without a piece become byte pieces, and so does a space mark that the text itself holds; decoding therefore
 gives back every text exactly. With a rate of 0 the ids are those of the library. Null texts have null ids and stay null;
-empty ones have no ids. A null doc_id has a variant as well. Repeated rows repeat their result.
+empty ones have no ids. A null doc_id has a key as well. Repeated rows repeat their result.
 """
 
 from __future__ import annotations
@@ -27,9 +27,9 @@ from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, Stru
 from .common import slices, table
 
 MARK = "▁"
-RATE, SEED, VARIANTS = 0.1, 20240, 4
+RATE, SEED = 0.1, 20240
 HEAP_FROM = 48
-BATCH_BYTES = 1_500_000
+BATCH_BYTES = 500_000
 #: Stands for a space mark of the text itself until it becomes bytes; not a character, so no valid text holds it.
 _OWN_MARK = "\udcff"
 _loaded: dict[tuple, "Pieces"] = {}
@@ -111,14 +111,16 @@ class Pieces:
             todo, at = todo[on], (at[on] + 1) & (len(self.slots) - 1)
         return out
 
-    def _unit_keys(self, variants: np.ndarray, chars: np.ndarray, place: np.ndarray, begins: np.ndarray) -> np.ndarray:
-        """The keyed hash of each unit: of its variant and of its characters with their places."""
+    def _unit_keys(self, occurrences: np.ndarray, chars: np.ndarray, place: np.ndarray, begins: np.ndarray) -> np.ndarray:
+        """The keyed hash of each unit: of the key of its occurrence and of its characters with their places."""
         own = np.add.reduceat(mixed(chars.astype(_U) << _U(32) ^ place.astype(_U)), begins)
-        return mixed(own ^ mixed(variants.astype(_U) + _U(self.seed * 0x9E3779B97F4A7C15 % 2**64)))
+        return mixed(own ^ mixed(occurrences.astype(_U) + _U(self.seed * 0x9E3779B97F4A7C15 % 2**64)))
 
     def _skipped(self, key: np.ndarray, start: np.ndarray, mid: np.ndarray, end: np.ndarray) -> np.ndarray:
-        place = start.astype(_U) * _U(0x9E3779B97F4A7C15) + mid.astype(_U) * _U(0xC2B2AE3D27D4EB4F) + end.astype(_U) * _U(0x165667B19E3779F9)
-        return mixed(key ^ mixed(place)) < _U(self.limit)
+        return mixed(key ^ self._bounds(start, mid, end)) < _U(self.limit)
+
+    def _bounds(self, start: np.ndarray, mid: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return mixed(start.astype(_U) * _U(0x9E3779B97F4A7C15) + mid.astype(_U) * _U(0xC2B2AE3D27D4EB4F) + end.astype(_U) * _U(0x165667B19E3779F9))
 
     def _out(self, unit: str, ids: list[int], starts: list[int], ends: list[int]) -> list[int]:
         out: list[int] = []
@@ -126,9 +128,9 @@ class Pieces:
             out += [i] if i >= 0 else [self.bytes[x] for x in unit[a:b].replace(_OWN_MARK, MARK).encode()]
         return out
 
-    def by_heap(self, variant: int, unit: str) -> list[int]:
+    def by_heap(self, occurrence: int, unit: str) -> list[int]:
         n = len(unit)
-        key = self._unit_keys(np.array([variant]), _code_points(unit), np.arange(n), np.array([0]))
+        key = self._unit_keys(np.array([occurrence]), _code_points(unit), np.arange(n), np.array([0]))
         ids, end, left, right = [self.ids.get(c, -1) for c in unit], list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
         agenda: list[tuple[int, int, int, int, int]] = []
 
@@ -153,8 +155,12 @@ class Pieces:
         at = [i for i in range(n) if alive[i]]
         return self._out(unit, [ids[i] for i in at], at, [end[i] for i in at])
 
-    def _rounds(self, chars: np.ndarray, sizes: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, ...]:
-        """(owner, start, end, id) of every symbol that is left in units given by their characters; id -1 has no piece."""
+    def _rounds(self, chars: np.ndarray, sizes: np.ndarray, keys: np.ndarray | None, seen: list[np.ndarray] | None = None) -> tuple[np.ndarray, ...]:
+        """(owner, start, end, id) of every symbol that is left in units given by their characters; id -1 has no piece.
+
+        Without keys nothing is skipped. The pairs that come up are added to seen: owner, start, mid and end, 6 bits each
+        but the first.
+        """
         n = len(sizes)
         ids = self.first[chars].astype(np.int64)
         owner = np.repeat(np.arange(n), sizes)
@@ -166,8 +172,11 @@ class Pieces:
             a = a[(ids[a] >= 0) & (ids[a + 1] >= 0)]
             at = self._found(ids[a] << 32 | ids[a + 1])
             a, at = a[at >= 0], at[at >= 0]
-            ok = ~self._skipped(keys[owner[a]], start[a], start[a + 1], end[a + 1])
-            a, at = a[ok], at[ok]
+            if seen is not None:
+                seen.append(owner[a] << 18 | start[a] << 12 | start[a + 1] << 6 | end[a + 1])
+            if keys is not None:
+                ok = ~self._skipped(keys[owner[a]], start[a], start[a + 1], end[a + 1])
+                a, at = a[ok], at[ok]
             if len(a):  # of each unit's pairs the one of least rank, the leftmost of equals
                 first = np.flatnonzero(np.concatenate([[True], owner[a[1:]] != owner[a[:-1]]]))
                 best = np.minimum.reduceat(self.rank[at] << 32 | np.arange(len(a)), first) & 0xFFFFFFFF
@@ -184,17 +193,28 @@ class Pieces:
         order = np.argsort(owner << 32 | start)
         return owner[order], start[order], end[order], ids[order]
 
-    def _distinct(self, variants: np.ndarray, chars: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, ...]:
-        """The key of each distinct (variant, unit), a unit that has it, and which of them each unit is."""
+    def _distinct(self, chars: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each distinct unit one that is it, and which of them each unit is."""
         place = np.arange(len(chars)) - np.repeat(begins, sizes)
-        keys = self._unit_keys(variants, chars, place, begins)
-        unique, rep, which = np.unique(keys, return_index=True, return_inverse=True)
+        _, rep, which = np.unique(np.add.reduceat(mixed(chars.astype(_U) << _U(32) ^ place.astype(_U)), begins), return_index=True, return_inverse=True)
         twin = rep[which]
-        if (sizes[twin] == sizes).all() and (variants[twin] == variants).all() and (chars[np.repeat(begins[twin] - begins, sizes) + np.arange(len(chars))] == chars).all():
-            return unique, rep, which
-        return keys, np.arange(len(keys)), np.arange(len(keys))  # two different units share a hash: take each by itself
+        if (sizes[twin] == sizes).all() and (chars[np.repeat(begins[twin] - begins, sizes) + np.arange(len(chars))] == chars).all():
+            return rep, which
+        return np.arange(len(sizes)), np.arange(len(sizes))  # two different units share a hash: take each by itself
+
+    def _any_skipped(self, keys: np.ndarray, which: np.ndarray, seen: list[np.ndarray]) -> np.ndarray:
+        """Whether a unit of these keys skips any of the pairs seen in the distinct unit that it is."""
+        pairs = np.unique(np.concatenate(seen)) if seen else np.empty(0, np.int64)
+        first = np.searchsorted(pairs, np.arange(which.max(initial=-1) + 2) << 18)
+        bounds = self._bounds(pairs >> 12 & 63, pairs >> 6 & 63, pairs & 63)
+        counts = np.diff(first)[which]
+        own = np.repeat(np.arange(len(which)), counts)
+        at = np.arange(len(own)) + np.repeat(first[which] - (np.cumsum(counts) - counts), counts)
+        out = np.zeros(len(which), bool)
+        out[own[mixed(keys[own] ^ bounds[at]) < _U(self.limit)]] = True
+        return out
 
-    def encode(self, texts: list[str | None], variants: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: list[str | None], doc_keys: list[int]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in turn, and the offsets of each text's ids."""
         marked = [MARK + (t.replace(MARK, _OWN_MARK) if MARK in t else t).replace(" ", MARK) if t else "" for t in texts]
         lengths = np.array([len(t) for t in marked], np.int64)
@@ -210,21 +230,33 @@ class Pieces:
         begins = np.flatnonzero(cut)
         sizes = np.diff(np.append(begins, len(chars)))
         owner = np.searchsorted(np.cumsum(lengths), begins, side="right")
-        keys, rep, which = self._distinct(np.array(variants, np.int64)[owner], chars, begins, sizes)
+        occurrences = mixed(np.array(doc_keys, _U)[owner] ^ mixed((begins - doc_begins[owner]).astype(_U)))
+        keys = self._unit_keys(occurrences, chars, np.arange(len(chars)) - np.repeat(begins, sizes), begins)
+        taken = lambda units: np.repeat(begins[units] - (np.cumsum(sizes[units]) - sizes[units]), sizes[units]) + np.arange(sizes[units].sum())
+        rep, which = self._distinct(chars, begins, sizes)
+        shared = np.flatnonzero(sizes[rep] <= HEAP_FROM)
+        seen: list[np.ndarray] = []
+        plain = self._rounds(chars[taken(rep[shared])], sizes[rep[shared]], None, seen)
+        # What is encoded: distinct units without dropout, short units that skip a pair, and long units.
+        short, long = np.flatnonzero(sizes <= HEAP_FROM), np.flatnonzero(sizes > HEAP_FROM)
+        own = short[self._any_skipped(keys[short], np.searchsorted(shared, which[short]), seen)]
+        dropped = self._rounds(chars[taken(own)], sizes[own], keys[own])
+        n_shared, n_short = len(rep), len(rep) + len(own)
+        which = which.copy()
+        which[own], which[long] = n_shared + np.arange(len(own)), n_short + np.arange(len(long))
+        rep = np.concatenate([rep, own, long])
         n, rep_sizes, rep_begins = len(rep), sizes[rep], begins[rep]
-        short = np.flatnonzero(rep_sizes <= HEAP_FROM)
-        taken = np.repeat(rep_begins[short] - (np.cumsum(rep_sizes[short]) - rep_sizes[short]), rep_sizes[short]) + np.arange(rep_sizes[short].sum())
-        unit, start, end, ids = self._rounds(chars[taken], rep_sizes[short], keys[short])
+        unit = np.concatenate([shared[plain[0]], n_shared + dropped[0]])
+        start, end, ids = (np.concatenate(x) for x in zip(plain[1:], dropped[1:], strict=True))
         counts = np.zeros(n, np.int64)
-        counts[short] = np.bincount(unit, minlength=len(short))
+        counts += np.bincount(unit, minlength=n)
         odd: dict[int, list[int]] = {}
         for i in np.unique(unit[ids < 0]).tolist():
             a, b = np.searchsorted(unit, [i, i + 1])
-            u = short[i]
-            odd[int(u)] = self._out(whole[rep_begins[u] : rep_begins[u] + rep_sizes[u]], ids[a:b].tolist(), start[a:b].tolist(), end[a:b].tolist())
-        for u in np.flatnonzero(rep_sizes > HEAP_FROM).tolist():
-            odd[u] = self.by_heap(int(variants[owner[rep[u]]]), whole[rep_begins[u] : rep_begins[u] + rep_sizes[u]])
-        simple = ~np.isin(short[unit], list(odd)) if odd else np.ones(len(unit), bool)
+            odd[i] = self._out(whole[rep_begins[i] : rep_begins[i] + rep_sizes[i]], ids[a:b].tolist(), start[a:b].tolist(), end[a:b].tolist())
+        for u in range(n_short, n):
+            odd[u] = self.by_heap(int(occurrences[rep[u]]), whole[rep_begins[u] : rep_begins[u] + rep_sizes[u]])
+        simple = ~np.isin(unit, list(odd)) if odd else np.ones(len(unit), bool)
         for u, own in odd.items():
             counts[u] = len(own)
         rep_offsets = np.cumsum(counts) - counts
@@ -243,19 +275,19 @@ class Pieces:
         return b"".join([self.surface[i] for i in ids.tolist()]).decode()[1:] if len(ids) else ""
 
 
-def variant_of(doc_id: int | None, seed: int = SEED, variants: int = VARIANTS) -> int:
-    return xxhash.xxh64_intdigest(str(doc_id).encode(), seed) % variants
+def doc_key(doc_id: int | None, seed: int = SEED) -> int:
+    return xxhash.xxh64_intdigest(str(doc_id).encode(), seed)
 
 
-def encode(docs: DataFrame, model: str, rate: float = RATE, seed: int = SEED, variants: int = VARIANTS) -> DataFrame:
+def encode(docs: DataFrame, model: str, rate: float = RATE, seed: int = SEED) -> DataFrame:
     """docs with `ids` (array of int) and `n_tokens`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Pieces.load(model, rate, seed)
         for whole in batches:
             for batch in slices(whole, "text", BATCH_BYTES):
-                chosen = [variant_of(d, seed, variants) for d in batch.column("doc_id").to_pylist()]
-                values, offsets = pieces.encode(batch.column("text").to_pylist(), chosen)
+                keys = [doc_key(d, seed) for d in batch.column("doc_id").to_pylist()]
+                values, offsets = pieces.encode(batch.column("text").to_pylist(), keys)
                 null = batch.column("text").is_null()
                 ids = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values), mask=null)
                 counts = pa.array(np.diff(offsets), mask=null.to_numpy(zero_copy_only=False))

@@ -522,3 +522,25 @@ def test_secrets_are_learned_from_all_documents(spark):
             around = "$" + classes + "$"
             pairs.update(zip(around[:-1], around[1:], strict=True))
     assert formats.log == secrets.Formats({}, pairs).log and len(pairs) > 10
+
+
+def test_each_occurrence_has_its_own_dropout():
+    import public_tokenizers
+
+    pieces = sentencepiece_dropout.Pieces.load(public_tokenizers.path("piece_bpe_32k.model"), 0.1, 9)
+    texts = ["considerable " * 400, "considerable " * 400, "mixed é words, " + "x" * 60 + " and ▁ marks considerable", None, ""]
+    keys = [sentencepiece_dropout.doc_key(i, 9) for i in range(5)]
+    ids, offsets = pieces.encode(texts, keys)
+    own = [ids[a:b].tolist() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+    assert own[0] != own[1] and not own[3] and not own[4]
+    assert [pieces.decode(np.array(x)) for x in own[:3]] == texts[:3]
+    for i in range(3):  # beside others or alone, a document has the same ids
+        assert pieces.encode([texts[i]], [keys[i]])[0].tolist() == own[i]
+    # What is shared is what each occurrence has by itself.
+    begin, expected, text = 0, [], "▁" + texts[0].replace(" ", "▁")
+    units = [u for u in re.split("(?=▁)", text) if u]
+    for u in units:
+        occurrence = sentencepiece_dropout.mixed(np.array([keys[0]], np.uint64) ^ sentencepiece_dropout.mixed(np.array([begin], np.uint64)))
+        expected.append(tuple(pieces.by_heap(int(occurrence[0]), u)))
+        begin += len(u)
+    assert [i for u in expected for i in u] == own[0] and len(set(expected)) > 4
