@@ -1,21 +1,22 @@
 """Operator 2: fuzzy line dedup by MinHash.
 
-1. Signatures. A line, stripped and with A-Z lower-cased, has the set of its runs of SHINGLE characters (all of it if it
-   is shorter). One hash a shingle is dealt into BANDS x ROWS bins, each keeping its least value; empty bins borrow from
-   the next one that is filled. The rows of a band make one key. With 10 bands of 4 rows, lines of Jaccard 0.8 share a
-   key with probability 0.99.
-2. Candidates. In each list of a key, in the order of line hashes, every line is first paired with the first one and
-   with the one before it. Once these pairs are verified and joined to components, all pairs of a list that lie in
-   different components follow, so that no pair of a list is left out and a group of copies costs no more than its size.
-3. Verification. The exact Jaccard of the shingle sets decides, but for pairs that parity sketches rule out. Only lines
-   that are candidates travel: a Bloom filter of them is broadcast if its size is within a limit that is checked; else
-   all lines do.
-4. Components, by distributed union-find, after either set of pairs; of each the first occurrence stays, by doc_id, then
-   place in the text.
-
-Equal lines (as normalised) are one line from the start. Empty lines are neither counted nor removed. Null texts stay
-null; empty ones stay. Rows that repeat (doc_id and text) count as one document and keep the same lines; a null doc_id
-comes before all others. Extra columns are kept; those named like this operator's own (n_lines, n_kept) are replaced.
+1. Signatures. A line, stripped of white space and with A-Z lower-cased, has the set of its runs of SHINGLE characters
+   (all of it if it is shorter). One hash a shingle is dealt into BANDS x ROWS bins, each keeping its least value; empty
+   bins borrow from the next one that is filled. The rows of a band make one key. With 10 bands of 4 rows, lines of
+   Jaccard 0.8 share a key with probability 0.99.
+2. Lists. The lines of a key form a list. Only lines in lists of two or more travel with their text, told by a Bloom
+   filter of at most BLOOM_BYTES; the more lines there are, the more others pass it, which costs and changes nothing.
+   A list of more than BLOCK lines or BLOCK_BYTES is dealt into blocks, and each pair of blocks is a group of its own.
+3. Verification. Within a group, sizes and parity sketches rule pairs out as whole arrays; the exact Jaccard of the
+   shingle sets decides the others, in order of their sketches' distance, unless the group has already linked the two. A
+   group gives a forest of links, so no pair of a list is left out and no pair becomes a row.
+4. Components, by distributed union-find; of each the first occurrence stays, by doc_id, then place in the text.
+
+Equal lines (as normalised) are one line from the start. Lines of white space are neither counted nor removed. Null texts
+stay null; empty ones stay. Very long lines are whole shingle sets like others; very long texts are read by lines. Rows
+that repeat (doc_id and text) count as one document and keep the same lines; a null doc_id comes before all others. An
+empty table gives an empty one. Extra columns are kept, whatever their names, but for n_lines and n_kept, which are
+replaced.
 """
 
 from __future__ import annotations
@@ -36,14 +37,16 @@ from .hashing import mixed, power
 
 SHINGLE, BANDS, ROWS, SIMILARITY, SEED = 5, 10, 4, 0.8, 11
 BATCH_BYTES = 1_000_000
-BLOOM_BYTES = 64_000_000
-BLOOM_BITS, BLOOM_HASHES = 12, 5
+BLOOM_BYTES, BLOOM_BITS = 64_000_000, 12
+BLOCK, BLOCK_BYTES = 8192, 8_000_000
 SKETCH_BITS = 1024
+#: White space as Unicode has it, and Java's (?U)\s with it.
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 _U = np.uint64
 
 
 def normalised(line: str) -> bytes:
-    return line.strip().encode().lower()  # of bytes, this lowers A-Z alone
+    return line.strip(WHITE).encode().lower()  # of bytes, this lowers A-Z alone
 
 
 def line_hash(line: bytes) -> int:
@@ -119,45 +122,44 @@ def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(np.fromiter(lines, np.int64, len(lines)), BANDS))], names=["band", "line"])
 
 
-def _bloom_places(h: np.ndarray, bits: int) -> np.ndarray:
+def _bloom_places(h: np.ndarray, bits: int, hashes: int) -> np.ndarray:
     a = mixed(h.view(_U))
     b = mixed(a ^ _U(0x5851F42D4C957F2D)) | _U(1)
-    return (a[None, :] + np.arange(BLOOM_HASHES, dtype=_U)[:, None] * b[None, :]) % _U(bits)
+    return (a[None, :] + np.arange(hashes, dtype=_U)[:, None] * b[None, :]) % _U(bits)
 
 
 def _candidate_lines(docs: DataFrame, wanted: DataFrame, limit: int) -> DataFrame:
     """(line, words) for the lines in wanted, and perhaps some others: each once."""
     n = wanted.count()
-    size = max(64, math.ceil(n * BLOOM_BITS / 8))
-    share = None
-    if size <= limit:
-
-        def built(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            bits = np.zeros(size, np.uint8)
-            for b in batches:
-                at = _bloom_places(b.column("line").to_numpy(), size * 8).ravel()
-                np.bitwise_or.at(bits, (at >> _U(3)).astype(np.int64), np.uint8(1) << (at & _U(7)).astype(np.uint8))
-            yield pa.RecordBatch.from_pydict({"bits": [bits.tobytes()]})
+    size = max(64, min(limit, math.ceil(n * BLOOM_BITS / 8)))
+    hashes = max(1, min(5, round(size * 8 / max(1, n) * math.log(2))))
 
+    def built(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.zeros(size, np.uint8)
-        parts = max(1, min(16, n // 200_000))
-        for r in wanted.coalesce(parts).mapInArrow(built, "bits binary").toLocalIterator():
-            bits |= np.frombuffer(r.bits, np.uint8)
-        share = docs.sparkSession.sparkContext.broadcast(bits)
+        for b in batches:
+            at = _bloom_places(b.column("line").to_numpy(), size * 8, hashes).ravel()
+            np.bitwise_or.at(bits, (at >> _U(3)).astype(np.int64), np.uint8(1) << (at & _U(7)).astype(np.uint8))
+        yield pa.RecordBatch.from_pydict({"bits": [bits.tobytes()]})
+
+    bits = np.zeros(size, np.uint8)
+    parts = max(1, min(16, n // 200_000))
+    for r in wanted.coalesce(parts).mapInArrow(built, "bits binary").toLocalIterator():  # at most 16 of BLOOM_BYTES, one at a time
+        bits |= np.frombuffer(r.bits, np.uint8)
+    share = docs.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[int] = set()
         for whole in batches:
             for batch in slices(whole, "text", BATCH_BYTES):
                 lines = {h: line for text in batch.column("text").to_pylist() for _, line in _lines(text) if (h := line_hash(line)) not in done}
-                hashes = np.fromiter(lines, np.int64, len(lines))
-                if share is not None and len(hashes):
-                    at = _bloom_places(hashes, size * 8)
-                    hashes = hashes[((share.value[(at >> _U(3)).astype(np.int64)] >> (at & _U(7)).astype(np.uint8)) & 1).all(axis=0)]
+                hashed = np.fromiter(lines, np.int64, len(lines))
+                if len(hashed):
+                    at = _bloom_places(hashed, size * 8, hashes)
+                    hashed = hashed[((share.value[(at >> _U(3)).astype(np.int64)] >> (at & _U(7)).astype(np.uint8)) & 1).all(axis=0)]
                 if len(done) > 300_000:
                     done.clear()
-                done.update(hashes.tolist())
-                yield pa.RecordBatch.from_arrays([pa.array(hashes), pa.array([lines[h] for h in hashes.tolist()], pa.binary())], names=["line", "words"])
+                done.update(hashed.tolist())
+                yield pa.RecordBatch.from_arrays([pa.array(hashed), pa.array([lines[h] for h in hashed.tolist()], pa.binary())], names=["line", "words"])
 
     return docs.select("text").mapInArrow(run, "line long, words binary").groupBy("line").agg(F.first("words").alias("words"))
 
@@ -167,35 +169,143 @@ def shingle_set(line: bytes) -> set[str]:
     return {text[i : i + SHINGLE] for i in range(max(1, len(text) - SHINGLE + 1))}
 
 
-def parity_sketches(lines: list[bytes]) -> list[tuple[int, int]]:
-    """Of each line, how many shingles its set has, and as bits of a number which cells an odd count of them falls into."""
-    hashes, own = shingle_hashes(lines)
-    order = np.lexsort((hashes, own))
-    hashes, own = hashes[order], own[order]
-    new = np.append(True, (hashes[1:] != hashes[:-1]) | (own[1:] != own[:-1]))
-    hashes, own = hashes[new], own[new]
-    cells = np.bincount(own * SKETCH_BITS + (hashes % _U(SKETCH_BITS)).astype(np.int64), minlength=len(lines) * SKETCH_BITS).astype(np.uint8) & 1
-    bits = np.packbits(cells.reshape(len(lines), SKETCH_BITS), axis=1)
-    return [(n, int.from_bytes(x.tobytes())) for n, x in zip(np.bincount(own, minlength=len(lines)).tolist(), bits, strict=True)]
-
-
-def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Where sketches differ in more cells than sets of SIMILARITY can, they rule a pair out; the sets decide the others."""
-    for b in batches:
-        left, right = b.column("w_a").to_pylist(), b.column("w_b").to_pylist()
-        lines, known = list({*left, *right}), {}
-        for at in range(0, len(lines), 1000):
-            known.update(zip(lines[at : at + 1000], parity_sketches(lines[at : at + 1000]), strict=True))
-        keep = []
-        for x, y in zip(left, right, strict=True):
-            (n, p), (m, q) = known[x], known[y]
-            ok = (1 + SIMILARITY) * (p ^ q).bit_count() <= (1 - SIMILARITY) * (n + m) + 1e-6
-            if ok:
-                p, q = shingle_set(x), shingle_set(y)
-                common = len(p & q)
-                ok = common >= SIMILARITY * (len(p) + len(q) - common)
-            keep.append(ok)
-        yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+def parity_sketches(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Of each line, how many shingles its set has, and as 64-bit words which cells an odd count of them falls into."""
+    sizes, cells = np.zeros(len(lines), np.int64), np.zeros((len(lines), SKETCH_BITS // 64), _U)
+    for at in range(0, len(lines), 1000):
+        some = lines[at : at + 1000]
+        hashes, own = shingle_hashes(some)
+        order = np.lexsort((hashes, own))
+        hashes, own = hashes[order], own[order]
+        new = np.append(True, (hashes[1:] != hashes[:-1]) | (own[1:] != own[:-1]))
+        hashes, own = hashes[new], own[new]
+        odd = np.bincount(own * SKETCH_BITS + (hashes % _U(SKETCH_BITS)).astype(np.int64), minlength=len(some) * SKETCH_BITS).astype(np.uint8) & 1
+        sizes[at : at + 1000] = np.bincount(own, minlength=len(some))
+        cells[at : at + 1000] = np.packbits(odd.reshape(len(some), SKETCH_BITS), axis=1).view(_U)
+    return sizes, cells
+
+
+def _fitting(n: np.ndarray, cells: np.ndarray, folded: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which pairs (a, b) sizes and sketches do not rule out, and how far apart the sketches of these are."""
+    most = ((1 - SIMILARITY) / (1 + SIMILARITY) * (n[a] + n[b]) + 1e-6).astype(np.int64)  # sets of SIMILARITY differ in no more
+    ok = np.flatnonzero(np.abs(n[a] - n[b]) <= most)
+    ok = ok[np.bitwise_count(folded[a[ok]] ^ folded[b[ok]]).sum(axis=1) <= most[ok]]
+    apart = np.bitwise_count(cells[a[ok]] ^ cells[b[ok]]).sum(axis=1)
+    return ok[apart <= most[ok]], apart[apart <= most[ok]]
+
+
+class _Group:
+    """Exact links among the lines of a group, each pair that is already connected left out."""
+
+    def __init__(self, words: list[bytes]):
+        self.words, self.sets, self.parent = words, {}, list(range(len(words)))
+
+    def root(self, x: int) -> int:
+        while self.parent[x] != x:
+            self.parent[x] = self.parent[self.parent[x]]
+            x = self.parent[x]
+        return x
+
+    def _set(self, x: int) -> set[str]:
+        if x not in self.sets:
+            if len(self.sets) > 4000:
+                self.sets.clear()
+            self.sets[x] = shingle_set(self.words[x])
+        return self.sets[x]
+
+    def linked(self, a: int, b: int) -> bool:
+        """Whether a and b, so far apart, are now joined."""
+        x, y = self.root(a), self.root(b)
+        if x == y:
+            return False
+        p, q = self._set(a), self._set(b)
+        common = len(p & q)
+        if common < SIMILARITY * (len(p) + len(q) - common):
+            return False
+        self.parent[max(x, y)] = min(x, y)
+        return True
+
+
+def _small_groups(n: np.ndarray, cells: np.ndarray, folded: np.ndarray, begins: np.ndarray, counts: np.ndarray, words: list[bytes]) -> list[tuple[int, int]]:
+    """Links of many groups at once, all pairs of each as one array."""
+    later = np.repeat(begins + counts, counts) - np.arange(counts.sum()) - 1 - begins[0]
+    a = np.repeat(np.arange(counts.sum()), later)
+    b = np.arange(len(a)) - np.repeat(np.cumsum(later) - later, later) + a + 1
+    a, b = a + begins[0], b + begins[0]
+    ok, apart = _fitting(n, cells, folded, a, b)
+    ok = ok[np.argsort(apart, kind="stable")]
+    group = _Group(words)
+    return [(x, y) for x, y in zip(a[ok].tolist(), b[ok].tolist(), strict=True) if group.linked(x, y)]
+
+
+def _large_group(n: np.ndarray, cells: np.ndarray, folded: np.ndarray, block: np.ndarray, words: list[bytes]) -> Iterator[tuple[int, int]]:
+    """Links of one group, a line against all others of allowed size at a time; of two blocks, only pairs between them."""
+    order = np.argsort(n, kind="stable")
+    n, cells, folded, block = n[order], cells[order], folded[order], block[order]
+    two = block.min() != block.max()
+    label, group = np.arange(len(n)), _Group([words[i] for i in order.tolist()])
+    ends = np.searchsorted(n, np.floor(n / SIMILARITY + 1e-9), side="right")
+    for i, end in enumerate(ends.tolist()):
+        b = np.arange(i + 1, end)
+        b = b[label[b] != label[i]]
+        if two:
+            b = b[block[b] != block[i]]
+        if not len(b):
+            continue
+        ok, apart = _fitting(n, cells, folded, np.full(len(b), i), b)
+        b = b[ok][np.argsort(apart, kind="stable")]
+        while len(b):
+            j = int(b[0])
+            b = b[1:]
+            if group.linked(i, j):
+                label[label == label[j]] = label[i]
+                b = b[label[b] != label[i]]
+                yield int(order[i]), int(order[j])
+
+
+def _grouped_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(u, v) of the links within each group of rows (part, band, block, line, words), which come group by group."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+
+    def links(rows: pa.Table) -> pa.RecordBatch:
+        part, band, block, line = (rows.column(c).to_numpy() for c in ("part", "band", "block", "line"))
+        words = rows.column("words").to_pylist()
+        n, cells = parity_sketches(words)
+        folded = np.bitwise_xor.reduce(cells.reshape(len(words), -1, 2), axis=1)
+        begins = np.flatnonzero(np.append(True, (band[1:] != band[:-1]) | (part[1:] != part[:-1])))
+        counts = np.diff(np.append(begins, len(words)))
+        found: list[tuple[int, int]] = []
+        at = 0
+        while at < len(begins):
+            if counts[at] > 64:
+                a, b = begins[at], begins[at] + counts[at]
+                found += [(a + x, a + y) for x, y in _large_group(n[a:b], cells[a:b], folded[a:b], block[a:b], words[a:b])]
+                at += 1
+                continue
+            to = at
+            while to < len(begins) and counts[to] <= 64 and begins[to] - begins[at] < 4000:
+                to += 1
+            found += _small_groups(n, cells, folded, begins[at:to], counts[at:to], words)
+            at = to
+        u, v = (np.array(x, np.int64) for x in zip(*found, strict=True)) if found else (np.empty(0, np.int64),) * 2
+        return pa.RecordBatch.from_arrays([pa.array(np.maximum(line[u], line[v])), pa.array(np.minimum(line[u], line[v]))], names=["u", "v"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        size += batch.get_total_buffer_size()
+        if size > BLOCK_BYTES or sum(b.num_rows for b in held) >= 4 * BLOCK:
+            rows = pa.Table.from_batches(held)
+            part, band = rows.column("part").to_numpy(), rows.column("band").to_numpy()
+            cut = int(np.flatnonzero(np.append(True, (band[1:] != band[:-1]) | (part[1:] != part[:-1])))[-1])  # the last group may go on
+            if cut:
+                yield links(rows.slice(0, cut))
+                rest = pa.concat_tables([rows.slice(cut)]).combine_chunks()
+                held, size = [pa.RecordBatch.from_pydict({c: rest.column(c).combine_chunks() for c in rest.schema.names})], 0
+    if held:
+        yield links(pa.Table.from_batches(held))
 
 
 def similar_lines(docs: DataFrame, bloom_limit: int = BLOOM_BYTES) -> DataFrame:
@@ -203,54 +313,53 @@ def similar_lines(docs: DataFrame, bloom_limit: int = BLOOM_BYTES) -> DataFrame:
     return similar_in_lists(docs.select("text").mapInArrow(_banded, "band long, line long"), docs, bloom_limit)
 
 
-def similar_in_lists(bands: DataFrame, docs: DataFrame, bloom_limit: int = BLOOM_BYTES) -> DataFrame:
+def similar_in_lists(bands: DataFrame, docs: DataFrame, bloom_limit: int = BLOOM_BYTES, block: int = BLOCK, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(node, component) of the lines of docs that lists (band, line) bring together and that are alike."""
     order = Window.partitionBy("band").orderBy("line")
-    near = bands.withColumns({"hub": F.first("line").over(order), "before": F.lag("line").over(order)}).filter("line <> hub AND line <> before")
-    listed = stored(near.withColumn("place", F.row_number().over(order)), "band-lists")
-    pairs = listed.select(F.explode(F.array_distinct(F.array("hub", "before"))).alias("a"), F.col("line").alias("b")).distinct()
-    pairs = stored(pairs, "line-pairs")
-    texts = stored(_candidate_lines(docs, pairs.select(F.explode(F.array("a", "b")).alias("line")).distinct(), bloom_limit), "lines")
-    side = lambda k: texts.select(F.col("line").alias(k), F.col("words").alias(f"w_{k}"))
-    verified = lambda some: stored(some.join(side("a"), "a").join(side("b"), "b").mapInArrow(_similar, "a long, b long"), "line-links").toDF("u", "v")
-    found = stored(components(verified(pairs)), "line-components")
-
-    # Lists of four lines or more hold pairs that were not compared: those that are not yet in one component follow.
-    long = listed.filter("place > 2").select("band").distinct()
-    placed = listed.join(long, "band", "left_semi").select("band", "line").join(found.withColumnRenamed("node", "line"), "line", "left").select("band", "line", F.coalesce("component", "line").alias("component"))
-    mixed_lists = placed.groupBy("band").agg(F.min("component").alias("least"), F.max("component").alias("greatest")).filter("least <> greatest").select("band")
-    open_ = stored(placed.join(mixed_lists, "band", "left_semi"), "open-lists")
-    rest = open_.alias("a").join(open_.alias("b"), (F.col("a.band") == F.col("b.band")) & (F.col("a.component") < F.col("b.component")))
-    rest = rest.select(F.least("a.line", "b.line").alias("a"), F.greatest("a.line", "b.line").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-    more = verified(rest)
-    return found if more.isEmpty() else components(found.toDF("u", "v").union(more))
+    near = bands.withColumns({"head": F.first("line").over(order), "before": F.lag("line").over(order)}).filter("line <> head AND line <> before")
+    near = stored(near.select("band", "head", "line"), "band-lists")
+    lists = near.select("band", "line").union(near.groupBy("band").agg(F.first("head").alias("line")))
+    texts = _candidate_lines(docs, lists.select("line").distinct(), bloom_limit)
+    listed = stored(lists.join(texts, "line"), "listed-lines")
+    # Few lists are long; how many blocks each of these has is a row of its own.
+    sizes = listed.groupBy("band").agg(F.count("*").alias("n"), F.sum(F.length("words")).alias("bytes"))
+    long = sizes.select("band", F.ceil(F.greatest(F.col("n") / block, F.col("bytes") / block_bytes)).cast("int").alias("blocks")).filter("blocks > 1")
+    k = F.coalesce("blocks", F.lit(1))
+    dealt = listed.join(long, "band", "left").withColumn("block", F.pmod(F.xxhash64("line"), k).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), k - 1))
+    dealt = dealt.withColumn("other", other)
+    part = F.xxhash64("band", F.least("block", "other"), F.greatest("block", "other"))
+    dealt = dealt.select(part.alias("part"), "band", "block", "line", "words")
+    groups = dealt.repartition("part").sortWithinPartitions("part", "band")
+    return components(stored(groups.mapInArrow(_grouped_links, "u long, v long").distinct(), "line-links"))
 
 
 def deduplicated(docs: DataFrame, bloom_limit: int = BLOOM_BYTES) -> DataFrame:
     """docs with texts that keep one line of each component, and n_lines and n_kept, the non-empty lines before and after."""
-    docs = docs.drop("n_lines", "n_kept")
-    keyed = docs.withColumn("digest", F.xxhash64("text"))
-    found = stored(keyed.select(F.col("doc_id").cast("long").alias("doc_id"), "digest", "text").mapInArrow(_occurring, "doc_id long, digest long, place int, line long"), "occurrences")
+    # A document travels as one column, so its own columns never clash with those of the search.
+    own = docs.drop("n_lines", "n_kept")
+    keyed = own.select(F.struct("*").alias("own"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("digest"), "text")
+    found = stored(keyed.select("doc_id", "digest", "text").mapInArrow(_occurring, "doc_id long, digest long, place int, line long"), "occurrences")
     alike = stored(similar_lines(docs, bloom_limit), "alike")
     place = F.struct("doc_id", "place", "digest")
     each = found.groupBy("line").agg(F.min(place).alias("first"), F.count("*").alias("k"))
     each = each.join(alike.withColumnRenamed("node", "line"), "line", "left").filter("k > 1 OR component IS NOT NULL")
-    firsts = each.groupBy(F.coalesce("component", "line").alias("component")).agg(F.min("first").alias("first"), F.count("*").alias("lines"), F.sum("k").alias("k")).filter("k > 1")
+    firsts = each.groupBy(F.coalesce("component", "line").alias("component")).agg(F.min("first").alias("first"), F.sum("k").alias("k")).filter("k > 1")
     firsts = stored(firsts.select("component", "first"), "firsts")
     heads = each.select("line", F.coalesce("component", "line").alias("component")).join(firsts, "component").select("line", "first")
     repeats = found.join(heads, "line").filter(~F.col("first").eqNullSafe(place))
     gone = repeats.groupBy("doc_id", "digest").agg(F.collect_set("place").alias("gone"))
-    return _rewritten(keyed, gone).drop("digest")
+    return _rewritten(keyed, gone, own.columns)
 
 
-def _rewritten(keyed: DataFrame, gone: DataFrame) -> DataFrame:
+def _rewritten(keyed: DataFrame, gone: DataFrame, columns: list[str]) -> DataFrame:
     gone = gone.select(F.col("doc_id").alias("gone_id"), F.col("digest").alias("gone_digest"), "gone")
     joined = keyed.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.col("digest") == F.col("gone_digest")), "left")
     joined = joined.withColumn("all", F.split("text", "\n", -1)).withColumn("gone", F.coalesce("gone", F.expr("cast(array() as array<int>)")))
-    left = F.expr("array_join(filter(all, (x, i) -> NOT array_contains(gone, i)), '\n')")
-    n = F.expr("cast(size(filter(all, x -> x rlike '(?U)\\\\S')) as bigint)")
+    left = F.expr("array_join(transform(array_except(sequence(0, size(all) - 1), gone), i -> all[i]), '\n')")
+    n = F.coalesce(F.expr("cast(size(filter(all, x -> x rlike '(?U)\\\\S')) as bigint)"), F.lit(0))
     text = F.when(F.size("gone") > 0, left).otherwise(F.col("text"))
-    return joined.select(*(text.alias("text") if c == "text" else c for c in keyed.columns), F.coalesce(n, F.lit(0)).alias("n_lines"), (F.coalesce(n, F.lit(0)) - F.size("gone")).alias("n_kept"))
+    return joined.select(*(text.alias(c) if c == "text" else F.col("own").getField(c).alias(c) for c in columns), n.alias("n_lines"), (n - F.size("gone")).alias("n_kept"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

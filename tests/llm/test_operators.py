@@ -313,30 +313,70 @@ def test_line_dedup(spark, none, limit):
     assert line_dedup.deduplicated(none, limit).count() == 0
 
 
-def test_lists_leave_out_no_pair(spark):
-    """One list of all lines: neither its first line nor neighbours in it need be alike, yet every link is found."""
+@pytest.mark.parametrize(("groups", "block"), [(15, line_dedup.BLOCK), (60, line_dedup.BLOCK), (60, 20)])
+def test_lists_leave_out_no_pair(spark, groups, block):
+    """One list of all lines, whole or in blocks: every link is found, though no pair is given."""
     rng = np.random.default_rng(8)
     letters = list("abcdefghijklmnop ")
     lines = []
-    for _ in range(15):
+    for _ in range(groups):
         base = "".join(rng.choice(letters, int(rng.integers(60, 160))))
         lines += [base, *(base[:k] + "z" + base[k + 1 :] for k in rng.integers(len(base), size=int(rng.integers(0, 3))))]
     made = [(i, x) for i, x in enumerate(lines)]
     hashed = {line_dedup.line_hash(line_dedup.normalised(x)): line_dedup.shingle_set(line_dedup.normalised(x)) for x in lines}
     links = [(a, b) for a, b in combinations(hashed, 2) if len(hashed[a] & hashed[b]) >= line_dedup.SIMILARITY * len(hashed[a] | hashed[b])]
     docs = spark.createDataFrame(made, "doc_id long, text string").repartition(3)
-    got = {r.node: r.component for r in line_dedup.similar_in_lists(spark.createDataFrame([(0, h) for h in hashed], "band long, line long"), docs).collect()}
+    got = {r.node: r.component for r in line_dedup.similar_in_lists(spark.createDataFrame([(0, h) for h in hashed], "band long, line long"), docs, block=block).collect()}
     assert len(links) > 10 and set(got) == {h for pair in links for h in pair}
     assert got == {r.node: r.component for r in components(spark.createDataFrame(links, "u long, v long")).collect()}
 
 
+def test_line_dedup_odd_rows(spark):
+    """Columns with the search's own names, null doc_ids, rows of white space, and what only looks like it."""
+    made = [(None, "Held by a null id", "p", [1]), (1, "held BY a null id\nown line", "q", None), (2, "\u001c\n\u00a0\n\u3000\nx", None, [2]), (2, None, "r", [3]), (3, " ", "s", []), (4, "\u001c", "t", [])]
+    docs = spark.createDataFrame([(*r, 1, 2, 3, 4) for r in made], "doc_id long, text string, gone string, all array<int>, digest int, gone_id int, gone_digest int, own int").repartition(2)
+    out = line_dedup.deduplicated(docs)
+    assert out.columns == [*docs.columns, "n_lines", "n_kept"] and out.schema[:8] == docs.schema
+    got = sorted(out.collect(), key=lambda r: (r.doc_id or 0, r.gone or ""))
+    assert [(r.text, r.n_lines, r.n_kept) for r in got] == [("Held by a null id", 1, 1), ("own line", 2, 1), ("\u001c\n\u00a0\n\u3000\nx", 2, 2), (None, 0, 0), (" ", 0, 0), ("", 1, 0)]
+    assert [(r.gone, r["all"], r.digest, r.gone_id, r.gone_digest, r.own) for r in got] == [(g, a, 1, 2, 3, 4) for _, _, g, a in made]
+
+
+def test_line_dedup_of_one_long_text(spark):
+    rng = np.random.default_rng(15)
+    lines = ["".join(rng.choice(list("abcdefghij"), 30)) for _ in range(3000)]
+    long = "".join(rng.choice(list("abcdefghij"), 300_000))
+    text = "\n".join([*lines, long, *lines, long + "z"])
+    got = line_dedup.deduplicated(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert got.text == "\n".join([*lines, long]) and (got.n_lines, got.n_kept) == (6002, 3001)
+
+
+def test_line_recall_on_documents(spark):
+    """Of the similar pairs among the lines of real texts, how many lists bring together."""
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    lines = list({x for t in texts for _, x in line_dedup._lines(t)})
+    n, cells = line_dedup.parity_sketches(lines)
+    order = np.argsort(n, kind="stable")
+    lines, n, cells = [lines[i] for i in order], n[order], cells[order]
+    folded = np.bitwise_xor.reduce(cells.reshape(len(lines), -1, 2), axis=1)
+    keys, sets = line_dedup.band_keys(lines), {}
+    own = lambda i: sets.setdefault(i, line_dedup.shingle_set(lines[i]))
+    pairs = []
+    for i, end in enumerate(np.searchsorted(n, n / 0.8, side="right").tolist()):
+        b = np.arange(i + 1, end)
+        ok, _ = line_dedup._fitting(n, cells, folded, np.full(len(b), i), b)
+        pairs += [(i, j) for j in b[ok].tolist() if len(own(i) & own(j)) >= 0.8 * len(own(i) | own(j))]
+    assert len(pairs) > 200
+    assert np.mean([(keys[i] == keys[j]).any() for i, j in pairs]) > 0.97
+
+
 def test_sketches_bound_the_difference():
     rng = np.random.default_rng(9)
     lines = ["".join(rng.choice(list("abc "), int(rng.integers(1, 300)))).encode() for _ in range(80)] + [b"", b"short", "é".encode() * 2000]
     sets = [line_dedup.shingle_set(x) for x in lines]
-    known = line_dedup.parity_sketches(lines)
-    assert [n for n, _ in known] == [len(x) for x in sets]
-    assert all((known[i][1] ^ known[j][1]).bit_count() <= len(sets[i] ^ sets[j]) for i, j in combinations(range(len(lines)), 2))
+    sizes, cells = line_dedup.parity_sketches(lines)
+    assert sizes.tolist() == [len(x) for x in sets]
+    assert all(np.bitwise_count(cells[i] ^ cells[j]).sum() <= len(sets[i] ^ sets[j]) for i, j in combinations(range(len(lines)), 2))
 
 
 def test_band_recall():
