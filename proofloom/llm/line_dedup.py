@@ -4,7 +4,7 @@
    (all of it if it is shorter). One hash a shingle is dealt into BANDS x ROWS bins, each keeping its least value; empty
    bins borrow from the next one that is filled. The rows of a band make one key. With 10 bands of 4 rows, lines of
    Jaccard 0.8 share a key with probability 0.99.
-2. Lists. The lines of a key form a list. Only lines in lists of two or more travel with their text, told by a Bloom
+2. Lists. The lines of a key form a list; of lists with the same lines one is kept. Only lines in lists of two or more travel with their text, told by a Bloom
    filter of at most BLOOM_BYTES; the more lines there are, the more others pass it, which costs and changes nothing.
    A list of more than BLOCK lines or BLOCK_BYTES is dealt into blocks, and each pair of blocks is a group of its own.
 3. Verification. Within a group, sizes and parity sketches rule pairs out as whole arrays; the exact Jaccard of the
@@ -38,7 +38,7 @@ from .hashing import mixed, power
 SHINGLE, BANDS, ROWS, SIMILARITY, SEED = 5, 10, 4, 0.8, 11
 BATCH_BYTES = 1_000_000
 BLOOM_BYTES, BLOOM_BITS = 64_000_000, 12
-BLOCK, BLOCK_BYTES = 8192, 8_000_000
+BLOCK, BLOCK_BYTES = 8192, 4_000_000
 SKETCH_BITS = 1024
 #: White space as Unicode has it, and Java's (?U)\s with it.
 WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -164,25 +164,33 @@ def _candidate_lines(docs: DataFrame, wanted: DataFrame, limit: int) -> DataFram
     return docs.select("text").mapInArrow(run, "line long, words binary").groupBy("line").agg(F.first("words").alias("words"))
 
 
-def shingle_set(line: bytes) -> set[str]:
-    text = line.decode()
-    return {text[i : i + SHINGLE] for i in range(max(1, len(text) - SHINGLE + 1))}
-
-
-def parity_sketches(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Of each line, how many shingles its set has, and as 64-bit words which cells an odd count of them falls into."""
-    sizes, cells = np.zeros(len(lines), np.int64), np.zeros((len(lines), SKETCH_BITS // 64), _U)
-    for at in range(0, len(lines), 1000):
-        some = lines[at : at + 1000]
-        hashes, own = shingle_hashes(some)
-        order = np.lexsort((hashes, own))
-        hashes, own = hashes[order], own[order]
-        new = np.append(True, (hashes[1:] != hashes[:-1]) | (own[1:] != own[:-1]))
-        hashes, own = hashes[new], own[new]
-        odd = np.bincount(own * SKETCH_BITS + (hashes % _U(SKETCH_BITS)).astype(np.int64), minlength=len(some) * SKETCH_BITS).astype(np.uint8) & 1
-        sizes[at : at + 1000] = np.bincount(own, minlength=len(some))
-        cells[at : at + 1000] = np.packbits(odd.reshape(len(some), SKETCH_BITS), axis=1).view(_U)
-    return sizes, cells
+def shingle_sets(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct shingle hashes of each line in turn, ascending within it, and the n + 1 offsets of lines in them."""
+    keys, counts, at = [], [], 0
+    while at < len(lines):
+        to, size = at, 0
+        while to < len(lines) and to - at < 1000 and (to == at or size + len(lines[to]) < BATCH_BYTES):
+            size += len(lines[to])
+            to += 1
+        hashes, own = shingle_hashes(lines[at:to])
+        key = np.sort(own.astype(_U) << _U(54) | hashes >> _U(10))
+        key = key[np.append(True, key[1:] != key[:-1])]
+        counts.append(np.bincount((key >> _U(54)).astype(np.int64), minlength=to - at))
+        keys.append(key & _U(2**54 - 1))
+        at = to
+    return np.concatenate(keys), np.concatenate([[0], *counts]).cumsum()
+
+
+def parity_sketches(keys: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """For each set, as 64-bit words, which cells an odd count of its hashes falls into."""
+    out = np.zeros((len(starts) - 1, SKETCH_BITS // 64), _U)
+    for at in range(0, len(out), 1000):
+        some = starts[at : at + 1001]
+        own = np.repeat(np.arange(len(some) - 1), np.diff(some))
+        cells = own * SKETCH_BITS + (keys[some[0] : some[-1]] % _U(SKETCH_BITS)).astype(np.int64)
+        odd = np.bincount(cells, minlength=(len(some) - 1) * SKETCH_BITS).astype(np.uint8) & 1
+        out[at : at + 1000] = np.packbits(odd.reshape(-1, SKETCH_BITS), axis=1).view(_U)
+    return out
 
 
 def _fitting(n: np.ndarray, cells: np.ndarray, folded: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -194,11 +202,20 @@ def _fitting(n: np.ndarray, cells: np.ndarray, folded: np.ndarray, a: np.ndarray
     return ok[apart <= most[ok]], apart[apart <= most[ok]]
 
 
-class _Group:
-    """Exact links among the lines of a group, each pair that is already connected left out."""
+class _Rows:
+    """The lines of whole groups as sets and sketches, and which of them are already connected."""
 
-    def __init__(self, words: list[bytes]):
-        self.words, self.sets, self.parent = words, {}, list(range(len(words)))
+    def __init__(self, lines: list[bytes]):
+        self.keys, self.starts = shingle_sets(lines)
+        self.n = np.diff(self.starts)
+        self.cells = parity_sketches(self.keys, self.starts)
+        self.folded = np.bitwise_xor.reduce(self.cells.reshape(len(lines), -1, 2), axis=1)
+        self.parent = list(range(len(lines)))
+
+    def fitting(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The places of the pairs that sizes and sketches do not rule out, those of nearest sketches first."""
+        ok, apart = _fitting(self.n, self.cells, self.folded, a, b)
+        return ok[np.argsort(apart, kind="stable")]
 
     def root(self, x: int) -> int:
         while self.parent[x] != x:
@@ -206,58 +223,43 @@ class _Group:
             x = self.parent[x]
         return x
 
-    def _set(self, x: int) -> set[str]:
-        if x not in self.sets:
-            if len(self.sets) > 4000:
-                self.sets.clear()
-            self.sets[x] = shingle_set(self.words[x])
-        return self.sets[x]
-
     def linked(self, a: int, b: int) -> bool:
         """Whether a and b, so far apart, are now joined."""
         x, y = self.root(a), self.root(b)
         if x == y:
             return False
-        p, q = self._set(a), self._set(b)
-        common = len(p & q)
-        if common < SIMILARITY * (len(p) + len(q) - common):
+        p, q = (self.keys[self.starts[i] : self.starts[i + 1]] for i in (a, b))
+        both = np.sort(np.concatenate([p, q]))
+        common = int((both[1:] == both[:-1]).sum())
+        if common < SIMILARITY * (len(both) - common):
             return False
         self.parent[max(x, y)] = min(x, y)
         return True
 
 
-def _small_groups(n: np.ndarray, cells: np.ndarray, folded: np.ndarray, begins: np.ndarray, counts: np.ndarray, words: list[bytes]) -> list[tuple[int, int]]:
-    """Links of many groups at once, all pairs of each as one array."""
+def _small_groups(rows: _Rows, begins: np.ndarray, counts: np.ndarray) -> list[tuple[int, int]]:
+    """Links of many groups that follow each other, all pairs of each as one array."""
     later = np.repeat(begins + counts, counts) - np.arange(counts.sum()) - 1 - begins[0]
     a = np.repeat(np.arange(counts.sum()), later)
     b = np.arange(len(a)) - np.repeat(np.cumsum(later) - later, later) + a + 1
     a, b = a + begins[0], b + begins[0]
-    ok, apart = _fitting(n, cells, folded, a, b)
-    ok = ok[np.argsort(apart, kind="stable")]
-    group = _Group(words)
-    return [(x, y) for x, y in zip(a[ok].tolist(), b[ok].tolist(), strict=True) if group.linked(x, y)]
+    ok = rows.fitting(a, b)
+    return [(x, y) for x, y in zip(a[ok].tolist(), b[ok].tolist(), strict=True) if rows.linked(x, y)]
 
 
-def _large_group(n: np.ndarray, cells: np.ndarray, folded: np.ndarray, block: np.ndarray, words: list[bytes]) -> Iterator[tuple[int, int]]:
+def _large_group(rows: _Rows, begin: int, end: int, block: np.ndarray) -> Iterator[tuple[int, int]]:
     """Links of one group, a line against all others of allowed size at a time; of two blocks, only pairs between them."""
-    order = np.argsort(n, kind="stable")
-    n, cells, folded, block = n[order], cells[order], folded[order], block[order]
+    order = begin + np.argsort(rows.n[begin:end], kind="stable")
+    n, block = rows.n[order], block[order]
     two = block.min() != block.max()
-    label, group = np.arange(len(n)), _Group([words[i] for i in order.tolist()])
-    ends = np.searchsorted(n, np.floor(n / SIMILARITY + 1e-9), side="right")
-    for i, end in enumerate(ends.tolist()):
-        b = np.arange(i + 1, end)
-        b = b[label[b] != label[i]]
-        if two:
-            b = b[block[b] != block[i]]
-        if not len(b):
-            continue
-        ok, apart = _fitting(n, cells, folded, np.full(len(b), i), b)
-        b = b[ok][np.argsort(apart, kind="stable")]
+    label = np.arange(len(n))
+    for i, to in enumerate(np.searchsorted(n, np.floor(n / SIMILARITY + 1e-9), side="right").tolist()):
+        b = np.arange(i + 1, to)
+        b = b[(label[b] != label[i]) & ((block[b] != block[i]) | (not two))]
+        b = b[rows.fitting(np.full(len(b), order[i]), order[b])]
         while len(b):
-            j = int(b[0])
-            b = b[1:]
-            if group.linked(i, j):
+            j, b = int(b[0]), b[1:]
+            if rows.linked(int(order[i]), int(order[j])):
                 label[label == label[j]] = label[i]
                 b = b[label[b] != label[i]]
                 yield int(order[i]), int(order[j])
@@ -268,25 +270,24 @@ def _grouped_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     held: list[pa.RecordBatch] = []
     size = 0
 
-    def links(rows: pa.Table) -> pa.RecordBatch:
-        part, band, block, line = (rows.column(c).to_numpy() for c in ("part", "band", "block", "line"))
-        words = rows.column("words").to_pylist()
-        n, cells = parity_sketches(words)
-        folded = np.bitwise_xor.reduce(cells.reshape(len(words), -1, 2), axis=1)
-        begins = np.flatnonzero(np.append(True, (band[1:] != band[:-1]) | (part[1:] != part[:-1])))
-        counts = np.diff(np.append(begins, len(words)))
+    def edges(part: np.ndarray, band: np.ndarray) -> np.ndarray:
+        return np.flatnonzero(np.append(True, (band[1:] != band[:-1]) | (part[1:] != part[:-1])))
+
+    def links(whole: pa.Table) -> pa.RecordBatch:
+        part, band, block, line = (whole.column(c).to_numpy() for c in ("part", "band", "block", "line"))
+        rows, begins = _Rows(whole.column("words").to_pylist()), edges(part, band)
+        counts = np.diff(np.append(begins, len(part)))
         found: list[tuple[int, int]] = []
         at = 0
         while at < len(begins):
-            if counts[at] > 64:
-                a, b = begins[at], begins[at] + counts[at]
-                found += [(a + x, a + y) for x, y in _large_group(n[a:b], cells[a:b], folded[a:b], block[a:b], words[a:b])]
-                at += 1
-                continue
             to = at
             while to < len(begins) and counts[to] <= 64 and begins[to] - begins[at] < 4000:
                 to += 1
-            found += _small_groups(n, cells, folded, begins[at:to], counts[at:to], words)
+            if to > at:
+                found += _small_groups(rows, begins[at:to], counts[at:to])
+            else:
+                to = at + 1
+                found += _large_group(rows, begins[at], begins[at] + counts[at], block)
             at = to
         u, v = (np.array(x, np.int64) for x in zip(*found, strict=True)) if found else (np.empty(0, np.int64),) * 2
         return pa.RecordBatch.from_arrays([pa.array(np.maximum(line[u], line[v])), pa.array(np.minimum(line[u], line[v]))], names=["u", "v"])
@@ -294,12 +295,11 @@ def _grouped_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     for batch in batches:
         if not batch.num_rows:
             continue
-        held.append(batch)
+        held.append(pa.RecordBatch.from_arrays(batch.columns, names=batch.schema.names))
         size += batch.get_total_buffer_size()
         if size > BLOCK_BYTES or sum(b.num_rows for b in held) >= 4 * BLOCK:
             rows = pa.Table.from_batches(held)
-            part, band = rows.column("part").to_numpy(), rows.column("band").to_numpy()
-            cut = int(np.flatnonzero(np.append(True, (band[1:] != band[:-1]) | (part[1:] != part[:-1])))[-1])  # the last group may go on
+            cut = int(edges(rows.column("part").to_numpy(), rows.column("band").to_numpy())[-1])  # the last group may go on
             if cut:
                 yield links(rows.slice(0, cut))
                 rest = pa.concat_tables([rows.slice(cut)]).combine_chunks()
@@ -318,7 +318,10 @@ def similar_in_lists(bands: DataFrame, docs: DataFrame, bloom_limit: int = BLOOM
     order = Window.partitionBy("band").orderBy("line")
     near = bands.withColumns({"head": F.first("line").over(order), "before": F.lag("line").over(order)}).filter("line <> head AND line <> before")
     near = stored(near.select("band", "head", "line"), "band-lists")
-    lists = near.select("band", "line").union(near.groupBy("band").agg(F.first("head").alias("line")))
+    # Lines that are alike share most of their lists: of the lists with the same lines one is enough.
+    same = [F.count("*").alias("n"), *(F.bit_xor(F.xxhash64("line", F.lit(i))).alias(f"x{i}") for i in (0, 1))]
+    kept = stored(near.groupBy("band", "head").agg(*same).groupBy("head", "n", "x0", "x1").agg(F.min("band").alias("band")).select("band", F.col("head").alias("line")), "kept-lists")
+    lists = near.join(kept.select("band"), "band", "left_semi").select("band", "line").union(kept)
     texts = _candidate_lines(docs, lists.select("line").distinct(), bloom_limit)
     listed = stored(lists.join(texts, "line"), "listed-lines")
     # Few lists are long; how many blocks each of these has is a row of its own.

@@ -313,6 +313,11 @@ def test_line_dedup(spark, none, limit):
     assert line_dedup.deduplicated(none, limit).count() == 0
 
 
+def character_shingles(line):
+    text = line.decode()
+    return {text[i : i + line_dedup.SHINGLE] for i in range(max(1, len(text) - line_dedup.SHINGLE + 1))}
+
+
 @pytest.mark.parametrize(("groups", "block"), [(15, line_dedup.BLOCK), (60, line_dedup.BLOCK), (60, 20)])
 def test_lists_leave_out_no_pair(spark, groups, block):
     """One list of all lines, whole or in blocks: every link is found, though no pair is given."""
@@ -323,7 +328,7 @@ def test_lists_leave_out_no_pair(spark, groups, block):
         base = "".join(rng.choice(letters, int(rng.integers(60, 160))))
         lines += [base, *(base[:k] + "z" + base[k + 1 :] for k in rng.integers(len(base), size=int(rng.integers(0, 3))))]
     made = [(i, x) for i, x in enumerate(lines)]
-    hashed = {line_dedup.line_hash(line_dedup.normalised(x)): line_dedup.shingle_set(line_dedup.normalised(x)) for x in lines}
+    hashed = {line_dedup.line_hash(line_dedup.normalised(x)): character_shingles(line_dedup.normalised(x)) for x in lines}
     links = [(a, b) for a, b in combinations(hashed, 2) if len(hashed[a] & hashed[b]) >= line_dedup.SIMILARITY * len(hashed[a] | hashed[b])]
     docs = spark.createDataFrame(made, "doc_id long, text string").repartition(3)
     got = {r.node: r.component for r in line_dedup.similar_in_lists(spark.createDataFrame([(0, h) for h in hashed], "band long, line long"), docs, block=block).collect()}
@@ -355,17 +360,16 @@ def test_line_recall_on_documents(spark):
     """Of the similar pairs among the lines of real texts, how many lists bring together."""
     texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
     lines = list({x for t in texts for _, x in line_dedup._lines(t)})
-    n, cells = line_dedup.parity_sketches(lines)
-    order = np.argsort(n, kind="stable")
-    lines, n, cells = [lines[i] for i in order], n[order], cells[order]
-    folded = np.bitwise_xor.reduce(cells.reshape(len(lines), -1, 2), axis=1)
-    keys, sets = line_dedup.band_keys(lines), {}
-    own = lambda i: sets.setdefault(i, line_dedup.shingle_set(lines[i]))
+    lines.sort(key=lambda x: len(character_shingles(x)))
+    rows, keys = line_dedup._Rows(lines), line_dedup.band_keys(lines)
     pairs = []
-    for i, end in enumerate(np.searchsorted(n, n / 0.8, side="right").tolist()):
+    for i, end in enumerate(np.searchsorted(rows.n, rows.n / 0.8, side="right").tolist()):
         b = np.arange(i + 1, end)
-        ok, _ = line_dedup._fitting(n, cells, folded, np.full(len(b), i), b)
-        pairs += [(i, j) for j in b[ok].tolist() if len(own(i) & own(j)) >= 0.8 * len(own(i) | own(j))]
+        x = character_shingles(lines[i])
+        for j in b[rows.fitting(np.full(len(b), i), b)].tolist():
+            y = character_shingles(lines[j])
+            if len(x & y) >= 0.8 * len(x | y):
+                pairs.append((i, j))
     assert len(pairs) > 200
     assert np.mean([(keys[i] == keys[j]).any() for i, j in pairs]) > 0.97
 
@@ -373,9 +377,10 @@ def test_line_recall_on_documents(spark):
 def test_sketches_bound_the_difference():
     rng = np.random.default_rng(9)
     lines = ["".join(rng.choice(list("abc "), int(rng.integers(1, 300)))).encode() for _ in range(80)] + [b"", b"short", "é".encode() * 2000]
-    sets = [line_dedup.shingle_set(x) for x in lines]
-    sizes, cells = line_dedup.parity_sketches(lines)
-    assert sizes.tolist() == [len(x) for x in sets]
+    sets = [character_shingles(x) for x in lines]
+    keys, starts = line_dedup.shingle_sets(lines)
+    cells = line_dedup.parity_sketches(keys, starts)
+    assert np.diff(starts).tolist() == [len(x) for x in sets]
     assert all(np.bitwise_count(cells[i] ^ cells[j]).sum() <= len(sets[i] ^ sets[j]) for i, j in combinations(range(len(lines)), 2))
 
 
