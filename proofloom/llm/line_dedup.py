@@ -2,14 +2,16 @@
 
 1. Signatures. A line, stripped of white space and with A-Z lower-cased, has the set of its runs of SHINGLE characters
    (all of it if it is shorter). One hash a shingle is dealt into BANDS x ROWS bins, each keeping its least value; empty
-   bins borrow from the next one that is filled. The rows of a band make one key. With 10 bands of 4 rows, lines of
+   bins borrow from the next one that is filled. The rows of a band make one key. With 12 bands of 5 rows, lines of
    Jaccard 0.8 share a key with probability 0.99.
-2. Lists. The lines of a key form a list; of lists with the same lines one is kept. Only lines in lists of two or more travel with their text, told by a Bloom
-   filter of at most BLOOM_BYTES; the more lines there are, the more others pass it, which costs and changes nothing.
-   A list of more than BLOCK lines or BLOCK_BYTES is dealt into blocks, and each pair of blocks is a group of its own.
-3. Verification. Within a group, sizes and parity sketches rule pairs out as whole arrays; the exact Jaccard of the
-   shingle sets decides the others, in order of their sketches' distance, unless the group has already linked the two. A
-   group gives a forest of links, so no pair of a list is left out and no pair becomes a row.
+2. Lists. The lines of a key form a list; of lists with the same lines one is kept. A list travels as its lines' hashes,
+   set sizes and parity sketches; a list of more than BLOCK lines is dealt into blocks, and each pair of blocks is a
+   group of its own. Within a group, sizes and sketches rule pairs out as whole arrays, in memory of a bounded size; of
+   those left a forest, nearest first, is given, since a pair between lines that are already connected says nothing new.
+3. Verification. The exact Jaccard of the shingle sets decides each pair given. Lists that hold a refused pair are gone
+   through again for all pairs that lie in different components, so no pair of a list is left out, and only pairs that
+   sketches cannot tell from links become rows. Texts of lines are fetched for verified pairs only, by a Bloom filter of
+   at most BLOOM_BYTES; the more lines there are, the more others pass it, which costs and changes nothing.
 4. Components, by distributed union-find; of each the first occurrence stays, by doc_id, then place in the text.
 
 Equal lines (as normalised) are one line from the start. Lines of white space are neither counted nor removed. Null texts
@@ -31,14 +33,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import slices, stored, table
+from .common import group_edges, group_pairs, slices, small_and_large, stored, table, whole_groups
 from .graph import components
 from .hashing import mixed, power
 
-SHINGLE, BANDS, ROWS, SIMILARITY, SEED = 5, 10, 4, 0.8, 11
+SHINGLE, BANDS, ROWS, SIMILARITY, SEED = 5, 12, 5, 0.8, 11
 BATCH_BYTES = 1_000_000
 BLOOM_BYTES, BLOOM_BITS = 64_000_000, 12
-BLOCK, BLOCK_BYTES = 8192, 4_000_000
+BLOCK = 8192
 SKETCH_BITS = 1024
 #: White space as Unicode has it, and Java's (?U)\s with it.
 WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -109,14 +111,12 @@ def _occurring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    done: set[int] = set()  # lines that this task has dealt with; forgetting some only repeats their rows
+    done: set[int] = set()
     for whole in batches:
         for batch in slices(whole, "text", BATCH_BYTES):
-            lines = {h: line for text in batch.column("text").to_pylist() for _, line in _lines(text) if (h := line_hash(line)) not in done}
+            lines = _known(done, batch)
             if not lines:
                 continue
-            if len(done) > 300_000:
-                done.clear()
             done.update(lines)
             keys = band_keys(list(lines.values()))
             yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(np.fromiter(lines, np.int64, len(lines)), BANDS))], names=["band", "line"])
@@ -128,8 +128,16 @@ def _bloom_places(h: np.ndarray, bits: int, hashes: int) -> np.ndarray:
     return (a[None, :] + np.arange(hashes, dtype=_U)[:, None] * b[None, :]) % _U(bits)
 
 
-def _candidate_lines(docs: DataFrame, wanted: DataFrame, limit: int) -> DataFrame:
-    """(line, words) for the lines in wanted, and perhaps some others: each once."""
+def _known(done: set[int], batch: pa.RecordBatch) -> dict[int, bytes]:
+    """The distinct lines of a batch by hash, but for those that this task has dealt with; forgetting some only repeats their rows."""
+    lines = {h: line for text in batch.column("text").to_pylist() for _, line in _lines(text) if (h := line_hash(line)) not in done}
+    if len(done) > 300_000:
+        done.clear()
+    return lines
+
+
+def _of_lines(docs: DataFrame, wanted: DataFrame, limit: int, sketches: bool) -> DataFrame:
+    """(line, n, cells) or (line, words) for the lines in wanted, and perhaps some others: each once."""
     n = wanted.count()
     size = max(64, min(limit, math.ceil(n * BLOOM_BITS / 8)))
     hashes = max(1, min(5, round(size * 8 / max(1, n) * math.log(2))))
@@ -151,17 +159,25 @@ def _candidate_lines(docs: DataFrame, wanted: DataFrame, limit: int) -> DataFram
         done: set[int] = set()
         for whole in batches:
             for batch in slices(whole, "text", BATCH_BYTES):
-                lines = {h: line for text in batch.column("text").to_pylist() for _, line in _lines(text) if (h := line_hash(line)) not in done}
+                lines = _known(done, batch)
                 hashed = np.fromiter(lines, np.int64, len(lines))
                 if len(hashed):
                     at = _bloom_places(hashed, size * 8, hashes)
                     hashed = hashed[((share.value[(at >> _U(3)).astype(np.int64)] >> (at & _U(7)).astype(np.uint8)) & 1).all(axis=0)]
-                if len(done) > 300_000:
-                    done.clear()
+                if not len(hashed):
+                    continue
                 done.update(hashed.tolist())
-                yield pa.RecordBatch.from_arrays([pa.array(hashed), pa.array([lines[h] for h in hashed.tolist()], pa.binary())], names=["line", "words"])
+                some = [lines[h] for h in hashed.tolist()]
+                if sketches:
+                    keys, starts = shingle_sets(some)
+                    cells = pa.array([x.tobytes() for x in parity_sketches(keys, starts)], pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(hashed), pa.array(np.diff(starts)), cells], names=["line", "n", "cells"])
+                else:
+                    yield pa.RecordBatch.from_arrays([pa.array(hashed), pa.array(some, pa.binary())], names=["line", "words"])
 
-    return docs.select("text").mapInArrow(run, "line long, words binary").groupBy("line").agg(F.first("words").alias("words"))
+    columns = ("n long", "cells binary") if sketches else ("words binary",)
+    found = docs.select("text").mapInArrow(run, ", ".join(("line long", *columns)))
+    return found.groupBy("line").agg(*(F.first(c.split()[0]).alias(c.split()[0]) for c in columns))
 
 
 def shingle_sets(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -203,14 +219,12 @@ def _fitting(n: np.ndarray, cells: np.ndarray, folded: np.ndarray, a: np.ndarray
 
 
 class _Rows:
-    """The lines of whole groups as sets and sketches, and which of them are already connected."""
+    """The lines of whole groups as sizes and sketches, and which of them are taken as connected."""
 
-    def __init__(self, lines: list[bytes]):
-        self.keys, self.starts = shingle_sets(lines)
-        self.n = np.diff(self.starts)
-        self.cells = parity_sketches(self.keys, self.starts)
-        self.folded = np.bitwise_xor.reduce(self.cells.reshape(len(lines), -1, 2), axis=1)
-        self.parent = list(range(len(lines)))
+    def __init__(self, n: np.ndarray, cells: np.ndarray):
+        self.n, self.cells = n, cells
+        self.folded = np.bitwise_xor.reduce(cells.reshape(len(n), -1, 2), axis=1)
+        self.parent = list(range(len(n)))
 
     def fitting(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The places of the pairs that sizes and sketches do not rule out, those of nearest sketches first."""
@@ -223,89 +237,69 @@ class _Rows:
             x = self.parent[x]
         return x
 
-    def linked(self, a: int, b: int) -> bool:
-        """Whether a and b, so far apart, are now joined."""
+    def joined(self, a: int, b: int) -> bool:
+        """Whether a and b, so far apart, are now taken as connected."""
         x, y = self.root(a), self.root(b)
-        if x == y:
-            return False
-        p, q = (self.keys[self.starts[i] : self.starts[i + 1]] for i in (a, b))
-        both = np.sort(np.concatenate([p, q]))
-        common = int((both[1:] == both[:-1]).sum())
-        if common < SIMILARITY * (len(both) - common):
-            return False
         self.parent[max(x, y)] = min(x, y)
-        return True
-
+        return x != y
 
-def _small_groups(rows: _Rows, begins: np.ndarray, counts: np.ndarray) -> list[tuple[int, int]]:
-    """Links of many groups that follow each other, all pairs of each as one array."""
-    later = np.repeat(begins + counts, counts) - np.arange(counts.sum()) - 1 - begins[0]
-    a = np.repeat(np.arange(counts.sum()), later)
-    b = np.arange(len(a)) - np.repeat(np.cumsum(later) - later, later) + a + 1
-    a, b = a + begins[0], b + begins[0]
-    ok = rows.fitting(a, b)
-    return [(x, y) for x, y in zip(a[ok].tolist(), b[ok].tolist(), strict=True) if rows.linked(x, y)]
 
-
-def _large_group(rows: _Rows, begin: int, end: int, block: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Links of one group, a line against all others of allowed size at a time; of two blocks, only pairs between them."""
+def _large_group(rows: _Rows, begin: int, end: int, block: np.ndarray, component: np.ndarray, forest: bool) -> Iterator[tuple[int, int]]:
+    """Pairs of one group, a line against all others of allowed size at a time; of two blocks, only pairs between them."""
     order = begin + np.argsort(rows.n[begin:end], kind="stable")
-    n, block = rows.n[order], block[order]
+    n, block, label = rows.n[order], block[order], component[order]
     two = block.min() != block.max()
-    label = np.arange(len(n))
     for i, to in enumerate(np.searchsorted(n, np.floor(n / SIMILARITY + 1e-9), side="right").tolist()):
         b = np.arange(i + 1, to)
         b = b[(label[b] != label[i]) & ((block[b] != block[i]) | (not two))]
         b = b[rows.fitting(np.full(len(b), order[i]), order[b])]
         while len(b):
             j, b = int(b[0]), b[1:]
-            if rows.linked(int(order[i]), int(order[j])):
+            yield int(order[i]), int(order[j])
+            if forest:
                 label[label == label[j]] = label[i]
                 b = b[label[b] != label[i]]
-                yield int(order[i]), int(order[j])
-
-
-def _grouped_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(u, v) of the links within each group of rows (part, band, block, line, words), which come group by group."""
-    held: list[pa.RecordBatch] = []
-    size = 0
-
-    def edges(part: np.ndarray, band: np.ndarray) -> np.ndarray:
-        return np.flatnonzero(np.append(True, (band[1:] != band[:-1]) | (part[1:] != part[:-1])))
-
-    def links(whole: pa.Table) -> pa.RecordBatch:
-        part, band, block, line = (whole.column(c).to_numpy() for c in ("part", "band", "block", "line"))
-        rows, begins = _Rows(whole.column("words").to_pylist()), edges(part, band)
-        counts = np.diff(np.append(begins, len(part)))
-        found: list[tuple[int, int]] = []
-        at = 0
-        while at < len(begins):
-            to = at
-            while to < len(begins) and counts[to] <= 64 and begins[to] - begins[at] < 4000:
-                to += 1
-            if to > at:
-                found += _small_groups(rows, begins[at:to], counts[at:to])
-            else:
-                to = at + 1
-                found += _large_group(rows, begins[at], begins[at] + counts[at], block)
-            at = to
-        u, v = (np.array(x, np.int64) for x in zip(*found, strict=True)) if found else (np.empty(0, np.int64),) * 2
-        return pa.RecordBatch.from_arrays([pa.array(np.maximum(line[u], line[v])), pa.array(np.minimum(line[u], line[v]))], names=["u", "v"])
-
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        held.append(pa.RecordBatch.from_arrays(batch.columns, names=batch.schema.names))
-        size += batch.get_total_buffer_size()
-        if size > BLOCK_BYTES or sum(b.num_rows for b in held) >= 4 * BLOCK:
-            rows = pa.Table.from_batches(held)
-            cut = int(edges(rows.column("part").to_numpy(), rows.column("band").to_numpy())[-1])  # the last group may go on
-            if cut:
-                yield links(rows.slice(0, cut))
-                rest = pa.concat_tables([rows.slice(cut)]).combine_chunks()
-                held, size = [pa.RecordBatch.from_pydict({c: rest.column(c).combine_chunks() for c in rest.schema.names})], 0
-    if held:
-        yield links(pa.Table.from_batches(held))
+
+
+def _pairs(forest: bool):
+    """(a, b) of lines in different components within each group of rows (part, band, block, component, line, n, cells), which come group by group."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in whole_groups(batches, ("part", "band"), 4 * BLOCK, 8_000_000):
+            part, band, block, component, line, n = (whole.column(c).to_numpy() for c in ("part", "band", "block", "component", "line", "n"))
+            rows = _Rows(n, np.frombuffer(b"".join(whole.column("cells").to_pylist()), _U).reshape(len(whole), -1))
+            begins = group_edges(part, band)
+            counts = np.diff(np.append(begins, len(part)))
+            found: list[tuple[int, int]] = []
+            for i, j in small_and_large(begins, counts):
+                if counts[i] > 64:
+                    found += _large_group(rows, begins[i], begins[i] + counts[i], block, component, forest)
+                    continue
+                a, b = group_pairs(begins[i:j], counts[i:j])
+                apart = component[a] != component[b]
+                a, b = a[apart], b[apart]
+                ok = rows.fitting(a, b)
+                found += [(x, y) for x, y in zip(a[ok].tolist(), b[ok].tolist(), strict=True) if not forest or rows.joined(x, y)]
+            u, v = (np.array(x, np.int64) for x in zip(*found, strict=True)) if found else (np.empty(0, np.int64),) * 2
+            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(line[u], line[v])), pa.array(np.minimum(line[u], line[v]))], names=["a", "b"])
+
+    return run
+
+
+def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs (a, b) whose shingle sets agree by SIMILARITY."""
+    for whole in batches:
+        for b in slices(whole, "w_b", BATCH_BYTES):
+            left, right = b.column("w_a").to_pylist(), b.column("w_b").to_pylist()
+            place = {x: i for i, x in enumerate({*left, *right})}
+            keys, starts = shingle_sets(list(place))
+            own = lambda x: keys[starts[place[x]] : starts[place[x] + 1]]  # noqa: B023, E731
+            keep = []
+            for x, y in zip(left, right, strict=True):
+                both = np.sort(np.concatenate([own(x), own(y)]))
+                common = int((both[1:] == both[:-1]).sum())
+                keep.append(common >= SIMILARITY * (len(both) - common))
+            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
 def similar_lines(docs: DataFrame, bloom_limit: int = BLOOM_BYTES) -> DataFrame:
@@ -313,28 +307,41 @@ def similar_lines(docs: DataFrame, bloom_limit: int = BLOOM_BYTES) -> DataFrame:
     return similar_in_lists(docs.select("text").mapInArrow(_banded, "band long, line long"), docs, bloom_limit)
 
 
-def similar_in_lists(bands: DataFrame, docs: DataFrame, bloom_limit: int = BLOOM_BYTES, block: int = BLOCK, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def similar_in_lists(bands: DataFrame, docs: DataFrame, bloom_limit: int = BLOOM_BYTES, block: int = BLOCK) -> DataFrame:
     """(node, component) of the lines of docs that lists (band, line) bring together and that are alike."""
     order = Window.partitionBy("band").orderBy("line")
     near = bands.withColumns({"head": F.first("line").over(order), "before": F.lag("line").over(order)}).filter("line <> head AND line <> before")
     near = stored(near.select("band", "head", "line"), "band-lists")
     # Lines that are alike share most of their lists: of the lists with the same lines one is enough.
     same = [F.count("*").alias("n"), *(F.bit_xor(F.xxhash64("line", F.lit(i))).alias(f"x{i}") for i in (0, 1))]
-    kept = stored(near.groupBy("band", "head").agg(*same).groupBy("head", "n", "x0", "x1").agg(F.min("band").alias("band")).select("band", F.col("head").alias("line")), "kept-lists")
-    lists = near.join(kept.select("band"), "band", "left_semi").select("band", "line").union(kept)
-    texts = _candidate_lines(docs, lists.select("line").distinct(), bloom_limit)
-    listed = stored(lists.join(texts, "line"), "listed-lines")
-    # Few lists are long; how many blocks each of these has is a row of its own.
-    sizes = listed.groupBy("band").agg(F.count("*").alias("n"), F.sum(F.length("words")).alias("bytes"))
-    long = sizes.select("band", F.ceil(F.greatest(F.col("n") / block, F.col("bytes") / block_bytes)).cast("int").alias("blocks")).filter("blocks > 1")
-    k = F.coalesce("blocks", F.lit(1))
-    dealt = listed.join(long, "band", "left").withColumn("block", F.pmod(F.xxhash64("line"), k).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), k - 1))
-    dealt = dealt.withColumn("other", other)
-    part = F.xxhash64("band", F.least("block", "other"), F.greatest("block", "other"))
-    dealt = dealt.select(part.alias("part"), "band", "block", "line", "words")
-    groups = dealt.repartition("part").sortWithinPartitions("part", "band")
-    return components(stored(groups.mapInArrow(_grouped_links, "u long, v long").distinct(), "line-links"))
+    kept = near.groupBy("band", "head").agg(*same).groupBy("head", "n", "x0", "x1").agg(F.min("band").alias("band")).select("band", F.col("head").alias("line"), F.ceil((F.col("n") + 1) / block).cast("int").alias("blocks"))
+    kept = stored(kept, "kept-lists")
+    lists = near.select("band", "line").join(kept.select("band", "blocks"), "band").union(kept.select("band", "line", "blocks"))
+    lists = stored(lists.withColumn("block", F.pmod(F.xxhash64("line"), F.col("blocks")).cast("int")), "lists")
+    sketches = stored(_of_lines(docs, lists.select("line").distinct(), bloom_limit, True), "sketches")
+
+    def pairs(some: DataFrame, forest: bool) -> DataFrame:
+        dealt = some.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        part = F.xxhash64("band", F.least("block", "other"), F.greatest("block", "other"))
+        rows = dealt.select(part.alias("part"), "band", "block", "component", "line").join(sketches, "line")
+        return rows.repartition("part").sortWithinPartitions("part", "band").mapInArrow(_pairs(forest), "a long, b long").distinct()
+
+    def verified(some: DataFrame) -> DataFrame:
+        words = stored(_of_lines(docs, some.select(F.explode(F.array("a", "b")).alias("line")).distinct(), bloom_limit, False), "lines")
+        side = lambda k: words.select(F.col("line").alias(k), F.col("words").alias(f"w_{k}"))
+        return stored(some.join(side("a"), "a").join(side("b"), "b").mapInArrow(_similar, "a long, b long"), "line-links").toDF("u", "v")
+
+    given = stored(pairs(lists.withColumn("component", F.col("line")), True), "line-pairs")
+    links = verified(given)
+    found = components(links)
+    refused = stored(given.join(links.toDF("a", "b"), ["a", "b"], "left_anti"), "refused")
+    if refused.isEmpty():
+        return found
+    found = stored(found, "line-components")
+    again = lists.join(lists.join(refused.select(F.col("a").alias("line")).distinct(), "line", "left_semi").select("band").distinct(), "band", "left_semi")
+    again = again.join(found.withColumnRenamed("node", "line"), "line", "left").withColumn("component", F.coalesce("component", "line"))
+    left = stored(pairs(again, False).join(given, ["a", "b"], "left_anti"), "line-pairs")
+    return found if left.isEmpty() else components(links.union(verified(left)))
 
 
 def deduplicated(docs: DataFrame, bloom_limit: int = BLOOM_BYTES) -> DataFrame:

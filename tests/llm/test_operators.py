@@ -242,14 +242,39 @@ def near_copies(seed, n):
     return list(enumerate(out))
 
 
-@pytest.mark.parametrize("bits", [6, 14, 22])
-def test_jaccard_join(spark, rows, bits):
+@pytest.mark.parametrize(("bits", "long", "block"), [(6, jaccard_join.LONG, jaccard_join.BLOCK), (14, 7, 5), (22, jaccard_join.LONG, jaccard_join.BLOCK)])
+def test_jaccard_join(spark, rows, bits, long, block):
+    """Also with counters that tell nothing, and with lists in parts and blocks of a few entries."""
     made = near_copies(bits, 40) + [(5000 + i, t) for i, t in rows[:230]]
     made = list(dict(made).items())
-    got = jaccard_join.linked(spark.createDataFrame(made, "doc_id long, text string").repartition(5), bits=bits).collect()
+    docs = spark.createDataFrame([(i, t, 1, "x") for i, t in made], "doc_id long, text string, rep int, token string").repartition(5)
+    got = jaccard_join.linked(docs, bits=bits, long=long, block=block).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == jaccard_brute(made) and len(got) == len(made)
 
 
+def test_jaccard_join_of_one_large_list(spark):
+    """Two groups of near copies and unlike texts, all with the same rare words: more than a small group of one list."""
+    rng = np.random.default_rng(16)
+    words, shared = [f"w{i}" for i in range(3000)], [f"shared{i}" for i in range(14)]
+    bases = [[*shared, *rng.choice(words, 100)] for _ in range(2)]
+    made = []
+    for i in range(260):
+        own = list(bases[i % 2]) if i < 200 else [*shared, *rng.choice(words, 100)]
+        own[20 + int(rng.integers(90))] = f"x{int(rng.integers(40))}"
+        made.append((i, " ".join(own)))
+    got = jaccard_join.linked(spark.createDataFrame(made, "doc_id long, text string").repartition(3), bits=6).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == jaccard_brute(made)
+
+
+def test_partners_in_a_list():
+    rng = np.random.default_rng(17)
+    for _ in range(500):
+        n = rng.integers(1, 60, rng.integers(1, 12))
+        low, high = jaccard_join._bounds(n, (n * rng.random(len(n)) * 0.25).astype(np.int64), 80)
+        every = range(len(n))
+        assert jaccard_join._with_partner(low, high).tolist() == [any(i != j and low[i] <= high[j] and low[j] <= high[i] for j in every) for i in every]
+
+
 def test_jaccard_join_odd_rows(spark, none):
     made = [(3, "a b c d"), (3, "x y z w"), (2, "x y z w"), (None, "a b c d"), (None, "only here now"), (7, None), (8, ""), (8, ""), (9, "A B\nC\td"), (None, None)]
     got = jaccard_join.linked(spark.createDataFrame(made, "doc_id long, text string"), bits=8).collect()
@@ -361,7 +386,8 @@ def test_line_recall_on_documents(spark):
     texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
     lines = list({x for t in texts for _, x in line_dedup._lines(t)})
     lines.sort(key=lambda x: len(character_shingles(x)))
-    rows, keys = line_dedup._Rows(lines), line_dedup.band_keys(lines)
+    sets, starts = line_dedup.shingle_sets(lines)
+    rows, keys = line_dedup._Rows(np.diff(starts), line_dedup.parity_sketches(sets, starts)), line_dedup.band_keys(lines)
     pairs = []
     for i, end in enumerate(np.searchsorted(rows.n, rows.n / 0.8, side="right").tolist()):
         b = np.arange(i + 1, end)
