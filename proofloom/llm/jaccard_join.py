@@ -15,8 +15,9 @@ link when 100 * intersection >= 90 * union.
    most with the others. A set that links with a hub takes over the hub's answers, for what reaches the one reaches the
    other. Only lists whose sets then lie in different components are looked at again, in groups of bounded size: a set's
    own candidates are those of its hub's that the distance between the two leaves in doubt, and parity sketches, an
-   exact lower bound of the symmetric difference, skip most of these. First one pair for any two components is verified,
-   then all that is left, so copies cost no more than their number and no link is lost.
+   exact lower bound of the symmetric difference, skip most of these. In a large group one pair for any two components is
+   verified first; lists that hold a refused set are gone through again for all that is left, so copies cost no more than
+   their number and no link is lost.
 
 Exact counts of intersections decide every link. Null and empty texts, and texts without words, have n_shingles 0 and
 are their own components. Very long texts are whole sets like others. A null doc_id has its set counted, and takes the
@@ -315,12 +316,17 @@ def linked(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, bits: int
     same = some.join(sets.select("print", "rep"), "print").select(F.col("doc_id").alias("u"), F.col("rep").alias("v")).filter("u <> v")
     hubs = links.select(F.col("b").alias("rep"), F.col("a").alias("hub"), "apart")
     edges = links.select(F.col("a").alias("u"), F.col("b").alias("v"))
-    for forest in (True, False):
-        found = stored(components(edges), "components")
-        pairs = stored(_open_pairs(lists, found, hubs, sets, percent, forest, block), "open-pairs")
-        if pairs.isEmpty():
-            break
-        edges = stored(edges.union(_checked(pairs, sets, docs, n, percent).select("a", "b")), "links")
+    found = stored(components(edges), "components")
+    given = stored(_open_pairs(lists, found, hubs, sets, percent, True, block), "open-pairs")
+    if not given.isEmpty():
+        more = stored(_checked(given, sets, docs, n, percent).select("a", "b"), "links")
+        edges = edges.union(more.toDF("u", "v"))
+        refused = given.join(more, ["a", "b"], "left_anti").select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+        again = lists.join(lists.join(refused, "rep", "left_semi").select("token").distinct(), "token", "left_semi")
+        left = _open_pairs(stored(again, "lists"), stored(components(edges), "components"), hubs, sets, percent, False, block)
+        left = stored(left.join(given, ["a", "b"], "left_anti"), "open-pairs")
+        if not left.isEmpty():
+            edges = stored(edges.union(_checked(left, sets, docs, n, percent).select("a", "b")), "links")
     member = stored(components(edges.union(same)), "components")
     own = sets.select("print", F.col("rep").alias("class"))
     out = rows.select("doc_id", "n", "print").join(own, "print", "left").withColumn("node", F.when(F.col("n") > 0, F.coalesce("doc_id", "class")).otherwise(F.col("doc_id")))

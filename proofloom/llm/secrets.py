@@ -1,15 +1,20 @@
 """Operator 3: secret scans by grammar inference.
 
 Base patterns find assigned values, access ids and long hexadecimal runs, as the contract states them. What they find in
-all documents are labelled credentials, of whose distinct strings a bounded sample by hash is kept; ordinary tokens of
-all documents are the background. For each kind, the prefix tree of its labelled strings, over character classes, is
-reduced by merging states whose outgoing frequencies agree within the Hoeffding bound (ALERGIA), in red-blue order.
-Every token of 20 or more characters anywhere in the corpus, or what base spans leave over of it, is then scored as a
-whole by the best automaton's log-likelihood a character, less that under the background's class bigrams; those above
-the margin become spans of kind `format`.
-
-Null and empty texts give no spans; rows are independent, so repeated rows repeat their result. If the corpus holds
-fewer than MIN_LABELLED distinct strings of a kind it has no automaton; an empty table gives an empty result.
+all documents are labelled credentials, of whose distinct strings a bounded sample by hash is kept; ordinary words of all
+documents are the background. For each kind with any labelled string, the prefix tree of its strings, over character
+classes, is reduced by merging states whose outgoing frequencies agree within the Hoeffding bound (ALERGIA), in red-blue
+order; how long its strings are is counted beside it.
+
+All candidates are then scored whole: the value of every base span, and every token of LEAST or more characters, or what
+base spans leave over of it. A score is the best automaton's log-likelihood a character, less that under the background's
+class bigrams. Base spans stay whatever they score; other candidates above MARGIN become spans of kind `format`. `scores`
+holds every candidate above MARGIN as kind:start:end:score, base ones with their values' bounds.
+
+Null and empty texts give no spans; very long texts and tokens are scanned and scored whole. Rows are independent, so
+repeated rows repeat their result, and null doc_ids are kept. Few labelled strings make a vague automaton, smoothed like
+any other; without any, nothing is scored and no span is added. An empty table gives an empty result. Extra columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -27,24 +32,27 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import rows_mapper, slices, stored, table
+from .common import slices, stored, table
 
 BASE = ("assign", "access", "hex")
+KINDS = (*BASE, "format")
 #: Bounds of the training sample: strings of a kind, and characters of a string.
 SAMPLE_STRINGS, SAMPLE_LENGTH = 300, 96
 BATCH_BYTES = 2_000_000
 LEAST = 20  # characters of a token that is scored
-MIN_LABELLED, ALPHA, MARGIN = 20, 0.05, 0.5
+ALPHA, MARGIN, PRIOR = 0.05, 0.5, 0.1
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _LONG = re.compile(r"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_.=-]{20,}")
 _CUES = ("passw", "secret", "token", "apikey", "api_key")
-_CLASSES = str.maketrans({**dict.fromkeys("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "A"), **dict.fromkeys("abcdefghijklmnopqrstuvwxyz", "a"), **dict.fromkeys("0123456789", "0")})
+#: Classes: digits, letters that hexadecimal has and others, of either case; each of the marks is its own class.
+_CLASSES = str.maketrans({**dict.fromkeys("ABCDEF", "H"), **dict.fromkeys("GHIJKLMNOPQRSTUVWXYZ", "A"), **dict.fromkeys("abcdef", "h"), **dict.fromkeys("ghijklmnopqrstuvwxyz", "a"), **dict.fromkeys("0123456789", "0")})
 END, OTHER = "$", "?"
-PAIR_SYMBOLS = END + OTHER + "Aa0+/_.=-"  # of the background's pairs; all characters outside the classes are one
-SYMBOLS = 10  # classes that a string may hold, with its end: letters of either case, digits, + / _ . = - and the end
+PAIR_SYMBOLS = END + OTHER + "HAha0+/_.=-"  # of the background's pairs; all characters outside the classes are one
+SYMBOLS = len(PAIR_SYMBOLS) - 1  # what may come next in a string: a class or its end
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -60,10 +68,9 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return [(a, b, BASE[k]) for a, b, k in sorted(out, key=lambda x: (x[0], x[2]))]
 
 
-def value_of(text: str, start: int, end: int, kind: str) -> str:
-    if kind != "assign":
-        return text[start:end]
-    return _ASSIGN.match(text, start, end)[2]
+def value_bounds(text: str, start: int, end: int, kind: str) -> tuple[int, int]:
+    """Where the credential itself is within a base span."""
+    return _ASSIGN.match(text, start, end).span(2) if kind == "assign" else (start, end)
 
 
 class Automaton:
@@ -82,6 +89,7 @@ class Automaton:
                     self.count.append(Counter())
                 at = self.next[at][c]
             self.count[at][END] += 1
+        self.lengths = Counter(min(len(s), SAMPLE_LENGTH) for s in strings)
         self.bound = math.sqrt(0.5 * math.log(2 / alpha))
         self._infer()
 
@@ -131,17 +139,16 @@ class Automaton:
         names = {q: i for i, q in enumerate(red)}
         self.next = [{c: names[n] for c, n in self.next[q].items()} for q in red]
         self.count = [self.count[q] for q in red]
-        self.log = [{c: math.log((k + 0.1) / (sum(counts.values()) + 0.1 * SYMBOLS)) for c, k in counts.items()} for counts in self.count]
-        self.rest = [math.log(0.1 / (sum(counts.values()) + 0.1 * SYMBOLS)) for counts in self.count]
+        n = [sum(k for c, k in counts.items() if c != END) + PRIOR * (SYMBOLS - 1) for counts in self.count]
+        self.log = [{c: math.log((k + PRIOR) / total) for c, k in counts.items() if c != END} for counts, total in zip(self.count, n, strict=True)]
+        self.rest = [math.log(PRIOR / total) for total in n]
 
     def score(self, classes: str) -> float:
-        """Mean log-likelihood of a string of classes and its end."""
-        at, total = 0, 0.0
-        for i, c in enumerate(classes + END):
+        """Mean log-likelihood of a string of classes and of its length; where a class leads nowhere, the start goes on."""
+        at, total = 0, math.log((self.lengths[min(len(classes), SAMPLE_LENGTH)] + PRIOR) / (sum(self.lengths.values()) + PRIOR * SAMPLE_LENGTH))
+        for c in classes:
             total += self.log[at].get(c, self.rest[at])
-            if c not in self.next[at]:  # the rest of the string has left the automaton
-                return (total + self.rest[at] * (len(classes) - i)) / (len(classes) + 1)
-            at = self.next[at][c]
+            at = self.next[at].get(c, 0)
         return total / (len(classes) + 1)
 
 
@@ -149,7 +156,7 @@ class Formats:
     """Automata by kind and the background's class bigrams."""
 
     def __init__(self, labelled: dict[str, list[str]], background: Counter):
-        self.automata = {k: Automaton(sorted(v)) for k, v in sorted(labelled.items()) if len(v) >= MIN_LABELLED}
+        self.automata = {k: Automaton(sorted(v)) for k, v in sorted(labelled.items()) if v}
         totals: Counter = Counter()
         for (a, _), n in background.items():
             totals[a] += n
@@ -205,7 +212,8 @@ def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             pairs += background(texts)
             for text in texts:
                 for a, b, kind in base_spans(text or ""):
-                    value = value_of(text, a, b, kind)[:SAMPLE_LENGTH]
+                    x, y = value_bounds(text, a, b, kind)
+                    value = text[x : min(y, x + SAMPLE_LENGTH)]
                     strings[kind].add((xxhash.xxh64_intdigest(value.encode()) >> 1, value))
             for kind, own in strings.items():
                 if len(own) > SAMPLE_STRINGS:
@@ -219,8 +227,12 @@ def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def learn(docs: DataFrame) -> Formats:
     """Fits on all documents: on the sums of their pairs, and on the SAMPLE_STRINGS distinct labelled strings of least hash of each kind."""
     found = stored(docs.select("text").mapInArrow(_labelled, "kind string, value string, n long"), "labelled")
-    strings = {kind: [r.value for r in found.filter(F.col("kind") == kind).select("n", "value").distinct().orderBy("n", "value").limit(SAMPLE_STRINGS).collect()] for kind in BASE}
-    pairs = {(r.value[0], r.value[1]): r.n for r in found.filter("kind = ''").groupBy("value").agg(F.sum("n").alias("n")).collect()}  # no more than PAIR_SYMBOLS squared
+    least = Window.partitionBy("kind").orderBy("n", "value")
+    strings = found.filter("kind <> ''").distinct().withColumn("k", F.row_number().over(least)).filter(F.col("k") <= SAMPLE_STRINGS).select("kind", "value", "n")
+    sums = found.filter("kind = ''").groupBy("kind", "value").agg(F.sum("n").alias("n"))
+    rows = strings.union(sums).collect()  # no more than SAMPLE_STRINGS a kind and PAIR_SYMBOLS squared
+    pairs = {(r.value[0], r.value[1]): r.n for r in rows if not r.kind}
+    strings = {kind: [r.value for r in rows if r.kind == kind] for kind in BASE}
     return Formats(strings, Counter(pairs))
 
 
@@ -235,35 +247,51 @@ def _left_over(start: int, end: int, spans: list[tuple[int, int, str]]) -> Itera
         yield start, end
 
 
-def find(text: str, formats: Formats, margin: float = MARGIN) -> list[tuple[int, int, str]]:
-    """Base spans and format spans by start, then kind."""
-    base = base_spans(text)
-    spans = list(base)
+def candidates(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """(start, end, kind) of all that is scored, by start, then kind: values of base spans, and tokens or what is left of them."""
+    out = [(*value_bounds(text, *span), span[2]) for span in base]
     for m in _LONG.finditer(text):
-        for a, b in _left_over(m.start(), m.end(), base):
-            if formats.likelihood(text[a:b]) > margin:
-                spans.append((a, b, "format"))
-    return sorted(spans, key=lambda x: (x[0], (*BASE, "format").index(x[2])))
+        out += [(a, b, "format") for a, b in _left_over(m.start(), m.end(), base)]
+    return sorted(out, key=_order)
+
+
+def _order(span: tuple) -> tuple[int, int]:
+    return span[0], KINDS.index(span[2])
+
+
+def find(text: str, formats: Formats, margin: float = MARGIN) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str, float]], int]:
+    """Base spans and format spans by start, then kind; the candidates above the margin with their scores; how many were scored."""
+    base = base_spans(text)
+    scored = [(a, b, kind, formats.likelihood(text[a:b])) for a, b, kind in candidates(text, base)] if formats.automata else []
+    likely = [x for x in scored if x[3] > margin]
+    return sorted([*base, *(x[:3] for x in likely if x[2] == "format")], key=_order), likely, len(scored)
 
 
 def joined(spans: list[tuple[int, int, str]]) -> str:
     return ",".join(f"{kind}:{a}:{b}" for a, b, kind in spans)
 
 
-SCHEMA = pa.schema([("doc_id", pa.int64()), *((f"n_{k}", pa.int64()) for k in BASE), ("base_sha256", pa.string()), ("spans", pa.string()), ("n_format", pa.int64())])
+SCHEMA = pa.schema([("doc_id", pa.int64()), *((f"n_{k}", pa.int64()) for k in BASE), ("base_sha256", pa.string()), ("spans", pa.string()), ("n_format", pa.int64()), ("n_scored", pa.int64()), ("scores", pa.string())])
 
 
 def scan(docs: DataFrame, formats: Formats | None = None) -> DataFrame:
+    """(doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_format, n_scored, scores) for each row of docs (doc_id, text)."""
     formats = formats or learn(docs)
 
-    def work(columns: dict[str, list]) -> Iterator[dict]:
-        for doc_id, text in zip(columns["doc_id"], columns["text"], strict=True):
-            spans = find(text or "", formats)
-            base = [s for s in spans if s[2] in BASE]
-            counts = Counter(s[2] for s in spans)
-            yield {"doc_id": doc_id, **{f"n_{k}": counts[k] for k in BASE}, "base_sha256": hashlib.sha256(joined(base).encode()).hexdigest(), "spans": joined(spans), "n_format": counts["format"]}
-
-    return docs.select("doc_id", "text").mapInArrow(rows_mapper(work, SCHEMA), "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_format long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, "text", BATCH_BYTES):
+                rows = []
+                for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                    spans, likely, n = find(text or "", formats)
+                    counts = Counter(s[2] for s in spans)
+                    base = joined([s for s in spans if s[2] in BASE])
+                    scores = ",".join(f"{kind}:{a}:{b}:{score:.3f}" for a, b, kind, score in likely)
+                    rows.append({"doc_id": doc_id, **{f"n_{k}": counts[k] for k in BASE}, "base_sha256": hashlib.sha256(base.encode()).hexdigest(), "spans": joined(spans), "n_format": counts["format"], "n_scored": n, "scores": scores})
+                yield pa.RecordBatch.from_pylist(rows, schema=SCHEMA)
+
+    schema = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_format long, n_scored long, scores string"
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
