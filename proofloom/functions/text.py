@@ -47,5 +47,37 @@ def sentences(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, r"(?<=[.!?])\s+"), strip), lambda x: x != "")
 
 
+def focused(text: Column, score, least: int, top: int, cut: int) -> Column:
+    """The `top` sentences of most score, in text order, of those longer than least; without any, the text's first characters.
+
+    Table noise goes first. score(sentence, place) stands in for a model's similarity; of equals the earlier counts more.
+    """
+    clean = strip_noise(text)
+    long = F.filter(sentences(clean), lambda x: F.length(x) > least)
+    rated = F.transform(long, lambda x, i: F.struct((-score(x, i)).alias("s"), i.alias("i"), x.alias("x")))
+    best = F.array_sort(F.transform(F.slice(F.array_sort(rated), 1, top), lambda r: F.struct(r["i"].alias("i"), r["x"].alias("x"))))
+    chosen = F.array_join(F.transform(F.when(F.size(long) <= top, F.transform(long, lambda x, i: F.struct(i.alias("i"), x.alias("x")))).otherwise(best), lambda r: r["x"]), " ")
+    return F.when(F.size(long) == 0, F.substring(F.when(clean != "", clean).otherwise(text), 1, cut)).otherwise(chosen)
+
+
+def shortened(text: Column, n: int) -> Column:
+    """A text of more than n characters as its first n and three dots."""
+    return F.when(F.length(text) > n, F.concat(F.substring(text, 1, n), F.lit("..."))).otherwise(text)
+
+
+def fixed(x: Column, places: int) -> Column:
+    """A number with so many decimal places, rounded half up."""
+    return F.round(x.cast("decimal(18,8)"), places).cast("string")
+
+
+def basename(path: Column) -> Column:
+    return F.element_at(F.split(path, "/"), -1)
+
+
+def extension(path: Column) -> Column:
+    """In lower case and without the dot; empty where there is none."""
+    return F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1))
+
+
 def capitalised(text: Column) -> Column:
     return F.concat(F.upper(F.substring(text, 1, 1)), F.lower(F.substring(text, 2, 1_000_000)))

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions import text as T
 from ..params import DEFAULT
+from ..shared import stored
 
 #: Header patterns, in order of precedence; (?U) makes \w hold letters of all scripts.
 NUMBERED = r"(?U)^(\d+\.\d+(?:\.\d+)?)\s+([A-Z][\w\s\-:,&/()]+)"
@@ -35,20 +36,18 @@ def sections(pages: DataFrame) -> DataFrame:
     Lines before the first header are dropped; a document without headers has a section a page.
     """
     full = pages.filter(F.col("text") != "")
-    lines = full.select("doc_id", "page_number", F.posexplode(F.split("text", "\n")).alias("pos", "line")).withColumn("line", T.strip(F.col("line"))).filter("line <> ''")
-    lines = lines.withColumn("head", header(F.col("line")))
-    order = Window.partitionBy("doc_id").orderBy("page_number", "pos")
-    lines = lines.withColumn("section_ord", F.count("head").over(order))
-    body = F.filter(F.array_sort(F.collect_list(F.when(F.col("head").isNull(), F.struct("page_number", "pos", "line")))), lambda x: x.isNotNull())
-    found = lines.filter("section_ord > 0").groupBy("doc_id", "section_ord").agg(
-        F.max("head.section_id").alias("section_id"), F.max("head.section_title").alias("section_title"), F.min("page_number").alias("start_page"), F.array_join(F.transform(body, lambda x: x["line"]), "\n").alias("text")
-    )
-    bare = lines.groupBy("doc_id").agg(F.max("section_ord").alias("k")).filter("k = 0").select("doc_id")
-    page_order = Window.partitionBy("doc_id").orderBy("page_number")
-    rest = full.join(bare, "doc_id").select(
-        "doc_id", F.row_number().over(page_order).cast("long").alias("section_ord"), F.concat(F.lit("UNSTRUCTURED-p"), "page_number").alias("section_id"), F.concat(F.lit("Page "), "page_number").alias("section_title"), F.col("page_number").alias("start_page"), "text"
-    )
-    return found.unionByName(rest)
+    lines = full.select("doc_id", "page_number", F.posexplode(F.split("text", "\n")).alias("pos", "line")).withColumn("x", T.strip(F.col("line")))
+    lines = lines.withColumn("head", header(F.col("x")))
+    whole = Window.partitionBy("doc_id")
+    order = whole.orderBy("page_number", "pos")
+    # Without any header a page is a section, so a document's last count tells which of two numbers its lines go by.
+    lines = lines.withColumns({"n": F.count("head").over(order), "bare": F.count("head").over(whole) == 0, "page": F.dense_rank().over(whole.orderBy("page_number")).cast("long"), "some": F.max(F.col("x") != "").over(whole)})
+    lines = lines.filter("some AND (bare OR n > 0)").withColumn("section_ord", F.when(F.col("bare"), F.col("page")).otherwise(F.col("n")))
+    kept = F.when(F.col("bare"), F.col("line")).when(F.col("head").isNull() & (F.col("x") != ""), F.col("x"))
+    body = F.array_sort(F.collect_list(F.when(kept.isNotNull(), F.struct("page_number", "pos", kept.alias("line")))))
+    found = lines.groupBy("doc_id", "section_ord").agg(F.max("head.section_id").alias("id"), F.max("head.section_title").alias("title"), F.min("page_number").alias("start_page"), F.array_join(F.transform(body, lambda x: x["line"]), "\n").alias("text"))
+    named = lambda c, prefix: F.coalesce(F.col(c), F.concat(F.lit(prefix), "start_page"))
+    return found.select("doc_id", "section_ord", named("id", "UNSTRUCTURED-p").alias("section_id"), named("title", "Page ").alias("section_title"), "start_page", "text")
 
 
 def windows(text: Column, size: int, overlap: int) -> Column:
@@ -62,10 +61,26 @@ def windows(text: Column, size: int, overlap: int) -> Column:
 
 
 def chunks(sections: DataFrame, size: int = DEFAULT.chunk_words, overlap: int = DEFAULT.chunk_overlap) -> DataFrame:
-    """A row a chunk; chunk_idx counts through the whole document. Expects doc_id, section_ord and text."""
-    cut = sections.select("*", F.posexplode(windows(F.col("text"), size, overlap)).alias("start", "chunk_text")).drop("text")
-    order = Window.partitionBy("doc_id").orderBy("section_ord", "start")
-    return cut.withColumn("chunk_idx", F.row_number().over(order).cast("long") - 1).drop("start")
+    """A row a chunk; chunk_idx counts through the whole document. Expects doc_id, text and section_ord.
+
+    Only the sections' numbers of chunks are summed along a document, before chunks are cut; without section_ord each row
+    is a whole document, and nothing moves.
+    """
+    cut = sections.withColumn("_cut", windows(F.col("text"), size, overlap)).drop("text")
+    if "section_ord" in sections.columns:
+        before = Window.partitionBy("doc_id").orderBy("section_ord").rowsBetween(Window.unboundedPreceding, -1)
+        cut = cut.withColumn("_first", F.coalesce(F.sum(F.size("_cut")).over(before), F.lit(0)))
+    else:
+        cut = cut.withColumn("_first", F.lit(0))
+    names = [c for c in cut.columns if c not in ("_cut", "_first")]
+    rows = cut.select(*names, "_first", F.posexplode("_cut").alias("_start", "chunk_text"))
+    return rows.select(*names, "chunk_text", (F.col("_first") + F.col("_start")).cast("long").alias("chunk_idx"))
+
+
+def chunk_count(text: Column, size: int = DEFAULT.chunk_words, overlap: int = DEFAULT.chunk_overlap) -> Column:
+    """How many chunks a text has."""
+    n = F.size(T.words(text))
+    return F.when(n == 0, 0).when(n <= size, 1).otherwise(F.floor((n - overlap - 1) / (size - overlap)).cast("int") + 1)
 
 
 def chunk_id(publication: Column, edition: Column, section: Column, idx: Column) -> Column:
@@ -73,10 +88,72 @@ def chunk_id(publication: Column, edition: Column, section: Column, idx: Column)
 
 
 def list_sections(chunks: DataFrame, publication: str | None = None, edition: str | None = None) -> DataFrame:
-    """Sections of one edition with their number of chunks and the first chunk's title, in text order of their ids."""
+    """Sections of one edition, or of all, with their number of chunks and their first chunk's title and page.
+
+    `place` is a section's place in its edition in text order of the ids, and rows come in that order.
+    """
     rows = chunks if publication is None else chunks.filter((F.col("publication_name") == publication) & (F.col("edition_date") == edition))
     rows = rows.withColumn("section_id", F.coalesce("section_id", F.lit("unknown")))
-    return rows.groupBy("publication_name", "edition_date", "section_id").agg(F.min_by("section_title", F.struct("doc_id", "chunk_idx")).alias("section_title"), F.count("*").alias("chunk_count"))
+    first = F.struct("doc_id", "chunk_idx")
+    page = [F.min_by("page_number", first).alias("page_number")] if "page_number" in chunks.columns else []
+    found = rows.groupBy("publication_name", "edition_date", "section_id").agg(F.min_by("section_title", first).alias("section_title"), *page, F.count("*").alias("chunk_count"))
+    edition_order = Window.partitionBy("publication_name", "edition_date").orderBy("section_id")
+    return found.withColumn("place", F.row_number().over(edition_order).cast("long")).orderBy("publication_name", "edition_date", "section_id")
+
+
+def ingested(pages: DataFrame, size: int = DEFAULT.chunk_words, overlap: int = DEFAULT.chunk_overlap) -> DataFrame:
+    """Pages (doc_id, publication_name, edition_date, page_number, text) to chunks with their ids, in one move by document."""
+    names = pages.groupBy("doc_id").agg(F.first("publication_name").alias("publication_name"), F.first("edition_date").alias("edition_date"))
+    rows = chunks(sections(pages), size, overlap).withColumnRenamed("start_page", "page_number").join(names, "doc_id")
+    return rows.withColumn("chunk_id", chunk_id(F.col("publication_name"), F.col("edition_date"), F.col("section_id"), F.col("chunk_idx")))
+
+
+def ingest_counts(chunks: DataFrame) -> DataFrame:
+    """(doc_id, n_sections, n_chunks) of what an ingest made."""
+    return chunks.groupBy("doc_id").agg(F.count_distinct("section_ord").alias("n_sections"), F.count("*").alias("n_chunks"))
+
+
+def numbered(rows: DataFrame, order: list[Column], name: str, after: int = 0) -> DataFrame:
+    """rows with `name`, counting on from `after` in the given order: a count a range reaches the driver, no row does."""
+    ranged = stored(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranges")
+    counts = {r._part: r.n for r in ranged.groupBy("_part").agg(F.count("*").alias("n")).collect()}
+    bases, total = [], after
+    for part in sorted(counts):
+        bases.append((part, total))
+        total += counts[part]
+    base = rows.sparkSession.createDataFrame(bases, "_part int, _base long")
+    within = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return ranged.join(F.broadcast(base), "_part").withColumn(name, F.col("_base") + within).drop("_part", "_base")
+
+
+def appended(old: DataFrame, new: DataFrame, order: list[Column], key: str = "id") -> DataFrame:
+    """old and the new rows beside it, each with the next id in the given order; nothing is replaced."""
+    last = old.agg(F.coalesce(F.max(key), F.lit(0))).first()[0]
+    return old.unionByName(numbered(new, order, key, last), allowMissingColumns=True)
+
+
+def registered(documents: DataFrame, chunks: DataFrame, files: DataFrame) -> DataFrame:
+    """documents (id, filename, publication_name, edition_date, chunk_count, ingested_at) with the ingested files
+    (doc_id, filename, ingested_at) appended; a file that comes again is a row again."""
+    each = chunks.groupBy("doc_id").agg(F.first("publication_name").alias("publication_name"), F.first("edition_date").alias("edition_date"), F.count("*").alias("chunk_count"))
+    new = files.join(each, "doc_id", "left").withColumn("chunk_count", F.coalesce("chunk_count", F.lit(0).cast("long"))).drop("doc_id")
+    return appended(documents, new, [F.col("ingested_at"), F.col("filename")])
+
+
+def list_documents(documents: DataFrame) -> DataFrame:
+    """Newest ingest first; of equals the later id."""
+    return documents.orderBy(F.desc("ingested_at"), F.desc("id"))
+
+
+def newest(rows: DataFrame, by: list[Column], n: int) -> DataFrame:
+    """The first n rows in the given order, with their `place`; n is what bounds the one task that numbers them."""
+    return rows.orderBy(*by).limit(n).withColumn("place", F.row_number().over(Window.orderBy(*by)).cast("long"))
+
+
+def replaced_editions(old: DataFrame, new: DataFrame) -> DataFrame:
+    """old without the editions that new holds, and new: unlike an upsert, no surplus chunk of an edition stays."""
+    edition = ["publication_name", "edition_date"]
+    return old.join(new.select(*edition).distinct(), edition, "left_anti").unionByName(new)
 
 
 def documents_with_sections(documents: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -86,9 +163,15 @@ def documents_with_sections(documents: DataFrame, chunks: DataFrame) -> DataFram
     return documents.join(nested, ["publication_name", "edition_date"], "left").withColumns({"sections": F.coalesce("sections", F.lit("")), "n_sections": F.coalesce("n_sections", F.lit(0).cast("long"))})
 
 
-def upserted(old: DataFrame, new: DataFrame, key: str = "chunk_id") -> DataFrame:
-    """old with new's rows in place of those of the same key, and beside the rest."""
-    return old.join(new.select(key).distinct(), key, "left_anti").unionByName(new)
+def upserted(old: DataFrame, new: DataFrame, key: str = "chunk_id", version: str | None = None) -> DataFrame:
+    """old with new's rows in place of those of the same key, and beside the rest; surplus old keys stay.
+
+    Of new rows with the same key the one of greatest version stays, or, without one, of greatest values.
+    """
+    own = [c for c in new.columns if c != key]
+    last = F.max_by(F.struct(*own), version) if version else F.max(F.struct(*own))
+    one = new.groupBy(key).agg(last.alias("_r")).select(key, "_r.*") if own else new.distinct()
+    return old.join(one.select(key), key, "left_anti").unionByName(one)
 
 
 def updated(rows: DataFrame, changes: DataFrame, key: str, column: str) -> DataFrame:

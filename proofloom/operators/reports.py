@@ -2,18 +2,44 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .documents import appended
+
+#: What a requirement's judgement says where the model's answer cannot be used.
+FALLBACK_GAPS, FALLBACK_REMEDIATION = ["JSON parsing failed"], ["Retry analysis"]
 
 
 def log_list(logs: DataFrame) -> DataFrame:
-    """Newest first: each log's status and summary from its report; a report that is not an object is an error."""
+    """Newest first, of equals the later id: each log's status and summary from its report; a report that is not an object is an error."""
     v = F.try_parse_json("audit_data_json")
     good = v.isNotNull() & F.startswith(F.schema_of_variant(v), F.lit("OBJECT"))
     get = lambda path, default: F.when(good, F.coalesce(F.try_variant_get(v, f"$.final_audit_summary.{path}", "string"), F.lit(default))).otherwise("Error")
-    return logs.select("id", "timestamp", get("overall_trust_status", "Unknown").alias("status"), get("compliance_score_summary", "N/A").alias("summary"))
+    rows = logs.select("id", F.coalesce("timestamp", F.lit("")).alias("timestamp"), get("overall_trust_status", "Unknown").alias("status"), get("compliance_score_summary", "N/A").alias("summary"))
+    return rows.orderBy(F.desc("timestamp"), F.desc("id"))
+
+
+def defaulted(logs: DataFrame) -> DataFrame:
+    """Logs with an empty timestamp where it is null, and the status unknown where it is null or empty."""
+    return logs.withColumns({"timestamp": F.coalesce("timestamp", F.lit("")), "status": F.coalesce(F.nullif("status", F.lit("")), F.lit("unknown"))})
+
+
+def appended_logs(logs: DataFrame, new: DataFrame) -> DataFrame:
+    """logs (id, timestamp, query, response_json, status, audit_data_json) and new ones with the next ids, by timestamp and query.
+
+    A new log without audit_data_json is a plain one; without a status it has an empty one.
+    """
+    for c in ("response_json", "status", "audit_data_json"):
+        if c not in new.columns:
+            new = new.withColumn(c, F.lit("" if c == "status" else None).cast("string"))
+    return appended(logs, new, [F.col("timestamp"), F.col("query")])
+
+
+def as_report(columns: list[str]) -> Column:
+    """The JSON text of a report with these columns."""
+    return F.to_json(F.struct(*columns))
 
 
 def log_by_id(logs: DataFrame, log_id: int) -> DataFrame:
@@ -29,11 +55,21 @@ def requirements(answers: DataFrame) -> DataFrame:
 
 
 def mapped(answers: DataFrame) -> DataFrame:
-    """A requirement's judgement (id, raw) with defaults; an answer that cannot be parsed has score 50 and Medium risk."""
-    parsed = F.from_json(T.strip_fence(F.col("raw")), "alignment_score double, gaps array<string>, violations array<string>, risk_level string, _corrupt string", {"columnNameOfCorruptRecord": "_corrupt"})
+    """A requirement's judgement (id, raw) with defaults; an answer that cannot be parsed has score 50 and Medium risk.
+
+    Scores are 0 to 100, and `alignment` is the same from 0 to 1.
+    """
+    each = "alignment_score double, gaps array<string>, violations array<string>, risk_level string, overall_compliance_score double, remediation_suggestions array<string>, _corrupt string"
+    parsed = F.from_json(T.strip_fence(F.col("raw")), each, {"columnNameOfCorruptRecord": "_corrupt"})
     rows = answers.select("id", parsed.alias("p")).withColumn("ok", F.col("p").isNotNull() & F.col("p._corrupt").isNull())
-    n = lambda c: F.coalesce(F.size(f"p.{c}"), F.lit(0)).cast("long")
-    return rows.select("id", F.when(F.col("ok"), F.coalesce("p.alignment_score", F.lit(0.0))).otherwise(50.0).alias("alignment_score"), F.when(F.col("ok"), F.greatest(n("gaps"), F.lit(0))).otherwise(0).alias("n_gaps"), F.when(F.col("ok"), F.greatest(n("violations"), F.lit(0))).otherwise(0).alias("n_violations"), F.when(F.col("ok"), T.capitalised(F.coalesce("p.risk_level", F.lit("Medium")))).otherwise("Medium").alias("risk_level"))
+    none = F.array().cast("array<string>")
+    texts = lambda *values: F.array(*(F.lit(x) for x in values)).cast("array<string>")
+    get = lambda c, default, failed: F.when(F.col("ok"), F.coalesce(f"p.{c}", default)).otherwise(failed).alias(c)
+    out = rows.select(
+        "id", get("alignment_score", F.lit(0.0), F.lit(50.0)), get("gaps", none, texts(*FALLBACK_GAPS)), get("violations", none, none), F.when(F.col("ok"), T.capitalised(F.coalesce("p.risk_level", F.lit("Medium")))).otherwise("Medium").alias("risk_level"),
+        get("overall_compliance_score", F.lit(0.0), F.lit(50.0)), get("remediation_suggestions", none, texts(*FALLBACK_REMEDIATION)),
+    )
+    return out.withColumn("alignment", F.col("alignment_score") / 100)
 
 
 def compliance_score(rows: DataFrame) -> DataFrame:

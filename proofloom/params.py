@@ -1,6 +1,10 @@
 """Parameters of the document-evidence operators."""
 
-from dataclasses import dataclass
+from __future__ import annotations
+
+from dataclasses import dataclass, fields, replace
+
+from pyspark.sql import SparkSession
 
 
 @dataclass(frozen=True)
@@ -28,8 +32,18 @@ class Params:
     related_repeat: float = 0.99
     related_k: int = 3
     history: int = 200
-    #: Most rows of a query side that may be broadcast; a larger one is refused by the operators that compare all pairs.
+    #: About how many queries go to the tasks at once; more are taken in blocks.
     max_queries: int = 10_000
 
 
 DEFAULT = Params()
+
+
+def configured(spark: SparkSession, base: Params = DEFAULT) -> Params:
+    """base with what the session sets as proofloom.<name>; lists are separated by commas."""
+    found = {}
+    for f in fields(base):
+        if (text := spark.conf.get(f"proofloom.{f.name}", None)) is not None:
+            old = getattr(base, f.name)
+            found[f.name] = tuple(x.strip() for x in text.split(",")) if isinstance(old, tuple) else type(old)(text)
+    return replace(base, **found)

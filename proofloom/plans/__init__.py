@@ -1 +1,5 @@
+"""The queries over the test tables, and their SQL."""
 
+from . import catalogue, reports
+
+__all__ = ["catalogue", "reports"]

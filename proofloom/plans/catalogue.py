@@ -1,7 +1,8 @@
 """Every query over the driver's tables, and the same in SQL.
 
 The tables have no editions, headers, claims or model scores, so both sides derive them by the same expressions:
-publication, edition and section from doc_id; headers before every third line; verdicts from the embeddings.
+publication, edition and section from doc_id; headers before every third line; verdicts and chunks' vectors from the
+embeddings, of which answers and publications take twenty and ten in turn.
 """
 
 from __future__ import annotations
@@ -13,7 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.vectors import softmax
+from ..functions.vectors import softmax, unit
+
 from ..operators import documents as D
 from ..operators import evidence as E
 from ..operators import reports as R
@@ -34,19 +36,19 @@ c AS (SELECT doc_id, lang, publication_name, edition_date, section_id, start //
       concat_ws('_', publication_name, edition_date, section_id, 'd' || doc_id, 'chunk' || start // 462) AS chunk_id FROM s)"""
 BM25 = f"""
 {CHUNKS},
-t AS (SELECT chunk_id, list_filter(regexp_split_to_array(lower(chunk_text), '\\s+'), lambda w: w <> '') AS t FROM c),
+t AS MATERIALIZED (SELECT chunk_id, list_filter(regexp_split_to_array(lower(chunk_text), '\\s+'), lambda w: w <> '') AS t FROM c),
 dl AS (SELECT chunk_id, len(t) AS dl FROM t),
-p AS (SELECT chunk_id, term, count(*) AS tf FROM (SELECT chunk_id, unnest(t) AS term FROM t) GROUP BY ALL),
+p AS MATERIALIZED (SELECT chunk_id, term, count(*) AS tf FROM (SELECT chunk_id, unnest(t) AS term FROM t) GROUP BY ALL),
 n AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl),
-r AS (SELECT term, nd, ln(n - nd + 0.5::DOUBLE) - ln(nd + 0.5::DOUBLE) AS raw FROM (SELECT term, count(*) AS nd FROM p GROUP BY term), n),
+r AS MATERIALIZED (SELECT term, nd, ln(n - nd + 0.5::DOUBLE) - ln(nd + 0.5::DOUBLE) AS raw FROM (SELECT term, count(*) AS nd FROM p GROUP BY term), n),
 i AS (SELECT term, nd, CASE WHEN raw < 0 THEN 0.25::DOUBLE * (SELECT avg(raw) FROM r) ELSE raw END AS idf FROM r),
 q AS (SELECT query_id, term, count(*) AS qf FROM (SELECT item_id AS query_id, unnest({TOKENS}) AS term FROM benchmark) GROUP BY ALL),
 b AS (SELECT query_id, chunk_id, round(sum(qf * idf * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))), 6) AS bm25_score
       FROM q JOIN i USING (term) JOIN p USING (term) JOIN dl USING (chunk_id), n GROUP BY ALL HAVING bm25_score > 0)"""
 COSINE = "round(list_cosine_similarity({}::DOUBLE[], {}::DOUBLE[]), {})"
 DENSE = f"""
-v AS (SELECT chunk_id, c.publication_name, c.edition_date, embedding FROM c JOIN embeddings ON vec_id = doc_id WHERE chunk_idx = 0),
-dq AS (SELECT item_id AS query_id, embedding AS q FROM benchmark JOIN embeddings ON vec_id = 499 - item_id),
+v AS (SELECT chunk_id, c.publication_name, c.edition_date, embedding FROM c JOIN embeddings ON vec_id = (doc_id * 31 + chunk_idx) % (SELECT count(*) FROM embeddings)),
+dq AS (SELECT item_id AS query_id, embedding AS q FROM benchmark JOIN embeddings ON vec_id = (item_id * 17 + 5) % (SELECT count(*) FROM embeddings)),
 ds AS (SELECT query_id, chunk_id, publication_name, {COSINE.format("q", "embedding", 6)} AS dense_score FROM v, dq)"""
 FUSED = f"""
 WITH {BM25.strip()}, {DENSE.strip()},
@@ -60,15 +62,18 @@ CLAIMS = """
 WITH e AS (SELECT vec_id, vec_id % 50 AS answer_id, embedding::DOUBLE[] AS v FROM embeddings),
 x AS (SELECT *, exp(8 * v[1]) AS a, exp(8 * v[2]) AS b, exp(8 * v[3]) AS c FROM e),
 claims AS (SELECT answer_id, vec_id AS claim_idx, round(a / (a + b + c), 6) AS contradiction, round(b / (a + b + c), 6) AS entailment_score, round(c / (a + b + c), 6) AS neutral,
-           round(0.6::DOUBLE + v[5], 4) AS attribution_score, abs(v[6]) < 0.02 AS ambiguous, v[7] < -0.28 AS has_conflict, CASE WHEN vec_id % 7 = 0 THEN ' ' ELSE 's' || vec_id % 9 END AS source_section_id FROM x),
+           round(0.6::DOUBLE + v[5], 4) AS attribution_score, abs(v[6]) < 0.02 AS ambiguous, round(abs(v[6]), 4) AS confidence_gap, concat('Claim ', vec_id, CASE WHEN vec_id % 3 = 0 THEN ' is short.' ELSE concat(' of answer ', vec_id % 50, ' says that the ratio rose by ', vec_id % 13, ' percent over the whole of the period under review.') END) AS claim_text, v[7] < -0.28 AS has_conflict, CASE WHEN vec_id % 7 = 0 THEN ' ' ELSE 's' || vec_id % 9 END AS source_section_id FROM x),
 k AS (SELECT *, CASE WHEN contradiction >= entailment_score AND contradiction >= neutral THEN 'CONTRADICTION' WHEN entailment_score >= neutral THEN 'ENTAILMENT' ELSE 'NEUTRAL' END AS verdict FROM claims),
 u AS (SELECT *, CASE verdict WHEN 'CONTRADICTION' THEN 3000 ELSE 0 END AS uc, CASE verdict WHEN 'NEUTRAL' THEN 1000 ELSE 0 END AS un, CASE WHEN entailment_score < 0.5 THEN 2000 ELSE 0 END AS ul,
       CASE WHEN entailment_score >= 0.5 AND entailment_score <= 0.8 THEN 500 ELSE 0 END AS um, CASE WHEN ambiguous THEN 500 ELSE 0 END AS ua, CASE WHEN NOT ambiguous AND attribution_score < 0.65 THEN 300 ELSE 0 END AS uw FROM k)
 """
-SIMILAR = f"s AS (SELECT l.vec_id AS i, r.vec_id AS j, {COSINE.format('l.embedding', 'r.embedding', 4)} AS score FROM embeddings l, embeddings r WHERE l.vec_id < 100 AND r.vec_id >= 100)"
+SIMILAR = f"s AS (SELECT l.vec_id // 20 AS answer_id, l.vec_id AS i, r.vec_id AS j, {COSINE.format('l.embedding', 'r.embedding', 4)} AS score FROM embeddings l JOIN embeddings r ON l.vec_id // 20 = r.vec_id // 20 AND l.vec_id <> r.vec_id)"
 LINES = "CASE WHEN lang = 'en' THEN array_to_string(list_transform(string_split(text, chr(10)), lambda x, i: CASE WHEN i % 3 = 1 THEN concat(1 + doc_id % 9, '.', 1 + i // 3, ' Topic Number', chr(10), x) ELSE x END), chr(10)) ELSE text END"
 
 
+NOISE = f"(x = '' OR regexp_matches(x, '{T.NUMERIC_ROW}') OR regexp_matches(x, '{T.PAGE_MARK}') OR regexp_matches(x, '{T.TABLE_HEAD}') OR (regexp_matches(x, '{T.CAPITALS}') AND length(x) < {T.CAPITALS_BELOW}) OR regexp_matches(x, '{T.DATED_ROW}'))"
+
+
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     def register(f: Query) -> Query:
         QUERIES[name] = f
@@ -84,7 +89,7 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def chunked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = load(spark, sf_dir, "documents").selectExpr("doc_id", "lang", "text", f"{META[0]} AS publication_name", f"{META[1]} AS edition_date", f"{META[2]} AS section_id", "1 AS section_ord")
+    docs = load(spark, sf_dir, "documents").selectExpr("doc_id", "lang", "text", f"{META[0]} AS publication_name", f"{META[1]} AS edition_date", f"{META[2]} AS section_id")
     rows = D.chunks(docs)
     return rows.withColumn("chunk_id", D.chunk_id(F.col("publication_name"), F.col("edition_date"), F.concat_ws("_", "section_id", F.concat(F.lit("d"), "doc_id")), F.col("chunk_idx")))
 
@@ -93,11 +98,20 @@ def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
+def chunk_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks without their texts: only how many a document has is counted."""
+    n = D.chunk_count(F.col("text"))
+    docs = load(spark, sf_dir, "documents").select("doc_id", n.alias("n")).filter("n > 0").selectExpr("doc_id", "explode(sequence(0, n - 1)) AS i", f"{META[0]} AS publication_name", f"{META[1]} AS edition_date", f"{META[2]} AS section_id")
+    idx = F.col("i").cast("long")
+    return docs.select("doc_id", idx.alias("chunk_idx"), "publication_name", "edition_date", "section_id", D.chunk_id(F.col("publication_name"), F.col("edition_date"), F.concat_ws("_", "section_id", F.concat(F.lit("d"), "doc_id")), idx).alias("chunk_id"))
+
+
 def vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     e = load(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    first = chunked(spark, sf_dir).filter("chunk_idx = 0").select("chunk_id", "publication_name", F.col("doc_id").alias("vec_id"))
-    asked_ = load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), (499 - F.col("item_id")).alias("vec_id"))
-    return asked_.join(e, "vec_id").select("query_id", F.col("embedding").alias("q")), first.join(e, "vec_id").select("chunk_id", "publication_name", "embedding")
+    n = F.broadcast(e.agg(F.count("*").alias("n")))
+    of = chunk_ids(spark, sf_dir).crossJoin(n).select("chunk_id", "publication_name", ((F.col("doc_id") * 31 + F.col("chunk_idx")) % F.col("n")).alias("vec_id"))
+    asked_ = load(spark, sf_dir, "benchmark").crossJoin(n).select(F.col("item_id").alias("query_id"), ((F.col("item_id") * 17 + 5) % F.col("n")).alias("vec_id"))
+    return asked_.join(e, "vec_id").select("query_id", F.col("embedding").alias("q")), of.join(e, "vec_id").select("chunk_id", "publication_name", "embedding")
 
 
 @query("tokenise_stats", f"SELECT doc_id, len({TOKENS}) AS n_tokens, len(list_distinct({TOKENS})) AS n_distinct FROM documents")
@@ -132,8 +146,7 @@ def section_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "strip_noise",
     "WITH t AS (SELECT doc_id, list_filter(list_transform(string_split('617075 (12.3)|12 ~ P a g e|Table 3 of all|GDP - X.|September-24 617,075|'.replace('|', chr(10)).replace('~', '|') || text || '|  Goldman said so |STILL A LINE OF THIRTY CAPITAL|kept prose'.replace('|', chr(10)), chr(10)), lambda x: trim(x, E' \\t\\n\\r')),"
-    " lambda x: NOT (x = '' OR regexp_matches(x, '^[\\d\\s\\(\\),\\.\\-]+$') OR regexp_matches(x, '(?i)^\\d+\\s*\\|\\s*P\\s*a\\s*g\\s*e$') OR regexp_matches(x, '(?i)^(Month\\s*End|FCA|Gold|SDR|RTP|Forex\\s*Reserves|USD\\s*Million|Rs\\.?\\s*Crore|Table\\s*\\d+|Chart\\s*\\d+).*$')"
-    " OR (regexp_matches(x, '^[A-Z\\s\\-\\.]{1,30}$') AND length(x) < 25) OR regexp_matches(x, '^[A-Za-z]+-\\d{2,4}\\s+[\\d\\s\\(\\),\\.\\-]+$'))) AS kept FROM documents)"
+    f" lambda x: NOT {NOISE}) AS kept FROM documents)"
     " SELECT doc_id, len(kept) AS n_kept, md5(array_to_string(kept, ' ')) AS digest FROM t",
 )
 def strip_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -142,9 +155,9 @@ def strip_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "documents").select("doc_id", F.size(kept).cast("long").alias("n_kept"), F.md5(T.strip_noise(noisy)).alias("digest"))
 
 
-@query("sections_rollup", f"WITH {CHUNKS} SELECT publication_name, edition_date, section_id, min_by('T' || doc_id, doc_id) AS section_title, count(*) AS chunk_count FROM c GROUP BY ALL")
+@query("sections_rollup", f"WITH {CHUNKS}, r AS (SELECT publication_name, edition_date, section_id, min_by('T' || doc_id, doc_id) AS section_title, count(*) AS chunk_count FROM c GROUP BY ALL) SELECT *, row_number() OVER (PARTITION BY publication_name, edition_date ORDER BY section_id) AS place FROM r")
 def sections_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.list_sections(chunked(spark, sf_dir).withColumn("section_title", F.concat(F.lit("T"), "doc_id")))
+    return D.list_sections(chunk_ids(spark, sf_dir).withColumn("section_title", F.concat(F.lit("T"), "doc_id")))
 
 
 @query(
@@ -155,7 +168,7 @@ def sections_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def documents_with_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     registered = load(spark, sf_dir, "benchmark").selectExpr("item_id AS id", "element_at(array('FSR', 'MPR', 'PSR', 'XXX'), cast(item_id % 4 as int) + 1) AS publication_name", "if(item_id div 4 % 2 = 0, 'June 2024', 'Dec 2024') AS edition_date")
-    return D.documents_with_sections(registered, chunked(spark, sf_dir)).select("id", "publication_name", "edition_date", "sections", "n_sections")
+    return D.documents_with_sections(registered, chunk_ids(spark, sf_dir)).select("id", "publication_name", "edition_date", "sections", "n_sections")
 
 
 @query("bm25_corpus_stats", f"WITH {BM25} SELECT term, nd, round(idf, 6) AS idf FROM i")
@@ -170,22 +183,21 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("bm25_filtered_topk", f"WITH {BM25} SELECT query_id, chunk_id, bm25_score, row_number() OVER (PARTITION BY query_id ORDER BY bm25_score DESC, chunk_id) AS rank FROM b JOIN c USING (chunk_id) WHERE publication_name = 'MPR' AND edition_date = 'June 2024' QUALIFY rank <= 20")
 def bm25_filtered_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = chunked(spark, sf_dir)
-    meta = c.select("chunk_id", "publication_name", "edition_date").filter(Q.matching({"publication_name": "MPR", "edition_date": "June 2024"}))
-    scored = Q.bm25_scores(Q.bm25_index(c), asked(spark, sf_dir)).join(meta, "chunk_id", "left_semi")
+    meta = chunk_ids(spark, sf_dir).filter(Q.matching({"publication_name": "MPR", "edition_date": "June 2024"})).select("chunk_id")
+    scored = Q.bm25_scores(Q.bm25_index(chunked(spark, sf_dir)), asked(spark, sf_dir)).join(meta, "chunk_id", "left_semi")
     return Q.top_k(scored, "bm25_score", DEFAULT.sparse_k).select("query_id", "chunk_id", "bm25_score", "rank")
 
 
 @query("dense_topk", f"WITH {CHUNKS}, {DENSE} SELECT query_id, chunk_id, dense_score, row_number() OVER (PARTITION BY query_id ORDER BY dense_score DESC, chunk_id) AS rank FROM ds QUALIFY rank <= 20")
 def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     q, v = vectors(spark, sf_dir)
-    return Q.top_k(Q.dense_scores(q, v), "dense_score", DEFAULT.dense_k)
+    return Q.dense_topk(q, v, DEFAULT.dense_k)
 
 
 @query("dense_filtered_topk", f"WITH {CHUNKS}, {DENSE} SELECT query_id, chunk_id, dense_score, row_number() OVER (PARTITION BY query_id ORDER BY dense_score DESC, chunk_id) AS rank FROM ds WHERE publication_name = 'PSR' QUALIFY rank <= 20")
 def dense_filtered_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     q, v = vectors(spark, sf_dir)
-    return Q.top_k(Q.dense_scores(q, v.filter(Q.matching({"publication_name": "PSR"}))), "dense_score", DEFAULT.dense_k)
+    return Q.dense_topk(q, v.filter(Q.matching({"publication_name": "PSR"})), DEFAULT.dense_k)
 
 
 def hybrid(spark: SparkSession, sf_dir: str, k: int = DEFAULT.final_k) -> DataFrame:
@@ -199,7 +211,7 @@ def hybrid_score_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("dedup_by_section", FUSED + "SELECT query_id, section_id, chunk_id, rank FROM g JOIN c USING (chunk_id) QUALIFY row_number() OVER (PARTITION BY query_id, section_id ORDER BY rank) = 1")
 def dedup_by_section(spark: SparkSession, sf_dir: str) -> DataFrame:
-    meta = chunked(spark, sf_dir).select("chunk_id", "section_id")
+    meta = chunk_ids(spark, sf_dir).select("chunk_id", "section_id")
     return Q.first_of(hybrid(spark, sf_dir).join(meta, "chunk_id"), ["query_id", "section_id"], "rank").select("query_id", "section_id", "chunk_id", "rank")
 
 
@@ -210,8 +222,9 @@ def format_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def similar(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = load(spark, sf_dir, "embeddings")
-    return E.similarity(e.filter("vec_id < 100").select(F.col("vec_id").alias("i"), F.col("embedding").alias("a")), e.filter("vec_id >= 100").select(F.col("vec_id").alias("j"), F.col("embedding").alias("b")))
+    """Each answer's sentences against its chunks: the other vectors of its twenty."""
+    e = load(spark, sf_dir, "embeddings").select(F.expr("vec_id div 20").alias("answer_id"), "vec_id", unit(F.col("embedding")).alias("v"))
+    return E.similarity(e.select("answer_id", F.col("vec_id").alias("i"), F.col("v").alias("a")), e.select("answer_id", F.col("vec_id").alias("j"), F.col("v").alias("b"))).filter("i <> j")
 
 
 @query("attribution_matrix", f"WITH {SIMILAR} SELECT * FROM s")
@@ -219,14 +232,14 @@ def attribution_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar(spark, sf_dir)
 
 
-@query("attribute_argmax", f"WITH {SIMILAR}, m AS (SELECT i, j, score FROM s QUALIFY row_number() OVER (PARTITION BY i ORDER BY score DESC, j) = 1) SELECT i, CASE WHEN score >= 0.45 THEN j END AS j, CASE WHEN score >= 0.45 THEN score ELSE 0 END AS confidence FROM m")
+@query("attribute_argmax", f"WITH {SIMILAR}, m AS (SELECT answer_id, i, j, score FROM s QUALIFY row_number() OVER (PARTITION BY i ORDER BY score DESC, j) = 1) SELECT answer_id, i, CASE WHEN score >= 0.45 THEN j END AS j, CASE WHEN score >= 0.45 THEN score ELSE 0 END AS confidence FROM m")
 def attribute_argmax(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.attributed(similar(spark, sf_dir))
 
 
 @query(
     "primary_attributions",
-    f"WITH {SIMILAR}, k AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, j) AS k FROM s QUALIFY k <= 2) SELECT i, max(j) FILTER (k = 1) AS primary_chunk, max(score) FILTER (k = 1) AS attribution_score, max(j) FILTER (k = 2) AS runner_up_chunk, max(score) FILTER (k = 2) AS runner_up_score, round(attribution_score - runner_up_score, 4) AS confidence_gap, confidence_gap < 0.02 AS ambiguous FROM k GROUP BY i",
+    f"WITH {SIMILAR}, k AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, j) AS k FROM s QUALIFY k <= 2) SELECT answer_id, i, max(j) FILTER (k = 1) AS primary_chunk, max(score) FILTER (k = 1) AS attribution_score, max(j) FILTER (k = 2) AS runner_up_chunk, max(score) FILTER (k = 2) AS runner_up_score, round(attribution_score - runner_up_score, 4) AS confidence_gap, confidence_gap < 0.02 AS ambiguous FROM k GROUP BY answer_id, i",
 )
 def primary_attributions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.primary(similar(spark, sf_dir))
@@ -237,7 +250,8 @@ def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = load(spark, sf_dir, "embeddings").withColumn("p", softmax(F.transform(F.slice("embedding", 1, 3).cast("array<double>"), lambda x: 8 * x)))
     rows = e.select(
         (F.col("vec_id") % 50).alias("answer_id"), F.col("vec_id").alias("claim_idx"), F.round(F.col("p")[0], 6).alias("contradiction"), F.round(F.col("p")[1], 6).alias("entailment_score"), F.round(F.col("p")[2], 6).alias("neutral"), F.round(0.6 + v(5), 4).alias("attribution_score"),
-        (F.abs(v(6)) < 0.02).alias("ambiguous"), (v(7) < -0.28).alias("has_conflict"), F.when(F.col("vec_id") % 7 == 0, " ").otherwise(F.concat(F.lit("s"), F.col("vec_id") % 9)).alias("source_section_id"),
+        (F.abs(v(6)) < 0.02).alias("ambiguous"), F.round(F.abs(v(6)), 4).alias("confidence_gap"),
+        F.expr("concat('Claim ', vec_id, if(vec_id % 3 = 0, ' is short.', concat(' of answer ', vec_id % 50, ' says that the ratio rose by ', vec_id % 13, ' percent over the whole of the period under review.')))").alias("claim_text"), (v(7) < -0.28).alias("has_conflict"), F.when(F.col("vec_id") % 7 == 0, " ").otherwise(F.concat(F.lit("s"), F.col("vec_id") % 9)).alias("source_section_id"),
     )
     return rows.withColumn("verdict", E.verdict(F.col("contradiction"), F.col("entailment_score"), F.col("neutral")))
 
@@ -280,30 +294,74 @@ def scorecard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("edition_conflicts_nli", CLAIMS + "SELECT answer_id, claim_idx, contradiction FROM k WHERE contradiction > 0.70")
 def edition_conflicts_nli(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.conflicts(claims(spark, sf_dir)).select("answer_id", "claim_idx", "contradiction")
+    return claims(spark, sf_dir).filter(F.col("contradiction") > DEFAULT.conflict).select("answer_id", "claim_idx", "contradiction")
+
+
+#: Embeddings as sections: ten make a publication, five of them an edition.
+SECTIONS = "SELECT vec_id, 'P' || vec_id // 10 AS publication, 'S' || vec_id % 5 AS section_id, CASE WHEN vec_id % 10 < 5 THEN 'June 2024' ELSE 'Dec 2024' END AS edition, vec_id % 10 // 5 AS edition_no, embedding FROM embeddings"
+
+
+def edition_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load(spark, sf_dir, "embeddings").selectExpr("vec_id", "'P' || vec_id div 10 AS publication", "'S' || vec_id % 5 AS section_id", "if(vec_id % 10 < 5, 'June 2024', 'Dec 2024') AS edition", "vec_id % 10 div 5 AS edition_no", "embedding")
 
 
 @query(
     "edition_conflicts_cosine",
-    f"SELECT o.vec_id AS section, {COSINE.format('o.embedding', 'n.embedding', 6)} AS similarity, similarity < 0.75 AS has_conflict, similarity AS authority_newer, similarity / 2 AS authority_older FROM embeddings o JOIN embeddings n ON n.vec_id = o.vec_id + 250 WHERE o.vec_id < 250",
+    f"WITH s AS ({SECTIONS}) SELECT o.publication, o.section_id, {COSINE.format('o.embedding', 'n.embedding', 6)} AS similarity, similarity < 0.75 AS has_conflict, similarity AS authority_newer, similarity / 2 AS authority_older FROM s o JOIN s n USING (publication, section_id) WHERE o.edition_no < n.edition_no",
 )
 def edition_conflicts_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = load(spark, sf_dir, "embeddings")
-    older = e.filter("vec_id < 250").select(F.col("vec_id").alias("section"), F.col("embedding").alias("o"))
-    pairs = older.join(e.select((F.col("vec_id") - 250).alias("section"), F.col("embedding").alias("n")), "section")
-    s, has, newer, old = E.cosine_conflict(F.col("o"), F.col("n"))
-    return pairs.select("section", s.alias("similarity"), has.alias("has_conflict"), newer.alias("authority_newer"), old.alias("authority_older"))
+    pairs = E.section_pairs(edition_sections(spark, sf_dir), same_section=True)
+    s, has, newer, old = E.cosine_conflict(F.col("old.embedding"), F.col("new.embedding"))
+    return pairs.select("publication", F.col("old.section_id").alias("section_id"), s.alias("similarity"), has.alias("has_conflict"), newer.alias("authority_newer"), old.alias("authority_older"))
+
+
+#: A stand-in for the model: what two sections' vectors say of contradiction, entailment and neither.
+JUDGED = "exp(12 * (o.embedding[1] + n.embedding[1])::DOUBLE) AS a, exp(12 * (o.embedding[2] + n.embedding[2])::DOUBLE) AS b, exp(12 * (o.embedding[3] + n.embedding[3])::DOUBLE) AS c"
+
+
+def judged(pairs: DataFrame) -> DataFrame:
+    logit = lambda i: 12 * (F.element_at("old.embedding", i) + F.element_at("new.embedding", i)).cast("double")
+    return pairs.withColumn("contradiction", F.round(softmax(F.array(logit(1), logit(2), logit(3)))[0], 6))
 
 
 @query(
-    "related_queries",
-    f"""WITH h AS (SELECT event_id AS id, embedding FROM events JOIN embeddings ON event_id = vec_id ORDER BY id DESC LIMIT 200), p AS (SELECT q.vec_id AS query_id, id, {COSINE.format('q.embedding', 'h.embedding', 4)} AS similarity FROM embeddings q, h WHERE q.vec_id <> id AND q.vec_id % 5 = 0),
-    t AS (SELECT * FROM p WHERE similarity >= 0.3 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id DESC) <= 3) SELECT * FROM t WHERE similarity < 0.99""",
+    "edition_section_conflicts",
+    f"WITH s AS ({SECTIONS}), j AS (SELECT o.publication, o.section_id AS old_section, n.section_id AS new_section, n.edition AS superseding_edition, {JUDGED} FROM s o JOIN s n USING (publication) WHERE o.edition_no < n.edition_no) SELECT publication, old_section, new_section, round(a / (a + b + c), 6) AS contradiction_score, superseding_edition FROM j WHERE contradiction_score > 0.70",
 )
-def related_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+def edition_section_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.conflicts(judged(E.section_pairs(edition_sections(spark, sf_dir))))
+
+
+@query(
+    "edition_conflict_reports",
+    f"WITH s AS ({SECTIONS}), j AS (SELECT o.publication, o.section_id, o.edition AS older_edition, n.edition AS newer_edition, {JUDGED} FROM s o JOIN s n USING (publication, section_id) WHERE o.edition_no < n.edition_no), k AS (SELECT *, round(a / (a + b + c), 6) AS p FROM j)"
+    " SELECT publication, section_id, older_edition, newer_edition, p > 0.70 AS has_conflict, CASE WHEN p > 0.70 THEN 'Contradiction Probability: ' || round(100 * p::DECIMAL(18, 8), 2)::DECIMAL(18, 2) || '%' ELSE '' END AS conflict_description, CASE WHEN p > 0.70 THEN newer_edition ELSE '' END AS superseding_edition,"
+    " 'CrossEncoder probability of newer text contradicting older text: ' || round(p::DECIMAL(18, 8), 4)::DECIMAL(18, 4) AS details FROM k",
+)
+def edition_conflict_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.edition_conflict(judged(E.section_pairs(edition_sections(spark, sf_dir), same_section=True)))
+
+
+def related_sql(least: float) -> str:
+    return f"""WITH h AS (SELECT event_id AS id, embedding FROM events JOIN embeddings ON event_id = vec_id ORDER BY id DESC LIMIT 200), p AS (SELECT q.vec_id AS query_id, id, {COSINE.format('q.embedding', 'h.embedding', 4)} AS similarity FROM embeddings q, h WHERE q.vec_id <> id),
+    t AS (SELECT * FROM p WHERE similarity >= {least} QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id DESC) <= 3) SELECT * FROM t WHERE similarity < 0.99"""
+
+
+def related_at(spark: SparkSession, sf_dir: str, least: float) -> DataFrame:
+    """Every embedding asks the newest past ones; those past ones are the events that have an embedding."""
     e = load(spark, sf_dir, "embeddings")
-    history = load(spark, sf_dir, "events").join(e, F.col("event_id") == F.col("vec_id")).select(F.col("event_id").alias("id"), "embedding")
-    return E.related(e.filter("vec_id % 5 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), history, replace(DEFAULT, related=0.3))
+    history = load(spark, sf_dir, "events").select("event_id").join(e, F.col("event_id") == F.col("vec_id")).select(F.col("event_id").alias("id"), "embedding")
+    return E.related(e.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), history, replace(DEFAULT, related=least))
+
+
+@query("related_queries", related_sql(0.7))
+def related_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return related_at(spark, sf_dir, DEFAULT.related)
+
+
+@query("related_queries_wide", related_sql(0.3))
+def related_queries_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return related_at(spark, sf_dir, 0.3)
 
 
 LOG_JSON = "CASE event_id % 6 WHEN 0 THEN '{bad' WHEN 1 THEN 'null' WHEN 2 THEN '{}' WHEN 3 THEN '{\"final_audit_summary\": {}}' ELSE '{\"final_audit_summary\": {\"overall_trust_status\": \"' || event_type || '\", \"compliance_score_summary\": \"s' || user_id || '\"}}' END"

@@ -1 +1 @@
-
+"""Files and tables in, tables and reports out."""
