@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..params import DEFAULT, Params
+from ..shared import stored
 from . import evidence as E
 from . import retrieval as Q
 
@@ -23,9 +24,10 @@ def audited(queries: DataFrame, found: DataFrame, chunks: DataFrame, claims: Dat
     found: retrieved chunks with their rank; claims: with verdict, scores and attribution by answer_id, which is the
     query's id. A query without sources or claims has an empty answer: nothing counts against it.
     """
+    found = stored(found.select("query_id", "chunk_id", "rank"), "found")
     sources = Q.first_of(found.join(chunks.select("chunk_id", "publication_name", "edition_date", "section_id", "chunk_text"), "chunk_id"), ["query_id", *dedup], "rank")
-    shown = Q.formatted(sources, "rank").join(sources.groupBy("query_id").agg(F.count("*").alias("n_sources")), "query_id")
-    own = claims.join(queries.select(F.col("query_id").alias("answer_id")), "answer_id", "left_semi")
+    shown = Q.formatted(sources, "rank", counted=True)
+    own = stored(claims.join(queries.select(F.col("query_id").alias("answer_id")), "answer_id", "left_semi"), "claims")
     gate = E.trust_gate(own, p).join(E.gate_reasons(own, p), "answer_id").join(E.scorecard(own), "answer_id")
     phi = E.shapley(own, p).groupBy("answer_id").agg(F.max("overall_score").alias("shapley_score"), F.count("*").alias("n_claims"))
     gate = gate.join(phi, "answer_id").withColumnRenamed("answer_id", "query_id")
