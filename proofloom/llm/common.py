@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -12,32 +9,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-#: Used only where spark.checkpoint.dir is unset, as in tests on one machine.
-LOCAL_SHARED = "/tmp/checkpoints"
-_own: dict[str, str] = {}
+from ..shared import new_folder, new_path, stored
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from the session's spark.checkpoint.dir."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if "dir" not in _own:
-        _own["dir"] = f"{LOCAL_SHARED}/proofloom-{uuid.uuid4().hex}"
-        atexit.register(shutil.rmtree, _own["dir"], ignore_errors=True)
-    return _own["dir"]
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet to the shared folder and reads it back: lineage ends, and a lost executor loses nothing."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["group_edges", "group_pairs", "new_folder", "new_path", "rows_mapper", "slices", "small_and_large", "stored", "table", "whole_groups"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

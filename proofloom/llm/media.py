@@ -6,7 +6,7 @@ length, crc32, doc_id, n_bytes) and a footer. The source lists archives by size
 reading task takes the members that begin in its range, in Arrow batches. A member that can't be read or whose crc32 is
 wrong is tried again by its own offset; one that stays bad gives a row with `error` set and no media.
 
-Null and empty texts have a payload of 64 zero bytes. A null doc_id is read back as null. Repeated rows are members of
+Null and empty texts have a payload of 64 zero bytes; very long ones are one member. A null doc_id is read back as null. Repeated rows are members of
 their own; an empty table makes an empty folder. Columns other than doc_id and text are ignored.
 """
 
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from .common import new_path, table
+from .common import new_folder, table
 from .files import AtomicFile, opened
 
 WIDTH = 64
@@ -201,6 +201,6 @@ def measured(media: DataFrame) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = new_path(spark, "media")
+    folder = new_folder(spark, "media")
     write_archives(table(spark, sf_dir, "documents"), folder)
     return measured(read_archives(spark, folder))
