@@ -4,10 +4,12 @@ Words are runs of ASCII letters and digits (A-Z lower-cased) and of all characte
 consecutive words of a benchmark item; an item of fewer is one window. Every window of a text holds an anchor, a few
 words that begin at a multiple of a stride, so a text's anchors alone are looked up in the broadcast set of the items'
 n-grams; only around anchors that are found are whole windows compared, word for word, with the windows themselves.
-Sets travel as hash sets within the plan while the benchmark has at most MAX_WINDOWS windows (checked); beyond that the
-same windows are found by joins.
+Sets travel as hash sets within the plan while the benchmark has at most MAX_WINDOWS windows and MAX_BYTES of them
+(checked). Beyond that a text's anchors are looked up by 64-bit hashes, as a broadcast set if there are at most
+MAX_ANCHORS of them (checked), else by a join of those hashes; only where anchors are found are windows cut out and joined
+with the benchmark's, word for word. Both ways give the same rows.
 
-Null and empty texts have no words, and null or empty items no windows; with an empty benchmark nothing is hit. Rows
+Very long texts are searched whole. Null and empty texts have no words, and null or empty items no windows; with an empty benchmark nothing is hit. Rows
 that repeat (doc_id and text) each get the same result; null doc_ids are kept. Extra columns are ignored by `report`,
 and kept by `clean`.
 """
@@ -22,7 +24,9 @@ from .common import stored, table
 #: What stands between words.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW, ANCHOR = 10, 3
-MAX_WINDOWS = 50_000
+MAX_WINDOWS, MAX_BYTES = 50_000, 8_000_000
+#: Hashes of 8 bytes that may be broadcast.
+MAX_ANCHORS = 8_000_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -62,37 +66,45 @@ def _joined(p: str, n: int) -> str:
     return "concat_ws(' ', " + ", ".join(f"w[{p} + {i}]" for i in range(n)) + ")"
 
 
-def _hits_by_join(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """The same by joins: every window of every text meets the benchmark's windows on their words."""
-    sizes = found.select("n").distinct()
-    rows = docs.withColumn("row", F.monotonically_increasing_id())
-    rows = stored(rows, "rows")
-    every = rows.join(F.broadcast(sizes), F.size("w") >= F.col("n"))
-    every = every.select("row", "n", F.posexplode(F.expr("transform(sequence(0, size(w) - n), i -> array_join(slice(w, i + 1, n), ' '))")).alias("s", "gram"))
-    hits = every.join(found.select("n", "gram").distinct(), ["n", "gram"]).groupBy("row").agg(F.collect_list(F.struct("s", "n")).alias("hits"))
+def _hits_by_join(docs: DataFrame, found: DataFrame, max_anchors: int) -> DataFrame:
+    """The same by joins: hashes of a text's anchors first, then, around those that are found, whole windows."""
     empty = F.expr("cast(array() as array<struct<s: int, n: int>>)")
+    sizes = [r.n for r in found.select("n").distinct().orderBy("n").collect()]  # WINDOW numbers at most
+    if not sizes:
+        return docs.withColumn("hits", empty)
+    size = min(ANCHOR, sizes[0])
+    stride = sizes[0] - size + 1
+    rows = stored(docs.withColumn("row", F.monotonically_increasing_id()), "rows")
+    anchors = found.select(F.split("gram", " ").alias("w")).select(F.explode(F.expr(f"transform(sequence(0, size(w) - {size}), p -> xxhash64({_joined('p', size)}))")).alias("anchor")).distinct()
+    anchors = stored(anchors, "anchors")
+    own = rows.filter(F.size("w") >= size).select("row", F.explode(F.expr(f"transform(sequence(0, size(w) - {size}, {stride}), p -> named_struct('p', p, 'anchor', xxhash64({_joined('p', size)})))")).alias("a")).select("row", "a.p", "a.anchor")
+    at = own.join(F.broadcast(anchors) if anchors.count() <= max_anchors else anchors, "anchor", "left_semi")
+    # A window that holds the anchor begins no further before it than the window is longer.
+    starts = at.select("row", "p", F.explode(F.array(*(F.lit(n) for n in sizes))).alias("n")).select("row", "n", F.explode(F.expr(f"sequence(greatest(p - (n - {size}), 0), p)")).alias("s")).distinct()
+    starts = starts.groupBy("row").agg(F.collect_list(F.struct("n", "s")).alias("starts"))  # of one text alone
+    cut = rows.select("row", "w").join(starts, "row").select("row", F.explode(F.expr("transform(filter(starts, x -> x.s + x.n <= size(w)), x -> named_struct('n', x.n, 's', x.s, 'gram', array_join(slice(w, x.s + 1, x.n), ' ')))")).alias("x")).select("row", "x.*")
+    hits = cut.join(found.select("n", "gram").distinct(), ["n", "gram"]).groupBy("row").agg(F.collect_list(F.struct("s", "n")).alias("hits"))
     return rows.join(hits, "row", "left").drop("row").withColumn("hits", F.coalesce("hits", empty))
 
 
-def with_hits(docs: DataFrame, items: DataFrame, max_windows: int = MAX_WINDOWS) -> tuple[DataFrame, DataFrame]:
-    """docs with `w`, `hits` and `n_hit`, and the benchmark's windows."""
+def with_hits(docs: DataFrame, items: DataFrame, max_windows: int = MAX_WINDOWS, max_anchors: int = MAX_ANCHORS) -> tuple[DataFrame, DataFrame, bool]:
+    """docs with `w`, `hits` and `n_hit`, the benchmark's windows, and whether these are few."""
     found = stored(windows(items), "windows")
     rows = docs.withColumn("w", words(F.col("text")))
-    if found.count() <= max_windows:
-        rows = _hits(rows, found.select("n", "gram").distinct().collect())
-    else:
-        rows = _hits_by_join(rows, found)
+    n = found.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("gram")), F.lit(0)).alias("bytes")).first()
+    few = n.n <= max_windows and n.bytes <= MAX_BYTES
+    rows = _hits(rows, found.select("n", "gram").distinct().collect()) if few else _hits_by_join(rows, found, max_anchors)
     covered = F.expr("cast(size(array_distinct(flatten(transform(hits, h -> sequence(h.s, h.s + h.n - 1))))) as bigint)")
-    return rows.withColumn("n_hit", covered), found
+    return rows.withColumn("n_hit", covered), found, few
 
 
-def report(docs: DataFrame, items: DataFrame, max_windows: int = MAX_WINDOWS) -> DataFrame:
+def report(docs: DataFrame, items: DataFrame, max_windows: int = MAX_WINDOWS, max_anchors: int = MAX_ANCHORS) -> DataFrame:
     """A row for each document: n_words, n_hit, n_items, items_sha256, contaminated."""
-    rows, found = with_hits(docs.select("doc_id", "text"), items, max_windows)
+    rows, found, few = with_hits(docs.select("doc_id", "text"), items, max_windows, max_anchors)
     rows = rows.select("doc_id", F.md5("text").alias("digest"), F.size("w").cast("long").alias("n_words"), "n_hit", F.expr("array_distinct(transform(hits, h -> array_join(slice(w, h.s + 1, h.n), ' ')))").alias("grams"))
     each = rows.select("*", F.posexplode_outer("grams").alias("i", "gram")).drop("grams")
     known = found.groupBy("gram").agg(F.collect_set("item_id").alias("items"))
-    known = F.broadcast(known) if found.count() <= max_windows else known
+    known = F.broadcast(known) if few else known
     each = each.join(known, "gram", "left").withColumn("item_id", F.explode_outer("items"))
     # A row counts once: its first gram's first item.
     first = F.coalesce(F.col("i"), F.lit(0)) == 0
@@ -107,7 +119,7 @@ def report(docs: DataFrame, items: DataFrame, max_windows: int = MAX_WINDOWS) ->
 def clean(docs: DataFrame, items: DataFrame, remove: str = "documents") -> DataFrame:
     """docs without the documents that are hit or, with remove="spans", without the words that are hit."""
     # A document travels as one column, so its own columns never clash with those of the search.
-    rows, _ = with_hits(docs.select(F.struct("*").alias("own"), "text"), items)
+    rows, _, _ = with_hits(docs.select(F.struct("*").alias("own"), "text"), items)
     if remove == "documents":
         # Written first: a filter that sank below the search would split the text again for every word it looks at.
         return stored(rows.select("own", "n_hit"), "searched").filter("n_hit = 0").select("own.*")

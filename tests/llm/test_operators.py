@@ -278,19 +278,20 @@ def windows_hit(docs, items, n=10):
     return out
 
 
-@pytest.mark.parametrize("most", [0, decontamination.MAX_WINDOWS])
+@pytest.mark.parametrize(("most", "anchors"), [(0, 0), (0, decontamination.MAX_ANCHORS), (decontamination.MAX_WINDOWS, 0)])
 @pytest.mark.parametrize("short", [False, True])
-def test_decontamination(spark, rows, most, short):
+def test_decontamination(spark, rows, most, anchors, short):
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text").collect()] + [(900, None), (901, "")]
     items += [(902, "it's short"), (903, "a"), (904, "It's SHORT\\")] if short else []
     long = max((t for _, t in items if t), key=len)
     made = [*rows, (30_000, "Before. " + long.upper() + " after"), (30_001, "x " + " ".join(long.split()[:12]) + " y"), (None, long), (None, long)]
     table = spark.createDataFrame(items, "item_id long, text string")
-    got = decontamination.report(spark.createDataFrame(made, "doc_id long, text string"), table, most)
+    docs = spark.createDataFrame([(*r, 1, "x", 2) for r in made], "doc_id long, text string, w int, hits string, row int")
+    got = decontamination.report(docs, table, most, anchors)
     key = lambda r: tuple(str(x) for x in r)
     assert sorted(map(tuple, got.collect()), key=key) == sorted(windows_hit(made, items), key=key)
-    assert decontamination.report(spark.createDataFrame(made[:5], "doc_id long, text string"), table.limit(0), most).filter("contaminated").count() == 0
-    assert decontamination.report(got.select("doc_id").limit(0).selectExpr("doc_id", "'' as text"), table, most).count() == 0
+    assert decontamination.report(spark.createDataFrame(made[:5], "doc_id long, text string"), table.limit(0), most, anchors).filter("contaminated").count() == 0
+    assert decontamination.report(got.select("doc_id").limit(0).selectExpr("doc_id", "'' as text"), table, most, anchors).count() == 0
 
 
 def test_decontamination_removes(spark):
