@@ -2,12 +2,14 @@
 
 A text becomes a row of statistics of its characters, words and lines. Trees are grown level by level on histograms of
 at most 64 quantile bins, with the logistic loss, on at most MAX_ROWS labelled rows (an even share by hashed doc_id
-where there are more); a finished tree is three flat arrays in heap order, walked for all rows at once. Labels, lang, source and doc_id
-are never inputs of a score.
-
-Null and empty texts have statistics of zero and get a score like any other. Without labels every score is 0.5. A label
-that occurs more than once counts by its greatest value; labelled ids that are null or absent from the documents teach
-nothing. Repeated rows repeat their result; extra columns are ignored.
+where there are more); a finished tree is three flat arrays in heap order, walked for all rows at once. Labels, lang,
+source and doc_id are never inputs of a score.
+
+Null and empty texts have statistics of zero and get a score like any other; very long ones are measured whole. Without
+labels every score is 0.5. A label that occurs more than once counts by its greatest value; labelled ids that are null or
+absent from the documents teach nothing, and of documents that share a labelled id the least text teaches. Repeated rows
+repeat their result; an empty table gives an empty one. Extra columns, whatever their names, are ignored by `judge` and
+kept by `kept`.
 """
 
 from __future__ import annotations
@@ -21,8 +23,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import stored, table
+from .common import slices, stored, table
 
 MAX_ROWS, BINS, DEPTH, TREES, RATE, LEAST, RIDGE = 20_000, 64, 5, 80, 0.15, 1.0, 1.0
 THRESHOLD = 0.3
@@ -59,16 +62,8 @@ def statistics(text: str) -> list[float]:
 N_FEATURES = len(statistics(""))
 
 
-def measured(docs: DataFrame) -> DataFrame:
-    """(doc_id, x), x the statistics as 32-bit floats."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = np.array([statistics(t.as_py() or "") for t in batch.column("text")], np.float32).reshape(-1, N_FEATURES)
-            flat = pa.ListArray.from_arrays(np.arange(len(x) + 1, dtype=np.int32) * N_FEATURES, pa.array(x.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), flat], names=["doc_id", "x"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, x array<float>")
+def _measured(texts: pa.Array) -> np.ndarray:
+    return np.array([statistics(t.as_py() or "") for t in texts], np.float32).reshape(-1, N_FEATURES)
 
 
 @dataclass
@@ -134,43 +129,50 @@ def held_out(doc_id: int | None) -> bool:
     return zlib.crc32(str(doc_id).encode()) % 5 == 0
 
 
-def fit(features: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Trees:
-    """Learns from at most max_rows labelled rows, none of them held out; those rows are what reaches the driver."""
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Trees:
+    """Learns from at most max_rows labelled documents, none of them held out; their statistics are what reaches the driver."""
     known = labels.filter("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("quality")).filter(F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
     total = known.count()
     if total > max_rows:  # an even share by hashed doc_id, a little below the bound
         known = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(2**32)) < int(0.97 * max_rows / total * 2**32))
-    rows = features.join(known, "doc_id").select("x", "quality").toPandas()
-    x = np.stack(rows["x"].to_list()).astype(np.float32) if len(rows) else np.zeros((0, N_FEATURES), np.float32)
-    return grow(x, rows["quality"].to_numpy(np.float64))
+    known = stored(known, "known")  # small, so that the documents need not move
+    rows = docs.select("doc_id", "text").join(known, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("quality").alias("quality"))
 
-
-def scored(features: DataFrame, trees: Trees, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, N_FEATURES)
-            kept = [batch.column(c) for c in keep]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(trees.score(x), pa.float64())], names=[*keep, "score"])
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                x = _measured(batch.column("text"))
+                flat = pa.ListArray.from_arrays(np.arange(len(x) + 1, dtype=np.int32) * N_FEATURES, pa.array(x.ravel()))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), flat, batch.column("quality").cast(pa.float64())], names=["doc_id", "x", "quality"])
 
-    return features.mapInArrow(run, ", ".join(f"`{c}` {features.schema[c].dataType.simpleString()}" for c in keep) + ", score double")
+    found = rows.mapInArrow(run, StructType([docs.schema["doc_id"], *StructType.fromDDL("x array<float>, quality double")])).toArrow().sort_by("doc_id")
+    x = found.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, N_FEATURES)
+    return grow(x, found.column("quality").to_numpy())
 
 
 def judge(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
     """(doc_id, held_out, score, predicted) for each document."""
-    features = stored(measured(docs), "statistics")
-    out = scored(features, fit(features, labels, max_rows))
+    trees = fit(docs, labels, max_rows)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(trees.score(_measured(batch.column("text"))), pa.float64())], names=["doc_id", "score"])
+
+    rows = docs.select("doc_id", "text")
+    out = rows.mapInArrow(run, StructType([rows.schema["doc_id"], *StructType.fromDDL("score double")]))
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
     return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
-def kept(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def kept(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
     """The documents that the classifier accepts, with their own columns: texts are scored where they are."""
-    trees = fit(stored(measured(docs), "statistics"), labels)
+    trees = fit(docs, labels, max_rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = np.array([statistics(t.as_py() or "") for t in batch.column("text")], np.float32).reshape(-1, N_FEATURES)
-            yield batch.filter(pa.array(trees.score(x) >= THRESHOLD))
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                yield batch.filter(pa.array(trees.score(_measured(batch.column("text"))) >= THRESHOLD))
 
     return docs.mapInArrow(run, docs.schema)
 
