@@ -6,7 +6,8 @@ parsers then expand each anchor to the whole item and validate it. Base kinds ar
 and dropped. The method adds `iban` (mod 97), `account` (8 to 17 digits after an account cue) and `userinfo` (name and
 password before an at-sign in an address with a scheme).
 
-Null and empty texts give no spans; rows are independent, so repeated rows repeat their result. Extra columns are ignored.
+Null and empty texts give no spans; very long ones are scanned whole. Rows are independent, so repeated rows repeat their
+result, and null doc_ids are kept. An empty table gives an empty result. Extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations

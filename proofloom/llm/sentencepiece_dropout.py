@@ -9,7 +9,8 @@ dropout is skipped; the others advance together in numpy, one merge each a round
 
 Characters without a piece become byte pieces, and so does a space mark that the text itself holds; decoding therefore
 gives back every text exactly. With a rate of 0 the ids are those of the library. Null texts have null ids and stay null;
-empty ones have no ids. A null doc_id has a key as well. Repeated rows repeat their result.
+empty ones have no ids; very long ones are one text. A null doc_id has a key as well. Repeated rows repeat their result;
+an empty table gives an empty one. Extra columns are kept, but for `ids` and `n_tokens`, which are replaced.
 """
 
 from __future__ import annotations

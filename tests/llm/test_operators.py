@@ -178,10 +178,12 @@ def test_pii(docs, rows, none):
 def test_urls(spark, limit):
     made = [(1, None), (2, "no scheme"), (3, "HTTP://A.Example.COM/en/77?x"), (4, "http://example.com/en/8#y"), (5, "x://net/de/"), (6, "x://b.example.net/de/81"), (7, "x://notnet/de/"), (8, "x://org"), (8, "x://org"), (9, "x://q/p")]
     made += [(100 + i, f"https://h{i % 40}.test/{i}") for i in range(400)]
-    pages = spark.createDataFrame(made, "page_id long, url string")
-    listed = spark.createDataFrame([(f"h{i % 40}.test/{i}",) for i in range(0, 400, 7)] + [("absent/key",)], "key string")
+    made += [(None, "https://h7.test/7"), (600, "https://h8.test/" + "long/" * 20_000), (601, "https://example.com/en/" + "x" * 50_000)]
+    pages = spark.createDataFrame([(*r, 5, "x", True) for r in made], "page_id long, url string, h1 int, key string, listed boolean")
+    listed = spark.createDataFrame([(f"h{i % 40}.test/{i}",) for i in range(0, 400, 7)] + [("absent/key",), ("h8.test/" + "long/" * 20_000,)], "key string")
     got = {r.page_id: r for r in urls.judge(pages, listed, limit=limit).collect()}
     assert [(got[i].rule, got[i].verdict) for i in range(1, 10)] == [(None, "allow"), (None, "allow"), ("example.com/en/7", "allow"), ("com/en/", "block"), ("net/de/", "block"), ("example.net/de/8", "block"), (None, "allow"), (None, "allow"), (None, "allow")]
+    assert (got[None].verdict, got[600].verdict, got[601].rule) == ("block", "block", "com/en/")
     assert got[3].host == "a.example.com" and got[3].path == "/en/77" and got[1].host == ""
     assert all(got[100 + i].verdict == ("block" if i % 7 == 0 else "allow") for i in range(400))
     assert urls.judge(pages.limit(0), listed.limit(0), limit=limit).count() == 0
