@@ -16,7 +16,7 @@ CAPITALS_BELOW = 25
 
 def words(text: Column) -> Column:
     """Runs without white space, in order; none for null."""
-    return F.coalesce(F.filter(F.split(text, r"\s+"), lambda w: w != ""), F.array().cast("array<string>"))
+    return F.coalesce(F.array_remove(F.split(text, r"\s+"), ""), F.array().cast("array<string>"))
 
 
 def tokens(text: Column) -> Column:

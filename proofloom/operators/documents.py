@@ -54,10 +54,14 @@ def windows(text: Column, size: int, overlap: int) -> Column:
     """A text's chunks: itself if it has at most size words, else runs of size words that overlap."""
     if not 0 <= overlap < size:
         raise ValueError("overlap must be below the chunk size")
-    w = T.words(text)
-    n = F.size(w)
-    runs = F.transform(F.sequence(F.lit(0), F.greatest(n - overlap - 1, F.lit(0)), F.lit(size - overlap)), lambda s: F.array_join(F.slice(w, s + 1, size), " "))
-    return F.when(n == 0, F.array().cast("array<string>")).when(n <= size, F.array(text)).otherwise(runs)
+
+    def cut(w: Column) -> Column:
+        n = F.size(w)
+        runs = F.transform(F.sequence(F.lit(0), F.greatest(n - overlap - 1, F.lit(0)), F.lit(size - overlap)), lambda s: F.array_join(F.slice(w, s + 1, size), " "))
+        return F.when(n == 0, F.array().cast("array<string>")).when(n <= size, F.array(text)).otherwise(runs)
+
+    # As an element of an array the words are split once, not once for each run.
+    return F.element_at(F.transform(F.array(T.words(text)), cut), 1)
 
 
 def chunks(sections: DataFrame, size: int = DEFAULT.chunk_words, overlap: int = DEFAULT.chunk_overlap) -> DataFrame:
@@ -79,8 +83,8 @@ def chunks(sections: DataFrame, size: int = DEFAULT.chunk_words, overlap: int =
 
 def chunk_count(text: Column, size: int = DEFAULT.chunk_words, overlap: int = DEFAULT.chunk_overlap) -> Column:
     """How many chunks a text has."""
-    n = F.size(T.words(text))
-    return F.when(n == 0, 0).when(n <= size, 1).otherwise(F.floor((n - overlap - 1) / (size - overlap)).cast("int") + 1)
+    count = lambda n: F.when(n == 0, 0).when(n <= size, 1).otherwise(F.floor((n - overlap - 1) / (size - overlap)).cast("int") + 1)
+    return F.element_at(F.transform(F.array(F.size(T.words(text))), count), 1)
 
 
 def chunk_id(publication: Column, edition: Column, section: Column, idx: Column) -> Column:

@@ -21,6 +21,7 @@ from ..operators import evidence as E
 from ..operators import reports as R
 from ..operators import retrieval as Q
 from ..params import DEFAULT
+from ..shared import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -89,7 +90,7 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def chunked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = load(spark, sf_dir, "documents").selectExpr("doc_id", "lang", "text", f"{META[0]} AS publication_name", f"{META[1]} AS edition_date", f"{META[2]} AS section_id")
+    docs = spread(load(spark, sf_dir, "documents").select("doc_id", "lang", "text"), "doc_id").selectExpr("doc_id", "lang", "text", f"{META[0]} AS publication_name", f"{META[1]} AS edition_date", f"{META[2]} AS section_id")
     rows = D.chunks(docs)
     return rows.withColumn("chunk_id", D.chunk_id(F.col("publication_name"), F.col("edition_date"), F.concat_ws("_", "section_id", F.concat(F.lit("d"), "doc_id")), F.col("chunk_idx")))
 
@@ -101,7 +102,7 @@ def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
 def chunk_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks without their texts: only how many a document has is counted."""
     n = D.chunk_count(F.col("text"))
-    docs = load(spark, sf_dir, "documents").select("doc_id", n.alias("n")).filter("n > 0").selectExpr("doc_id", "explode(sequence(0, n - 1)) AS i", f"{META[0]} AS publication_name", f"{META[1]} AS edition_date", f"{META[2]} AS section_id")
+    docs = spread(load(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").select("doc_id", n.alias("n")).filter("n > 0").selectExpr("doc_id", "explode(sequence(0, n - 1)) AS i", f"{META[0]} AS publication_name", f"{META[1]} AS edition_date", f"{META[2]} AS section_id")
     idx = F.col("i").cast("long")
     return docs.select("doc_id", idx.alias("chunk_idx"), "publication_name", "edition_date", "section_id", D.chunk_id(F.col("publication_name"), F.col("edition_date"), F.concat_ws("_", "section_id", F.concat(F.lit("d"), "doc_id")), idx).alias("chunk_id"))
 
@@ -127,7 +128,7 @@ def chunk_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def paged(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.expr("if(lang = 'en', array_join(transform(split(text, '\\n'), (x, i) -> if(i % 3 = 0, concat(1 + doc_id % 9, '.', 1 + i div 3, ' Topic Number\\n', x), x)), '\\n'), text)")
-    return load(spark, sf_dir, "documents").select("doc_id", F.lit(1).alias("page_number"), text.alias("text"))
+    return spread(load(spark, sf_dir, "documents").select("doc_id", "lang", "text"), "doc_id").select("doc_id", F.lit(1).alias("page_number"), text.alias("text"))
 
 
 @query(

@@ -45,3 +45,9 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(passing(spark, path))
+
+
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """rows over all cores: moved by key if, and only if, their files give fewer parts than there are cores."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores, key) if rows.rdd.getNumPartitions() < cores else rows
