@@ -205,7 +205,8 @@ class Pieces:
 
     def _any_skipped(self, keys: np.ndarray, which: np.ndarray, seen: list[np.ndarray]) -> np.ndarray:
         """Whether a unit of these keys skips any of the pairs seen in the distinct unit that it is."""
-        pairs = np.unique(np.concatenate(seen)) if seen else np.empty(0, np.int64)
+        pairs = np.sort(np.concatenate(seen)) if seen else np.empty(0, np.int64)
+        pairs = pairs[np.append(True, pairs[1:] != pairs[:-1])] if len(pairs) else pairs
         first = np.searchsorted(pairs, np.arange(which.max(initial=-1) + 2) << 18)
         bounds = self._bounds(pairs >> 12 & 63, pairs >> 6 & 63, pairs & 63)
         counts = np.diff(first)[which]
