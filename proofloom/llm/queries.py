@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, jaccard_join, line_dedup, media, pii, quality, secrets, sentencepiece_dropout, token_files, urls
+from . import decontamination, jaccard_join, line_dedup, media, merkle, pii, quality, secrets, sentencepiece_dropout, token_files, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,8 +21,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_decontamination": decontamination.query,
         "op9_jaccard_join": jaccard_join.query,
         "op10_media_archive": media.query,
+        "op12_merkle_manifest": merkle.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_url_cascade": urls.SQL, "op8_decontamination": decontamination.SQL}
+    return {"op5_url_cascade": urls.SQL, "op8_decontamination": decontamination.SQL, "op12_merkle_manifest": merkle.SQL}
