@@ -67,3 +67,12 @@ def shingles(words: np.ndarray, n: int) -> np.ndarray:
     for i in range(width):
         total = mixed(total * _BASE + words[i : len(words) - width + 1 + i])
     return np.unique(total)
+
+
+def byte_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each of the ranges of bytes."""
+    if not len(starts):
+        return np.empty(0, _U)
+    sums = np.zeros(len(data) + 1, _U)
+    np.cumsum(_BYTE[data] * power("up", len(data)), out=sums[1:])
+    return mixed((sums[ends] - sums[starts]) * power("down", len(data))[starts] + (ends - starts).astype(_U))

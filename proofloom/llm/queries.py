@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, jaccard_join, licenses, line_dedup, media, merkle, pii, quality, secrets, sentencepiece_dropout, token_files, urls
+from . import collocations, decontamination, jaccard_join, licenses, line_dedup, media, merkle, pii, quality, secrets, sentencepiece_dropout, token_files, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,10 +21,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_decontamination": decontamination.query,
         "op9_jaccard_join": jaccard_join.query,
         "op10_media_archive": media.query,
+        "op11_collocations": collocations.query,
         "op12_merkle_manifest": merkle.query,
         "op13_license_index": licenses.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_url_cascade": urls.SQL, "op8_decontamination": decontamination.SQL, "op12_merkle_manifest": merkle.SQL, "op13_license_index": licenses.SQL}
+    return {"op5_url_cascade": urls.SQL, "op8_decontamination": decontamination.SQL, "op11_collocations": collocations.SQL, "op12_merkle_manifest": merkle.SQL, "op13_license_index": licenses.SQL}
