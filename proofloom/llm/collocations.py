@@ -8,10 +8,12 @@ Candidates that nearly always go on to the same longer one are dropped by an ant
 holds for any longer candidate holds for one of those, as it occurs at least as often. A window ranks the rest.
 
 A phrase occurs no more often than its parts, so a run of words with a part below least_count is left out before its row
-is made: words are counted first, then pairs of frequent words, then all longer runs of frequent pairs. Which parts are
-frequent goes to the tasks as a Bloom filter, built by grouping, of FILTER_BITS at most. It never leaves out a frequent
-part; as it fills up beyond its bound, more rows are made, and the results stay the same. A task adds up equal rows, as
-they come, before they move, so a word that every text has is a row a task.
+is made. Words are counted first. Then 64-bit hashes of the pairs of frequent words are; a hash counts at least as often
+as each of its pairs, so pairs whose hash is rare are rare. Then all longer runs, of frequent pairs alone, become rows with
+their texts, and those are what is counted. What is frequent goes to the tasks as a Bloom filter, made by grouping, of
+FILTER_BITS at most. It never leaves out a frequent part; as it fills up beyond its bound, more rows are made, and the
+results stay the same. A task adds up equal rows, as they come, before they move, so a word that every text has is a row a
+task and not one a text.
 
 Very long texts are taken in parts that end at piece ends. Null and empty texts have no words, and rows with a null
 language count as `und`. Repeated rows count as often as they come. An empty table gives an empty result. Extra columns,
@@ -40,36 +42,47 @@ COVERED = 80
 UNKNOWN = "und"
 #: Bits of a filter at most, and for each phrase in it.
 FILTER_BITS, BITS_EACH = 2**27, 16
-BATCH_BYTES, HELD_ROWS = 2_000_000, 400_000
+BATCH_BYTES, HELD_ROWS = 1_000_000, 400_000
 #: Parts of a language's candidates that are ranked before they meet.
 SHARES = 32
 _ENDS = re.compile(r"[.,;:!?\n-\r]")
 _END = np.zeros(256, bool)
 _END[[ord(c) for c in ".,;:!?\n\x0b\x0c\r"]] = True
+_FORM = np.arange(256, dtype=np.uint8)
+_FORM[65:91] += 32
+_FORM[9] = 32
 _U = np.uint64
-SCHEMA = pa.schema([("lang", pa.string()), ("size", pa.int32()), ("phrase", pa.string()), ("f", pa.int64())])
+SCHEMA = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("key", pa.int64()), ("f", pa.int64())])
 
 
 class Words:
     """The words of texts, all bytes in one array: where each begins and ends, its hash, its text's language, and its piece."""
 
     def __init__(self, texts: pa.Array, langs: np.ndarray, seeds: np.ndarray):
-        """texts: lower-cased, with one space at most between words; langs: the number of each text's language in seeds."""
-        self.data, offsets = text_bytes(texts)
-        end = _END[self.data]
-        solid = ~(end | (self.data == 32))
+        """langs: the number of each text's language in seeds. A-Z are lower-cased, and one space stays between words."""
+        data, offsets = text_bytes(texts)
+        data = _FORM[data]
+        space = data == 32
+        again = space[1:] & space[:-1]
+        if again.any():
+            kept = np.concatenate([[True], ~again])
+            offsets = np.concatenate([[0], np.cumsum(kept)])[offsets]
+            data, space = data[kept], space[kept]
+        end = _END[data]
+        solid = ~(end | space)
         begin, last = solid.copy(), solid.copy()
         begin[1:] &= ~solid[:-1]
         last[:-1] &= ~solid[1:]
-        edges = offsets[1:-1][(offsets[1:-1] > 0) & (offsets[1:-1] < len(self.data))]
+        edges = offsets[1:-1][(offsets[1:-1] > 0) & (offsets[1:-1] < len(data))]
         begin[edges] = solid[edges]
         last[edges - 1] = solid[edges - 1]
-        self.starts, self.ends = np.flatnonzero(begin), np.flatnonzero(last) + 1
-        row = np.searchsorted(offsets, self.starts, side="right") - 1
-        self.piece = np.cumsum(end)[self.starts] + row if len(self.starts) else row
+        self.data, self.starts, self.ends = data, np.flatnonzero(begin), np.flatnonzero(last) + 1
+        counts = np.diff(np.searchsorted(self.starts, offsets))
+        row = np.repeat(np.arange(len(counts)), counts)
+        self.piece = np.cumsum(end)[self.starts] + row
         self.lang = langs[row]
-        self.seed = seeds[self.lang] if len(self.lang) else np.empty(0, _U)
-        self.hashes = byte_hashes(self.data, self.starts, self.ends)
+        self.seed = seeds[self.lang]
+        self.hashes = byte_hashes(data, self.starts, self.ends)
 
     def runs(self, n: int) -> np.ndarray:
         """The first words of all runs of n words within a piece."""
@@ -82,15 +95,29 @@ class Words:
             total = mixed(total * _U(0x9E3779B97F4A7C15) + self.hashes[at + i])
         return total
 
-    def texts(self, at: np.ndarray, n: int) -> pa.Array:
-        starts, sizes = self.starts[at], self.ends[at + n - 1] - self.starts[at]
+    def bytes_of(self, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of these ranges, one after another, and their offsets."""
         offsets = np.concatenate([[0], np.cumsum(sizes)])
-        data = self.data[np.repeat(starts - offsets[:-1], sizes) + np.arange(offsets[-1])]
+        return self.data[np.repeat(starts - offsets[:-1], sizes) + np.arange(offsets[-1])], offsets
+
+    def counted(self, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(first words, hashes, counts) of the distinct runs of n words at these words."""
+        keys = self.keys(at, n)
+        keys, first, inverse, counts = np.unique(keys, return_index=True, return_inverse=True, return_counts=True)
+        starts, sizes = self.starts[at], self.ends[at + n - 1] - self.starts[at]
+        like = first[inverse]
+        if not np.array_equal(sizes, sizes[like]) or not np.array_equal(self.lang[at], self.lang[at[like]]) or not np.array_equal(self.bytes_of(starts, sizes)[0], self.bytes_of(starts[like], sizes)[0]):
+            # Two runs have one hash: each run is a row of its own, and equal ones are summed later.
+            return at, self.keys(at, n), np.ones(len(at), np.int64)
+        return at[first], keys, counts
+
+    def texts(self, at: np.ndarray, n: int) -> pa.Array:
+        data, offsets = self.bytes_of(self.starts[at], self.ends[at + n - 1] - self.starts[at])
         return pa.LargeStringArray.from_buffers(len(at), pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data))
 
 
 def parted(texts: list[str], langs: list[str], limit: int = BATCH_BYTES) -> Iterator[tuple[pa.Array, list[str]]]:
-    """The texts lower-cased, with single spaces, and their languages; long ones in parts of about limit characters."""
+    """The texts and their languages; long ones in parts of about limit characters that end at piece ends."""
     for text, lang in zip(texts, langs, strict=True):
         at = 0
         while at < len(text):
@@ -113,8 +140,7 @@ def words_of(batch: pa.RecordBatch) -> Iterator[tuple[Words, np.ndarray]]:
             coded = own_langs.dictionary_encode()
             names = coded.dictionary
             seeds = np.array([mixed(byte_hashes(*_whole(x)))[0] for x in names.to_pylist()], _U)
-            clean = pc.replace_substring_regex(pc.ascii_lower(own_texts), "[ \t]+", " ")
-            yield Words(clean, coded.indices.to_numpy(zero_copy_only=False), seeds), names
+            yield Words(own_texts, coded.indices.to_numpy(zero_copy_only=False), seeds), names
 
 
 def _whole(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -130,58 +156,54 @@ class Filter:
 
     def has(self, keys: np.ndarray) -> np.ndarray:
         out = np.ones(len(keys), bool)
-        for bit in bits(keys, self.mask):
+        for bit in (keys & self.mask, (keys >> _U(32)) & self.mask):
             out &= (self.words[bit >> _U(6)] >> (bit & _U(63))) & _U(1) > 0
         return out
 
 
-def bits(keys: np.ndarray, mask: np.uint64) -> tuple[np.ndarray, np.ndarray]:
-    return keys & mask, (keys >> _U(32)) & mask
-
-
-def frequent(counts: DataFrame, most_bits: int = FILTER_BITS) -> Filter:
-    """A filter of the phrases of counts (lang, size, phrase); its words of 64 bits are made by grouping."""
-    n = counts.count()
-    size = min(most_bits, 2 ** max(10, math.ceil(math.log2(max(1, n * BITS_EACH)))))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for words, _ in words_of(batch.select(["lang", "text"])):
-                # Each text is one phrase, so words of equal pieces are its runs.
-                first = np.flatnonzero(np.diff(words.piece, prepend=-1))
-                sizes = np.diff(np.append(first, len(words.piece)))
-                for k in np.unique(sizes).tolist():
-                    for bit in bits(words.keys(first[sizes == k], k), _U(size - 1)):
-                        yield pa.RecordBatch.from_arrays([pa.array((bit >> _U(6)).astype(np.int64)), pa.array((_U(1) << (bit & _U(63))).view(np.int64))], names=["place", "bits"])
-
-    rows = counts.select("lang", F.col("phrase").alias("text")).mapInArrow(run, "place long, bits long").groupBy("place").agg(F.bit_or("bits").alias("bits")).toArrow()
+def frequent(keys: DataFrame, most_bits: int = FILTER_BITS) -> Filter:
+    """A filter of keys (key); its words of 64 bits are made by grouping, and most_bits / 64 of them at most reach the driver."""
+    size = min(most_bits, 2 ** max(10, math.ceil(math.log2(max(1, keys.count() * BITS_EACH)))))
+    bit = F.explode(F.array(F.col("key").bitwiseAND(size - 1), F.shiftrightunsigned("key", 32).bitwiseAND(size - 1)))
+    rows = keys.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).alias("place")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits")).toArrow()
     words = np.zeros(size // 64, _U)
     words[rows.column("place").to_numpy()] = rows.column("bits").to_numpy().view(_U)
     return Filter(words)
 
 
+def _passing(words: Words, part: int, known: Filter | None) -> np.ndarray:
+    """Whether a run of `part` words that is in known begins at each word."""
+    ok = np.ones(len(words.starts), bool)
+    if known is not None:
+        ok[:] = False
+        at = words.runs(part)
+        ok[at] = known.has(words.keys(at, part))
+    return ok
+
+
+def _runs(words: Words, n: int, part: int, ok: np.ndarray) -> np.ndarray:
+    """The first words of the runs of n words all of whose runs of `part` words pass."""
+    at = words.runs(n)
+    for i in range(n - part + 1 if part else 0):
+        at = at[ok[at + i]]
+    return at
+
+
 def grams(docs: DataFrame, sizes: range, part: int = 0, known: Filter | None = None) -> DataFrame:
-    """(lang, size, phrase, f): runs of words of these sizes, whose runs of `part` words are all in known, summed by task."""
+    """(lang, phrase, key, f): runs of words of these sizes, whose runs of `part` words are all in known, summed by task."""
     share = docs.sparkSession.sparkContext.broadcast(known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, rows = [], 0
         for batch in batches:
             for words, names in words_of(batch):
-                ok = np.ones(len(words.starts), bool)
-                if share.value is not None:
-                    ok[:] = False
-                    at = words.runs(part)
-                    ok[at] = share.value.has(words.keys(at, part))
+                ok = _passing(words, part, share.value)
                 for n in sizes:
-                    at = words.runs(n)
-                    for i in range(n - part + 1 if part else 1):
-                        at = at[ok[at + i]]
+                    at = _runs(words, n, part, ok)
                     if len(at):
-                        made = pa.table({"lang": pa.array(words.lang[at].astype(np.int32)), "phrase": words.texts(at, n)}).group_by(["lang", "phrase"]).aggregate([([], "count_all")])
-                        made = pa.table({"lang": names.take(made.column("lang")), "size": pa.array(np.full(len(made), n, np.int32)), "phrase": made.column("phrase").cast(pa.string()), "f": made.column("count_all")})
-                        held.append(made)
-                        rows += len(made)
+                        first, keys, counts = words.counted(at, n)
+                        held.append(pa.table([names.take(pa.array(words.lang[first])), words.texts(first, n).cast(pa.string()), pa.array(keys.view(np.int64)), pa.array(counts)], schema=SCHEMA))
+                        rows += len(first)
                 if rows > HELD_ROWS:
                     whole = _summed(held)
                     if len(whole) > HELD_ROWS // 2:
@@ -192,24 +214,50 @@ def grams(docs: DataFrame, sizes: range, part: int = 0, known: Filter | None = N
         if held:
             yield from _summed(held).to_batches(20_000)
 
-    return docs.select("lang", "text").mapInArrow(run, "lang string, size int, phrase string, f long")
+    return docs.select("lang", "text").mapInArrow(run, "lang string, phrase string, key long, f long")
 
 
 def _summed(tables: list[pa.Table]) -> pa.Table:
-    whole = pa.concat_tables(tables).group_by(["lang", "size", "phrase"]).aggregate([("f", "sum")])
-    return whole.rename_columns({"f_sum": "f"}).select(SCHEMA.names).cast(SCHEMA)
+    whole = pa.concat_tables(tables).group_by(["lang", "phrase", "key"]).aggregate([("f", "sum")])
+    return whole.rename_columns({"f_sum": "f"}).select(SCHEMA.names)
+
+
+def pair_hashes(docs: DataFrame, known: Filter) -> DataFrame:
+    """(key, f): hashes of pairs of words that are both in known, summed by task."""
+    share = docs.sparkSession.sparkContext.broadcast(known)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            for words, _ in words_of(batch):
+                held.append(words.keys(_runs(words, 2, 1, _passing(words, 1, share.value)), 2))
+                n += len(held[-1])
+                if n > 2 * HELD_ROWS:
+                    yield from _counts(held)
+                    held, n = [], 0
+        if held:
+            yield from _counts(held)
+
+    return docs.select("lang", "text").mapInArrow(run, "key long, f long")
+
+
+def _counts(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    keys, counts = np.unique(np.concatenate(held), return_counts=True)
+    yield from pa.table({"key": pa.array(keys.view(np.int64)), "f": pa.array(counts)}).to_batches(50_000)
 
 
 def counted(docs: DataFrame, max_n: int = MAX_N, least: int = LEAST_COUNT) -> tuple[DataFrame, DataFrame]:
-    """(lang, size, phrase, f) of all phrases of up to max_n words that occur `least` times, and (lang, n) of all words."""
-    total = lambda rows: rows.groupBy("lang", "size", "phrase").agg(F.sum("f").alias("f"))
-    one = stored(total(grams(docs, range(1, 2))), "words")
+    """(lang, phrase, size, f) of all phrases of up to max_n words that occur `least` times, and (lang, n) of all words."""
+    enough = F.col("f") >= least
+    one = stored(grams(docs, range(1, 2)).groupBy("lang", "phrase", "key").agg(F.sum("f").alias("f")), "words")
     words = one.groupBy("lang").agg(F.sum("f").alias("n"))
-    out = level = stored(one.filter(F.col("f") >= least), "frequent")
-    for part, sizes in ((1, range(2, 3)), (2, range(3, max_n + 1))):
-        if max_n > part:
-            level = stored(total(grams(docs, sizes, part, frequent(level))).filter(F.col("f") >= least), "frequent")
-            out = out.unionByName(level)
+    known = stored(one.filter(enough), "frequent")
+    out = known.select("lang", "phrase", F.lit(1).alias("size"), "f")
+    if max_n > 1:
+        pairs = stored(pair_hashes(docs, frequent(known)).groupBy("key").agg(F.sum("f").alias("f")).filter(enough), "pairs")
+        longer = grams(docs, range(2, max_n + 1), 2, frequent(pairs)).groupBy("lang", "phrase").agg(F.sum("f").alias("f")).filter(enough)
+        longer = stored(longer.select("lang", "phrase", F.size(F.split("phrase", " ")).alias("size"), "f"), "phrases")
+        out = out.unionByName(longer)
     return out, words
 
 
