@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..params import Params
+
 #: Lines that are numbers, page marks, table heads, short capitals, or a dated row of numbers.
 NUMERIC_ROW = r"^[\d\s\(\),\.\-]+$"
 PAGE_MARK = r"(?i)^\d+\s*\|\s*P\s*a\s*g\s*e$"
@@ -60,14 +62,26 @@ def focused(text: Column, score, least: int, top: int, cut: int) -> Column:
     return F.when(F.size(long) == 0, F.substring(F.when(clean != "", clean).otherwise(text), 1, cut)).otherwise(chosen)
 
 
+def prepared(text: Column, score, p: Params, strip_first: bool = True) -> Column:
+    """A passage as a model reads it: focused if it has more than p.focus_words words, else as it is.
+
+    With strip_first, table noise goes before the words are counted and from short passages too; without, a short passage
+    stays as it came.
+    """
+    own = strip_noise(text) if strip_first else text
+    return F.when(F.size(words(own)) > p.focus_words, focused(own, score, p.min_sentence, p.top_sentences, p.passage_cut)).otherwise(own)
+
+
 def shortened(text: Column, n: int) -> Column:
     """A text of more than n characters as its first n and three dots."""
     return F.when(F.length(text) > n, F.concat(F.substring(text, 1, n), F.lit("..."))).otherwise(text)
 
 
 def fixed(x: Column, places: int) -> Column:
-    """A number with so many decimal places, rounded half up."""
-    return F.round(x.cast("decimal(18,8)"), places).cast("string")
+    """A double with so many decimal places: its exact binary value is rounded, and a tie goes to the even digit."""
+    x = x.cast("double")
+    shown = F.call_function("format_number", x, F.lit("0." + "0" * places))
+    return F.when(F.isnan(x), "nan").when(x == float("inf"), "inf").when(x == float("-inf"), "-inf").otherwise(shown)
 
 
 def basename(path: Column) -> Column:

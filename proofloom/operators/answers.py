@@ -2,20 +2,100 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from ..functions import text as T
 from ..params import DEFAULT, Params
 from ..shared import stored
 from . import evidence as E
 from . import retrieval as Q
+from .library import Library
+
+#: What a claim takes from its source; empty where nothing supports it.
+SOURCE = ("publication_name", "edition_date", "section_id")
+
 
+def retrieved(library: Library, queries: DataFrame, vectors: DataFrame, k: int = DEFAULT.final_k, filters: dict[str, str] | None = None, p: Params = DEFAULT) -> DataFrame:
+    """Hybrid retrieval of queries (query_id, query, q): each one's k best chunks with their scores and rank; none if nothing is stored.
+
+    vectors: of the library's chunks, by chunk_id. Only chunks that match the filters are compared and ranked.
+    """
+    if not library.is_built:
+        return Q.fused(Q.dense_topk(queries.limit(0), vectors.limit(0), p.dense_k, p), library.topk(queries, p.sparse_k, filters, p), k, p)
+    own = vectors.join(library.chunks(filters).select("chunk_id"), "chunk_id", "left_semi") if filters else vectors
+    return Q.fused(Q.dense_topk(queries, own, p.dense_k, p), library.topk(queries, p.sparse_k, filters, p), k, p)
+
+
+def sources_of(found: DataFrame, keys: DataFrame, dedup: tuple[str, ...] = ("section_id",)) -> DataFrame:
+    """(answer_id, j, chunk_id) of found (query_id, chunk_id, rank): the first chunk of each section, in their order from 0.
+
+    keys: chunks' ids and what they are deduplicated by; no texts are needed.
+    """
+    first = Q.first_of(found.join(keys.select("chunk_id", *dedup), "chunk_id"), ["query_id", *dedup], "rank")
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("rank")) - 1
+    return first.select(F.col("query_id").alias("answer_id"), place.cast("long").alias("j"), "chunk_id")
 
-def retrieved(index: Q.Bm25, queries: DataFrame, vectors: DataFrame, k: int = DEFAULT.final_k, p: Params = DEFAULT) -> DataFrame:
-    """Hybrid retrieval of queries (query_id, query, q): each one's k best chunks with their scores and rank."""
-    dense = Q.dense_topk(queries, vectors, p.dense_k, p)
-    sparse = Q.top_k(Q.bm25_scores(index, queries, p), "bm25_score", p.sparse_k)
-    return Q.fused(dense, sparse, k, p)
+
+def support(sentences: DataFrame, sources: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(answer_id, i, j, score) of every sentence (answer_id, claim_idx, v) with every source (answer_id, j, chunk_id) of its answer."""
+    right = sources.join(vectors.select("chunk_id", F.col("embedding").alias("b")), "chunk_id").select("answer_id", "j", "b")
+    return E.similarity(sentences.select("answer_id", F.col("claim_idx").alias("i"), F.col("v").alias("a")), right)
+
+
+def zipped(base: DataFrame, *parts: DataFrame) -> DataFrame:
+    """Rows of base (answer_id, claim_idx, ...) with those of parts that have the same place in the same answer.
+
+    A part that is shorter than its answer's base leaves nulls; what it has beyond the base goes.
+    """
+    for part in parts:
+        base = base.join(part, ["answer_id", "claim_idx"], "left")
+    return base
+
+
+def cited_claims(sentences: DataFrame, sources: DataFrame, vectors: DataFrame, p: Params = DEFAULT) -> DataFrame:
+    """Sentences (answer_id, claim_idx, claim_text, v) as claims, with the source that supports each and how clearly.
+
+    chunk_id and confidence are those of the best source of at least p.min_attribution, else null and 0; the attribution's
+    score, gap and ambiguity are of the best two, whatever they are, and null for an answer without sources.
+    """
+    scores = stored(support(sentences, sources, vectors), "support")
+    best = E.attributed(scores, p).withColumnRenamed("i", "claim_idx")
+    gap = E.primary(scores, p).select("answer_id", F.col("i").alias("claim_idx"), "attribution_score", "confidence_gap", "ambiguous")
+    rows = zipped(sentences.select("answer_id", "claim_idx", "claim_text"), best, gap).join(sources, ["answer_id", "j"], "left").drop("j")
+    return rows.withColumn("confidence", F.coalesce("confidence", F.lit(0.0)))
+
+
+def judged_claims(claims: DataFrame, chunks: DataFrame, judge: Callable[[DataFrame], DataFrame], score: Callable[[Column, Column], Column], p: Params = DEFAULT) -> DataFrame:
+    """claims (answer_id, claim_idx, claim_text, chunk_id, ...) with their source's fields, focused passage and verdict.
+
+    judge adds contradiction, entailment_score and neutral to rows (answer_id, claim_idx, claim_text, focused_passage);
+    score(sentence, place) is a sentence's closeness to the claim. A passage's text joins its claims here, and once, and
+    leaves as the prepared passage; verdicts and passages meet their claims again by their places.
+    """
+    fields = [c for c in SOURCE if c in chunks.columns]
+    cited = claims.join(chunks.select("chunk_id", *fields, "chunk_text"), "chunk_id", "left")
+    passage = F.coalesce(T.prepared(F.col("chunk_text"), score, p), F.lit(""))
+    named = {c: F.coalesce(c, F.lit("")) for c in fields}
+    focused = stored(cited.select("answer_id", "claim_idx", "claim_text", passage.alias("focused_passage"), *(v.alias(f"source_{k}") for k, v in named.items())), "focused")
+    verdicts = judge(focused.select("answer_id", "claim_idx", "claim_text", "focused_passage")).select("answer_id", "claim_idx", "contradiction", "entailment_score", "neutral")
+    rows = zipped(claims, focused.drop("claim_text"), verdicts)
+    return rows.withColumn("verdict", E.verdict(F.col("contradiction"), F.col("entailment_score"), F.col("neutral")))
+
+
+def entailment(claims: DataFrame, chunks: DataFrame, judge: Callable[[DataFrame], DataFrame], score: Callable[[Column, Column], Column], p: Params = DEFAULT) -> DataFrame:
+    """(answer_id, claim_idx, place, chunk_id, contradiction, entailment_score, neutral) of each claim with each passage that its answer cites.
+
+    Passages are one where their texts are, and stand in the order in which claims first cite them; only long ones are
+    focused, and short ones stay as they came.
+    """
+    texts = claims.filter("chunk_id IS NOT NULL").join(chunks.select("chunk_id", F.col("chunk_text").alias("passage")), "chunk_id")
+    pairs = E.entailment_pairs(claims.select("answer_id", "claim_idx", "claim_text"), texts.select("answer_id", "claim_idx", "passage", "chunk_id"))
+    pairs = pairs.withColumn("focused_passage", T.prepared(F.col("passage"), score, p, strip_first=False)).drop("passage")
+    return judge(pairs).select("answer_id", "claim_idx", "place", "chunk_id", F.length("focused_passage").alias("passage_length"), "contradiction", "entailment_score", "neutral")
 
 
 def audited(queries: DataFrame, found: DataFrame, chunks: DataFrame, claims: DataFrame, related: DataFrame, p: Params = DEFAULT, dedup: tuple[str, ...] = ("section_id",)) -> DataFrame:
@@ -37,3 +117,21 @@ def audited(queries: DataFrame, found: DataFrame, chunks: DataFrame, claims: Dat
     none = {"n_sources": 0, "n_claims": 0}
     one = {"overall_score": 1.0, "shapley_score": 1.0, "faithfulness": 1.0, "cited_share": 1.0, "citation_precision": 0.0}
     return rows.fillna({**safe, **none, **one, "edition_conflict_risk": False, "context_relevance": 0.95, "paraphrase_stability": 0.90})
+
+
+#: A claim in a report, in this order.
+RECORD = ("claim_text", "source_publication_name", "source_edition_date", "source_section_id", "confidence", "focused_passage", "verdict", "entailment_score", "explanation")
+
+
+def answered(queries: DataFrame, sentences: DataFrame, found: DataFrame, chunks: DataFrame, vectors: DataFrame, related: DataFrame, judge: Callable[[DataFrame], DataFrame], score: Callable[[Column, Column], Column], p: Params = DEFAULT, dedup: tuple[str, ...] = ("section_id",)) -> DataFrame:
+    """The audited answers whose sentences (answer_id, claim_idx, claim_text, v) cite what was found for their questions.
+
+    Beside what `audited` gives, `claims` holds each answer's records in order. No edition conflicts are looked for.
+    """
+    found = stored(found.select("query_id", "chunk_id", "rank"), "found")
+    sources = stored(sources_of(found, chunks, dedup), "sources")
+    claims = judged_claims(stored(cited_claims(sentences, sources, vectors, p), "cited"), chunks, judge, score, p)
+    claims = claims.withColumns({"has_conflict": F.lit(False), "explanation": E.explanation(F.col("entailment_score"), F.col("contradiction"), F.col("neutral"))})
+    claims = stored(claims, "judged")
+    records = claims.groupBy(F.col("answer_id").alias("query_id")).agg(F.array_sort(F.collect_list(F.struct("claim_idx", *RECORD))).alias("claims"))
+    return audited(queries, found, chunks, claims, related, p, dedup).join(records, "query_id", "left")

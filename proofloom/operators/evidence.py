@@ -123,7 +123,7 @@ def edition_conflict(pairs: DataFrame, p: Params = DEFAULT) -> DataFrame:
     has = c > p.conflict
     return pairs.select(
         "publication", F.col("old.section_id").alias("section_id"), F.col("old.edition").alias("older_edition"), F.col("new.edition").alias("newer_edition"), has.alias("has_conflict"),
-        F.when(has, F.concat(F.lit("Contradiction Probability: "), T.fixed(100 * c.cast("decimal(18,8)"), 2), F.lit("%"))).otherwise("").alias("conflict_description"), F.when(has, F.col("new.edition")).otherwise("").alias("superseding_edition"),
+        F.when(has, F.concat(F.lit("Contradiction Probability: "), T.fixed(100 * c, 2), F.lit("%"))).otherwise("").alias("conflict_description"), F.when(has, F.col("new.edition")).otherwise("").alias("superseding_edition"),
         F.concat(F.lit("CrossEncoder probability of newer text contradicting older text: "), T.fixed(c, 4)).alias("details"),
     )
 

@@ -23,6 +23,7 @@ class Params:
     min_sentence: int = 20
     top_sentences: int = 3
     passage_cut: int = 800
+    focus_words: int = 60
     min_attribution: float = 0.45
     ambiguity_gap: float = 0.02
     weak_attribution: float = 0.65

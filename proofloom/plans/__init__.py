@@ -1,5 +1,5 @@
 """The queries over the test tables, and their SQL."""
 
-from . import catalogue, reports
+from . import answers, catalogue, reports
 
-__all__ = ["catalogue", "reports"]
+__all__ = ["answers", "catalogue", "reports"]

@@ -20,8 +20,9 @@ from ..operators import documents as D
 from ..operators import evidence as E
 from ..operators import reports as R
 from ..operators import retrieval as Q
+from ..operators.library import Library
 from ..params import DEFAULT
-from ..shared import spread
+from ..shared import new_folder, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -99,12 +100,28 @@ def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
+_libraries: dict[tuple[str, str], Library] = {}
+
+
+def library(spark: SparkSession, sf_dir: str) -> Library:
+    """The documents' chunks with their index, ingested when a session first asks for them, as a service does when it starts."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _libraries:
+        made = Library(spark, new_folder(spark, "library"), buckets=16)
+        made.ingest(chunked(spark, sf_dir))
+        _libraries[key] = made
+    return _libraries[key]
+
+
+def stored_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The library's chunks, with the document and the place that their ids hold."""
+    part = lambda i: F.regexp_extract("chunk_id", "_d([0-9]+)_chunk([0-9]+)$", i).cast("long")
+    return library(spark, sf_dir).chunks().select(part(1).alias("doc_id"), part(2).alias("chunk_idx"), "chunk_id", "publication_name", "edition_date", F.regexp_replace("section_id", "_d[0-9]+$", "").alias("section_id"), "chunk_text")
+
+
 def chunk_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunks without their texts: only how many a document has is counted."""
-    n = D.chunk_count(F.col("text"))
-    docs = spread(load(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").select("doc_id", n.alias("n")).filter("n > 0").selectExpr("doc_id", "explode(sequence(0, n - 1)) AS i", f"{META[0]} AS publication_name", f"{META[1]} AS edition_date", f"{META[2]} AS section_id")
-    idx = F.col("i").cast("long")
-    return docs.select("doc_id", idx.alias("chunk_idx"), "publication_name", "edition_date", "section_id", D.chunk_id(F.col("publication_name"), F.col("edition_date"), F.concat_ws("_", "section_id", F.concat(F.lit("d"), "doc_id")), idx).alias("chunk_id"))
+    """Chunks without their texts, which are not read."""
+    return stored_chunks(spark, sf_dir).drop("chunk_text")
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -172,21 +189,33 @@ def documents_with_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.documents_with_sections(registered, chunk_ids(spark, sf_dir)).select("id", "publication_name", "edition_date", "sections", "n_sections")
 
 
-@query("bm25_corpus_stats", f"WITH {BM25} SELECT term, nd, round(idf, 6) AS idf FROM i")
+@query(
+    "bm25_corpus_stats",
+    f"""WITH {CHUNKS}, t AS (SELECT chunk_id, list_distinct({TOKENS.replace("text", "chunk_text")}) AS t FROM c), d AS (SELECT term, count(*) AS nd FROM (SELECT unnest(t) AS term FROM t) GROUP BY term),
+    r AS (SELECT term, nd, ln((SELECT count(*) FROM c) - nd + 0.5::DOUBLE) - ln(nd + 0.5::DOUBLE) AS raw FROM d), m AS (SELECT avg(raw) AS mean FROM r) SELECT term, nd, round(CASE WHEN raw < 0 THEN 0.25::DOUBLE * mean ELSE raw END, 6) AS idf FROM r, m""",
+)
 def bm25_corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.bm25_index(chunked(spark, sf_dir)).terms.select("term", "nd", F.round("idf", 6).alias("idf"))
 
 
 @query("bm25_topk", f"WITH {BM25} SELECT query_id, chunk_id, bm25_score, row_number() OVER (PARTITION BY query_id ORDER BY bm25_score DESC, chunk_id) AS rank FROM b QUALIFY rank <= 20")
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Q.top_k(Q.bm25_scores(Q.bm25_index(chunked(spark, sf_dir)), asked(spark, sf_dir)), "bm25_score", DEFAULT.sparse_k)
+    return library(spark, sf_dir).topk(asked(spark, sf_dir), DEFAULT.sparse_k)
 
 
 @query("bm25_filtered_topk", f"WITH {BM25} SELECT query_id, chunk_id, bm25_score, row_number() OVER (PARTITION BY query_id ORDER BY bm25_score DESC, chunk_id) AS rank FROM b JOIN c USING (chunk_id) WHERE publication_name = 'MPR' AND edition_date = 'June 2024' QUALIFY rank <= 20")
 def bm25_filtered_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    meta = chunk_ids(spark, sf_dir).filter(Q.matching({"publication_name": "MPR", "edition_date": "June 2024"})).select("chunk_id")
-    scored = Q.bm25_scores(Q.bm25_index(chunked(spark, sf_dir)), asked(spark, sf_dir)).join(meta, "chunk_id", "left_semi")
-    return Q.top_k(scored, "bm25_score", DEFAULT.sparse_k).select("query_id", "chunk_id", "bm25_score", "rank")
+    return library(spark, sf_dir).topk(asked(spark, sf_dir), DEFAULT.sparse_k, {"publication_name": "MPR", "edition_date": "June 2024"})
+
+
+@query(
+    "bm25_exhaustive",
+    f"WITH {BM25} SELECT query_id, count(*) AS n_chunks, round(sum(bm25_score), 2) AS total FROM b GROUP BY query_id",
+)
+def bm25_exhaustive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every chunk's score for every question, summed: what the stored index leaves out is counted here."""
+    scores = Q.bm25_scores(Q.bm25_index(chunked(spark, sf_dir)), asked(spark, sf_dir))
+    return scores.groupBy("query_id").agg(F.count("*").alias("n_chunks"), F.round(F.sum("bm25_score"), 2).alias("total"))
 
 
 @query("dense_topk", f"WITH {CHUNKS}, {DENSE} SELECT query_id, chunk_id, dense_score, row_number() OVER (PARTITION BY query_id ORDER BY dense_score DESC, chunk_id) AS rank FROM ds QUALIFY rank <= 20")
@@ -218,7 +247,7 @@ def dedup_by_section(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("format_sources", FUSED + "SELECT query_id, md5(string_agg('[' || publication_name || '·' || edition_date || '·' || section_id || '] ' || chunk_text, chr(10) || chr(10) ORDER BY rank)) AS digest FROM g JOIN c USING (chunk_id) GROUP BY query_id")
 def format_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = hybrid(spark, sf_dir).join(chunked(spark, sf_dir), "chunk_id")
+    rows = hybrid(spark, sf_dir).join(stored_chunks(spark, sf_dir), "chunk_id")
     return Q.formatted(rows, "rank").select("query_id", F.md5("sources").alias("digest"))
 
 
@@ -336,8 +365,8 @@ def edition_section_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "edition_conflict_reports",
     f"WITH s AS ({SECTIONS}), j AS (SELECT o.publication, o.section_id, o.edition AS older_edition, n.edition AS newer_edition, {JUDGED} FROM s o JOIN s n USING (publication, section_id) WHERE o.edition_no < n.edition_no), k AS (SELECT *, round(a / (a + b + c), 6) AS p FROM j)"
-    " SELECT publication, section_id, older_edition, newer_edition, p > 0.70 AS has_conflict, CASE WHEN p > 0.70 THEN 'Contradiction Probability: ' || round(100 * p::DECIMAL(18, 8), 2)::DECIMAL(18, 2) || '%' ELSE '' END AS conflict_description, CASE WHEN p > 0.70 THEN newer_edition ELSE '' END AS superseding_edition,"
-    " 'CrossEncoder probability of newer text contradicting older text: ' || round(p::DECIMAL(18, 8), 4)::DECIMAL(18, 4) AS details FROM k",
+    " SELECT publication, section_id, older_edition, newer_edition, p > 0.70 AS has_conflict, CASE WHEN p > 0.70 THEN 'Contradiction Probability: ' || printf('%.2f', 100 * p) || '%' ELSE '' END AS conflict_description, CASE WHEN p > 0.70 THEN newer_edition ELSE '' END AS superseding_edition,"
+    " 'CrossEncoder probability of newer text contradicting older text: ' || printf('%.4f', p) AS details FROM k",
 )
 def edition_conflict_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.edition_conflict(judged(E.section_pairs(edition_sections(spark, sf_dir), same_section=True)))

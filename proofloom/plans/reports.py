@@ -14,11 +14,11 @@ from ..operators import reports as R
 from ..operators import retrieval as Q
 from ..params import DEFAULT
 from ..sources.files import uploads
-from .catalogue import CHUNKS, CLAIMS, DUCK_META, FUSED, LINES, META, NOISE, SIMILAR, asked, chunk_ids, chunked, claims, hybrid, load, paged, query, related_at, related_sql, similar, vectors
+from .catalogue import CHUNKS, CLAIMS, DUCK_META, FUSED, LINES, META, NOISE, SIMILAR, asked, bm25_topk, chunk_ids, claims, dense_topk, hybrid, library, load, paged, query, related_at, related_sql, similar, stored_chunks, vectors
 
 
 def fixed(x: str, n: int) -> str:
-    return f"round(({x})::DECIMAL(18, 8), {n})::DECIMAL(18, {n})"
+    return f"printf('%.{n}f', ({x})::DOUBLE)"
 
 
 def quoted(pattern: str, *values: str) -> str:
@@ -124,12 +124,12 @@ def top_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("retrieved_chunks", FUSED + "SELECT query_id, rank, publication_name, edition_date, section_id, md5(chunk_text) AS digest FROM g JOIN c USING (chunk_id)")
 def retrieved_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hybrid(spark, sf_dir).join(chunked(spark, sf_dir), "chunk_id").select("query_id", "rank", "publication_name", "edition_date", "section_id", F.md5("chunk_text").alias("digest"))
+    return hybrid(spark, sf_dir).join(stored_chunks(spark, sf_dir), "chunk_id").select("query_id", "rank", "publication_name", "edition_date", "section_id", F.md5("chunk_text").alias("digest"))
 
 
 @query("requirement_sources", FUSED + "SELECT query_id, md5(string_agg('[' || publication_name || ' | ' || edition_date || ' | Section ' || section_id || ']' || chr(10) || chunk_text || chr(10) || chr(10), '' ORDER BY rank)) AS digest FROM g JOIN c USING (chunk_id) WHERE rank <= 5 GROUP BY query_id")
 def requirement_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = hybrid(spark, sf_dir, DEFAULT.requirement_k).join(chunked(spark, sf_dir), "chunk_id")
+    rows = hybrid(spark, sf_dir, DEFAULT.requirement_k).join(stored_chunks(spark, sf_dir), "chunk_id")
     return Q.formatted(rows, "rank", wide=True).select("query_id", F.md5("sources").alias("digest"))
 
 
@@ -145,9 +145,8 @@ def requirement_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 def hybrid_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fusion where rows are one by publication, edition, section and the first 80 characters; sections are broad here, so that rows do meet."""
     key = ("publication_name", "edition_date", "section_id", "head")
-    heads = chunked(spark, sf_dir).select("chunk_id", "publication_name", "edition_date", F.substring("section_id", 1, 1).alias("section_id"), F.substring("chunk_text", 1, 80).alias("head"))
-    q, v = vectors(spark, sf_dir)
-    dense, sparse = Q.dense_topk(q, v, DEFAULT.dense_k), Q.top_k(Q.bm25_scores(Q.bm25_index(chunked(spark, sf_dir)), asked(spark, sf_dir)), "bm25_score", DEFAULT.sparse_k)
+    heads = stored_chunks(spark, sf_dir).select("chunk_id", "publication_name", "edition_date", F.substring("section_id", 1, 1).alias("section_id"), F.substring("chunk_text", 1, 80).alias("head"))
+    dense, sparse = dense_topk(spark, sf_dir), bm25_topk(spark, sf_dir)
     keyed = lambda rows: rows.join(heads, "chunk_id")
     return Q.fused(keyed(dense), keyed(sparse), DEFAULT.final_k, keys=key).drop(*key)
 
@@ -168,10 +167,10 @@ def hybrid_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
  FROM benchmark LEFT JOIN sx ON item_id = sx.query_id LEFT JOIN gate ON item_id = gate.answer_id LEFT JOIN reasons ON item_id = reasons.answer_id LEFT JOIN card ON item_id = card.answer_id LEFT JOIN sh ON item_id = sh.answer_id LEFT JOIN rq ON item_id = rq.query_id""",
 )
 def answer_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chunks = chunked(spark, sf_dir)
+    chunks = stored_chunks(spark, sf_dir)
     q, v = vectors(spark, sf_dir)
     queries = asked(spark, sf_dir).join(q, "query_id")
-    found = A.retrieved(Q.bm25_index(chunks), queries, v)
+    found = A.retrieved(library(spark, sf_dir), queries, v)
     related = related_at(spark, sf_dir, 0.3)
     out = A.audited(queries, found, chunks, claims(spark, sf_dir), related)
     return out.select("query_id", "n_sources", F.md5("sources").alias("digest"), "n_claims", "status", "overall_score", "shapley_score", "faithfulness", F.md5("reasoning").alias("reasoning"), "related")

@@ -203,7 +203,15 @@ def test_text_focus(spark):
     texts = ["A first sentence that is long. Short one. A second sentence that is much longer. A third sentence, the longest of all of them. A fourth sentence is long.", "617075\nno sentence", "12 34", None, ""]
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", T.focused(F.col("t"), score, 20, 3, 8).alias("x")).collect()
     assert {r.i: r.x for r in rows} == {0: "A first sentence that is long. A second sentence that is much longer. A third sentence, the longest of all of them.", 1: "no sente", 2: "12 34", 3: None, 4: ""}
-    assert spark.range(1).select(T.shortened(F.lit("abcdef"), 3), T.fixed(F.lit(0.345), 2), T.extension(F.lit("/x/A.b.PDF")), T.basename(F.lit("/x/A.b.PDF"))).first() == ("abc...", "0.35", "pdf", "A.b.PDF")
+    assert spark.range(1).select(T.shortened(F.lit("abcdef"), 3), T.fixed(F.lit(0.345), 2), T.extension(F.lit("/x/A.b.PDF")), T.basename(F.lit("/x/A.b.PDF"))).first() == ("abc...", "0.34", "pdf", "A.b.PDF")
+
+
+def test_numbers_are_rounded_like_python(spark):
+    rows = spark.range(1001).select((F.col("id") / 1000).alias("x")).select("x", *(T.fixed(F.col("x"), n).alias(f"f{n}") for n in (2, 3, 4))).collect()
+    assert all((r.f2, r.f3, r.f4) == (f"{r.x:.2f}", f"{r.x:.3f}", f"{r.x:.4f}") for r in rows)
+    odd = [0.125, 2.675, -0.001, 1234567.005, 1e15 + 0.5, float("nan"), float("inf"), float("-inf"), None]
+    got = [r.f for r in spark.createDataFrame([(i, x) for i, x in enumerate(odd)], "i int, x double").orderBy("i").select(T.fixed(F.col("x"), 2).alias("f")).collect()]
+    assert got == [None if x is None else f"{x:.2f}" for x in odd]
 
 
 def test_answers_without_sources_or_claims(spark):
