@@ -31,9 +31,9 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,6 +43,8 @@ from .hashing import shingles, word_hashes
 
 SHINGLE, PERCENT = 3, 90
 SKETCH_BITS, PIECE_BITS = 22, 16
+#: Parts in which a piece's counters are summed first.
+SHARES = 64
 BATCH_BYTES = 2_000_000
 #: Entries of a part of a list, and of a group of an open list; bytes of a sketch that travels with an entry.
 LONG, BLOCK, CELLS = 100_000, 8192, 128
@@ -62,22 +64,37 @@ def _counted(n: int, bits: int):
                 found = [x for x in _sets(batch, n) if len(x)]
                 if found:
                     np.add.at(total, (np.concatenate(found) >> np.uint64(64 - bits)).astype(np.int64), np.uint32(1))
+        part = TaskContext.get().partitionId() % SHARES
         for i, piece in enumerate(total.reshape(-1, 2 ** min(PIECE_BITS, bits))):
             if piece.any():
-                yield pa.RecordBatch.from_pydict({"piece": [i], "counts": [zlib.compress(piece.tobytes(), 1)]})
+                yield pa.RecordBatch.from_pydict({"piece": [i], "part": [part], "counts": [zlib.compress(piece.astype(np.uint64).tobytes(), 1)]})
 
     return run
 
 
-def _summed(group: pd.DataFrame) -> pd.DataFrame:
-    total = sum(np.frombuffer(zlib.decompress(x), np.uint32).astype(np.uint64) for x in group["counts"])
-    level = np.minimum(255, 4 * np.log2(1.0 + total)).astype(np.uint8)
-    return pd.DataFrame({"piece": [group["piece"].iloc[0]], "levels": [level.tobytes()]})
+def _total(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+    """The sum of counters that come one by one; only the sum is held."""
+    total = np.zeros(1, np.uint64)
+    for batch in batches:
+        for x in batch.column("counts"):
+            total = total + np.frombuffer(zlib.decompress(x.as_buffer()), np.uint64)
+    return total
+
+
+def _part_sums(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    yield pa.RecordBatch.from_pydict({"piece": [key[0].as_py()], "counts": [zlib.compress(_total(batches).tobytes(), 1)]})
+
+
+def _levels(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    level = np.minimum(255, 4 * np.log2(1.0 + _total(batches))).astype(np.uint8)
+    yield pa.RecordBatch.from_pydict({"piece": [key[0].as_py()], "levels": [level.tobytes()]})
 
 
 def frequency_levels(docs: DataFrame, n: int = SHINGLE, bits: int = SKETCH_BITS) -> np.ndarray:
     """A byte for each counter: four times the binary logarithm of how often its shingles occur, over all documents."""
-    pieces = docs.select("text").mapInArrow(_counted(n, bits), "piece long, counts binary").groupBy("piece").applyInPandas(_summed, "piece long, levels binary")
+    pieces = docs.select("text").mapInArrow(_counted(n, bits), "piece long, part long, counts binary")
+    # A piece's counters are summed in SHARES parts first, so no task gets those of all tasks before it.
+    pieces = pieces.groupBy("piece", "part").applyInArrow(_part_sums, "piece long, counts binary").groupBy("piece").applyInArrow(_levels, "piece long, levels binary")
     out = np.zeros((2 ** max(0, bits - PIECE_BITS), 2 ** min(PIECE_BITS, bits)), np.uint8)
     for r in pieces.collect():  # 2 ** bits bytes in all, whatever the corpus
         out[r.piece] = np.frombuffer(r.levels, np.uint8)

@@ -74,7 +74,7 @@ def find(text: str) -> list[tuple[int, int, str]]:
             run_end = _DIGITS.match(text, last).end()
             if last >= ip_end and (m := _IP.match(text, last)):
                 ip_end = m.end()
-                if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+                if all(len(p) <= 3 and int(p or "0") <= 255 for p in (x.lstrip("0") for x in m[0].split("."))):
                     out.append((last, ip_end, 1))
             if last >= card_end and (m := _CARD.match(text, last)):
                 card_end = m.end()
