@@ -3,7 +3,9 @@
 Words are runs of ASCII letters and digits (A-Z lower-cased) and of all characters beyond ASCII. Windows are ten
 consecutive words of a benchmark item; an item of fewer is one window. Every window of a text holds an anchor, a few
 words that begin at a multiple of a stride, so a text's anchors alone are looked up in the broadcast set of the items'
-n-grams; only around anchors that are found are whole windows compared, word for word, with the windows themselves.
+n-grams; only around anchors that are found are whole windows compared, word for word, with the windows themselves. Windows
+fall into CLASSES by their length, each with anchors and a stride of its own, so that one short item does not make every
+word of the others an anchor.
 Sets travel as hash sets within the plan while the benchmark has at most MAX_WINDOWS windows and MAX_BYTES of them
 (checked). Beyond that a text's anchors are looked up by 64-bit hashes, as a broadcast set if there are at most
 MAX_ANCHORS of them (checked), else by a join of those hashes; only where anchors are found are windows cut out and joined
@@ -24,7 +26,11 @@ from .common import stored, table
 #: What stands between words.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW, ANCHOR = 10, 3
+#: Least lengths of the windows of a class.
+CLASSES = (1, 2, 3, 4, 6, WINDOW)
 MAX_WINDOWS, MAX_BYTES = 50_000, 8_000_000
+#: Words that a text is searched for at once.
+FEW_WORDS = 1000
 #: Hashes of 8 bytes that may be broadcast.
 MAX_ANCHORS = 8_000_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -45,21 +51,29 @@ def _text_set(values: list[str]) -> str:
     return "(" + ", ".join(quoted) + ")"
 
 
+def _classes(sizes: list[int]) -> list[tuple[int, int, list[int]]]:
+    """(anchor's size, stride, lengths) of each class of window lengths that is there."""
+    own = [[n for n in sizes if a <= n < b] for a, b in zip(CLASSES, (*CLASSES[1:], WINDOW + 1), strict=True)]
+    return [(min(ANCHOR, x[0]), x[0] - min(ANCHOR, x[0]) + 1, x) for x in own if x]
+
+
 def _hits(docs: DataFrame, found: list) -> DataFrame:
     """Adds `hits`, the (s, n) of each window that occurs in the words `w`."""
-    sizes = sorted({r.n for r in found})
-    if not sizes:
-        return docs.withColumn("hits", F.expr("cast(array() as array<struct<s: int, n: int>>)"))
-    size = min(ANCHOR, sizes[0])
-    stride = sizes[0] - size + 1
-    grams = sorted({r.gram for r in found})
-    anchors = sorted({" ".join(x[i : i + size]) for x in (g.split(" ") for g in grams) for i in range(len(x) - size + 1)})
-    at = f"filter(sequence(0, greatest(size(w) - {size}, 0), {stride}), p -> p + {size} <= size(w) AND {_joined('p', size)} IN {_text_set(anchors)})"
-    around = ", ".join(
-        f"transform(filter(array_distinct(flatten(transform(anchors, p -> sequence(greatest(p - {n - size}, 0), p)))), s -> s + {n} <= size(w) AND array_join(slice(w, s + 1, {n}), ' ') IN {_text_set([r for r in grams if r.count(' ') + 1 == n])}), s -> named_struct('s', s, 'n', {n}))"
-        for n in sizes
-    )
-    return docs.withColumn("anchors", F.expr(at)).withColumn("hits", F.when(F.size("anchors") == 0, F.expr("cast(array() as array<struct<s: int, n: int>>)")).otherwise(F.expr(f"concat({around})")))
+    none = F.expr("cast(array() as array<struct<s: int, n: int>>)")
+    names = []
+    for i, (size, stride, sizes) in enumerate(_classes(sorted({r.n for r in found}))):
+        grams = sorted({r.gram for r in found if r.n in sizes})
+        anchors = sorted({" ".join(x[k : k + size]) for x in (g.split(" ") for g in grams) for k in range(len(x) - size + 1)})
+        at = f"filter(sequence(0, greatest(size(w) - {size}, 0), {stride}), p -> p + {size} <= size(w) AND {_joined('p', size)} IN {_text_set(anchors)})"
+        if size == 1 and len(anchors) <= FEW_WORDS:  # most texts have none of them, which is found faster
+            at = f"CASE WHEN arrays_overlap(w, array{_text_set(anchors)}) THEN {at} ELSE cast(array() as array<int>) END"
+        around = ", ".join(
+            f"transform(filter(array_distinct(flatten(transform(anchors{i}, p -> sequence(greatest(p - {n - size}, 0), p)))), s -> s + {n} <= size(w) AND array_join(slice(w, s + 1, {n}), ' ') IN {_text_set([r for r in grams if r.count(' ') + 1 == n])}), s -> named_struct('s', s, 'n', {n}))"
+            for n in sizes
+        )
+        docs = docs.withColumn(f"anchors{i}", F.expr(at)).withColumn(f"hits{i}", F.when(F.size(f"anchors{i}") == 0, none).otherwise(F.expr(f"concat({around})")))
+        names.append(i)
+    return docs.withColumn("hits", F.concat(*(F.col(f"hits{i}") for i in names)) if names else none).drop(*(f"{c}{i}" for i in names for c in ("anchors", "hits")))
 
 
 def _joined(p: str, n: int) -> str:
@@ -72,15 +86,16 @@ def _hits_by_join(docs: DataFrame, found: DataFrame, max_anchors: int) -> DataFr
     sizes = [r.n for r in found.select("n").distinct().orderBy("n").collect()]  # WINDOW numbers at most
     if not sizes:
         return docs.withColumn("hits", empty)
-    size = min(ANCHOR, sizes[0])
-    stride = sizes[0] - size + 1
     rows = stored(docs.withColumn("row", F.monotonically_increasing_id()), "rows")
-    anchors = found.select(F.split("gram", " ").alias("w")).select(F.explode(F.expr(f"transform(sequence(0, size(w) - {size}), p -> xxhash64({_joined('p', size)}))")).alias("anchor")).distinct()
-    anchors = stored(anchors, "anchors")
-    own = rows.filter(F.size("w") >= size).select("row", F.explode(F.expr(f"transform(sequence(0, size(w) - {size}, {stride}), p -> named_struct('p', p, 'anchor', xxhash64({_joined('p', size)})))")).alias("a")).select("row", "a.p", "a.anchor")
-    at = own.join(F.broadcast(anchors) if anchors.count() <= max_anchors else anchors, "anchor", "left_semi")
-    # A window that holds the anchor begins no further before it than the window is longer.
-    starts = at.select("row", "p", F.explode(F.array(*(F.lit(n) for n in sizes))).alias("n")).select("row", "n", F.explode(F.expr(f"sequence(greatest(p - (n - {size}), 0), p)")).alias("s")).distinct()
+    starts = None
+    for size, stride, own_sizes in _classes(sizes):
+        grams = found.filter(F.col("n").isin(own_sizes)).select(F.split("gram", " ").alias("w"))
+        anchors = stored(grams.select(F.explode(F.expr(f"transform(sequence(0, size(w) - {size}), p -> xxhash64({_joined('p', size)}))")).alias("anchor")).distinct(), "anchors")
+        own = rows.filter(F.size("w") >= size).select("row", F.explode(F.expr(f"transform(sequence(0, size(w) - {size}, {stride}), p -> named_struct('p', p, 'anchor', xxhash64({_joined('p', size)})))")).alias("a")).select("row", "a.p", "a.anchor")
+        at = own.join(F.broadcast(anchors) if anchors.count() <= max_anchors else anchors, "anchor", "left_semi")
+        # A window that holds the anchor begins no further before it than the window is longer.
+        each = at.select("row", "p", F.explode(F.array(*(F.lit(n) for n in own_sizes))).alias("n")).select("row", "n", F.explode(F.expr(f"sequence(greatest(p - (n - {size}), 0), p)")).alias("s")).distinct()
+        starts = each if starts is None else starts.unionByName(each)
     starts = starts.groupBy("row").agg(F.collect_list(F.struct("n", "s")).alias("starts"))  # of one text alone
     cut = rows.select("row", "w").join(starts, "row").select("row", F.explode(F.expr("transform(filter(starts, x -> x.s + x.n <= size(w)), x -> named_struct('n', x.n, 's', x.s, 'gram', array_join(slice(w, x.s + 1, x.n), ' ')))")).alias("x")).select("row", "x.*")
     hits = cut.join(found.select("n", "gram").distinct(), ["n", "gram"]).groupBy("row").agg(F.collect_list(F.struct("s", "n")).alias("hits"))

@@ -34,7 +34,7 @@ BATCH_BYTES = 500_000
 #: Stands for a space mark of the text itself until it becomes bytes; not a character, so no valid text holds it.
 _OWN_MARK = "\udcff"
 _loaded: dict[tuple, "Pieces"] = {}
-_U = np.uint64
+_U, _M = np.uint64, 2**64 - 1
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -43,6 +43,13 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> _U(33))
 
 
+def _mixed(h: int) -> int:
+    """mixed() of one number."""
+    h = (h ^ h >> 33) * 0xFF51AFD7ED558CCD & _M
+    h = (h ^ h >> 33) * 0xC4CEB9FE1A85EC53 & _M
+    return h ^ h >> 33
+
+
 def _code_points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
@@ -130,30 +137,46 @@ class Pieces:
         return out
 
     def by_heap(self, occurrence: int, unit: str) -> list[int]:
+        """The same by a heap; what each symbol and its right neighbour may become is kept, and replaced when either grows."""
         n = len(unit)
-        key = self._unit_keys(np.array([occurrence]), _code_points(unit), np.arange(n), np.array([0]))
-        ids, end, left, right = [self.ids.get(c, -1) for c in unit], list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
-        agenda: list[tuple[int, int, int, int, int]] = []
+        chars = _code_points(unit)
+        key = self._unit_keys(np.array([occurrence]), chars, np.arange(n), np.array([0]))
+        first = self.first[chars].astype(np.int64)
+        ids, end, left, right = first.tolist(), list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
+        a = np.flatnonzero((first[:-1] >= 0) & (first[1:] >= 0))
+        at = self._found(first[a] << 32 | first[a + 1])
+        a, at = a[at >= 0], at[at >= 0]
+        ok = ~self._skipped(key, a, a + 1, a + 2)
+        rank, merged = np.full(n, -1, np.int64), np.full(n, -1, np.int64)
+        rank[a[ok]], merged[a[ok]] = self.rank[at[ok]], self.merged[at[ok]]
+        agenda = (self.rank[at[ok]] << 32 | a[ok]).tolist()
+        heapq.heapify(agenda)
+        rank, merged, own = rank.tolist(), merged.tolist(), int(key[0])
+        pair, limit, push, pop = self.pair, self.limit, heapq.heappush, heapq.heappop
 
         def propose(a: int, b: int) -> None:
-            found = self.pair.get(ids[a] << 32 | ids[b]) if ids[a] >= 0 and ids[b] >= 0 else None
-            if found and not self._skipped(key, np.array([a]), np.array([b]), np.array([end[b]]))[0]:
-                heapq.heappush(agenda, (found[1], a, b, end[b], found[0]))
+            found = pair.get(ids[a] << 32 | ids[b]) if ids[a] >= 0 and ids[b] >= 0 else None
+            if found and _mixed(own ^ _mixed(a * 0x9E3779B97F4A7C15 + b * 0xC2B2AE3D27D4EB4F + end[b] * 0x165667B19E3779F9 & _M)) >= limit:
+                merged[a], rank[a] = found
+                push(agenda, found[1] << 32 | a)
+            else:
+                rank[a] = -1
 
-        for a in range(n - 1):
-            propose(a, a + 1)
-        alive = [True] * n
         while agenda:
-            _, a, b, e, merged = heapq.heappop(agenda)
-            if not (alive[a] and alive[b] and right[a] == b and end[b] == e and end[a] == b):
+            x = pop(agenda)
+            a = x & 0xFFFFFFFF
+            if rank[a] != x >> 32:  # it has grown, gone, or got another neighbour
                 continue
-            ids[a], end[a], right[a], alive[b] = merged, e, right[b], False
+            b = right[a]
+            ids[a], end[a], right[a], rank[b] = merged[a], end[b], right[b], -1
+            rank[a] = -1
             if right[a] < n:
                 left[right[a]] = a
                 propose(a, right[a])
+            ids[b] = -2
             if left[a] >= 0:
                 propose(left[a], a)
-        at = [i for i in range(n) if alive[i]]
+        at = [i for i in range(n) if ids[i] != -2]
         return self._out(unit, [ids[i] for i in at], at, [end[i] for i in at])
 
     def _rounds(self, chars: np.ndarray, sizes: np.ndarray, keys: np.ndarray | None, seen: list[np.ndarray] | None = None) -> tuple[np.ndarray, ...]:
