@@ -12,9 +12,12 @@ from ..functions import text as T
 from ..params import DEFAULT, Params
 from ..shared import stored
 from . import evidence as E
+from . import reports as R
 from . import retrieval as Q
 from .library import Library
 
+#: Fixed value: what a requirement's judge reads where nothing was found.
+NO_SECTIONS = "No relevant RBI sections found for this requirement."
 #: What a claim takes from its source; empty where nothing supports it.
 SOURCE = ("publication_name", "edition_date", "section_id")
 
@@ -135,3 +138,22 @@ def answered(queries: DataFrame, sentences: DataFrame, found: DataFrame, chunks:
     claims = stored(claims, "judged")
     records = claims.groupBy(F.col("answer_id").alias("query_id")).agg(F.array_sort(F.collect_list(F.struct("claim_idx", *RECORD))).alias("claims"))
     return audited(queries, found, chunks, claims, related, p, dedup).join(records, "query_id", "left")
+
+
+def validated(requirements: DataFrame, library: Library, vectors: DataFrame, judge: Callable[[DataFrame], DataFrame], p: Params = DEFAULT) -> DataFrame:
+    """A row for each requirement (id, text, q): what it maps to, its judgement, and its score.
+
+    The p.requirement_k best chunks of each, texts in order of rank, are its mapped_sections, and, with their heads, what
+    judge reads: it adds `raw`, a model's JSON answer or null, to rows (id, text, sources). The score counts the answer's
+    own violations. A requirement to which nothing maps is judged all the same.
+    """
+    asked = requirements.select(F.col("id").alias("query_id"), F.col("text").alias("query"), "q")
+    found = stored(retrieved(library, asked, vectors, p.requirement_k, p=p).select("query_id", "chunk_id", "rank"), "found")
+    texts = found.join(library.chunks().select("chunk_id", *SOURCE, "chunk_text"), "chunk_id")
+    sections = texts.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "chunk_text"))), lambda x: x["chunk_text"]).alias("mapped_sections"))
+    rows = asked.select("query_id", F.col("query").alias("text")).join(Q.formatted(texts, "rank", wide=True), "query_id", "left").join(sections, "query_id", "left").withColumnRenamed("query_id", "id")
+    rows = rows.withColumns({"sources": F.coalesce("sources", F.lit(NO_SECTIONS)), "mapped_sections": F.coalesce("mapped_sections", F.array().cast("array<string>"))})
+    rows = stored(rows, "requirements")
+    judged = R.mapped(judge(rows.select("id", "text", "sources")).select("id", "raw"))
+    judged = R.compliance_score(judged.withColumn("n_violations", F.size("violations").cast("long")))
+    return rows.drop("sources").join(judged, "id")

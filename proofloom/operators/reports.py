@@ -10,6 +10,8 @@ from .documents import appended
 
 #: What a requirement's judgement says where the model's answer cannot be used.
 FALLBACK_GAPS, FALLBACK_REMEDIATION = ["JSON parsing failed"], ["Retry analysis"]
+#: Fixed value: the same where there is no answer at all.
+UNANSWERED_GAPS = ["Unable to fully analyze requirement"]
 
 
 def log_list(logs: DataFrame) -> DataFrame:
@@ -17,8 +19,9 @@ def log_list(logs: DataFrame) -> DataFrame:
     v = F.try_parse_json("audit_data_json")
     good = v.isNotNull() & F.startswith(F.schema_of_variant(v), F.lit("OBJECT"))
     get = lambda path, default: F.when(good, F.coalesce(F.try_variant_get(v, f"$.final_audit_summary.{path}", "string"), F.lit(default))).otherwise("Error")
-    rows = logs.select("id", F.coalesce("timestamp", F.lit("")).alias("timestamp"), get("overall_trust_status", "Unknown").alias("status"), get("compliance_score_summary", "N/A").alias("summary"))
-    return rows.orderBy(F.desc("timestamp"), F.desc("id"))
+    # Sorted first and parsed after, so that finding the sort's ranges parses nothing.
+    rows = logs.select("id", F.coalesce("timestamp", F.lit("")).alias("timestamp"), "audit_data_json").orderBy(F.desc("timestamp"), F.desc("id"))
+    return rows.select("id", "timestamp", get("overall_trust_status", "Unknown").alias("status"), get("compliance_score_summary", "N/A").alias("summary"))
 
 
 def defaulted(logs: DataFrame) -> DataFrame:
@@ -55,18 +58,18 @@ def requirements(answers: DataFrame) -> DataFrame:
 
 
 def mapped(answers: DataFrame) -> DataFrame:
-    """A requirement's judgement (id, raw) with defaults; an answer that cannot be parsed has score 50 and Medium risk.
+    """A requirement's judgement (id, raw) with defaults; a missing answer and one that cannot be parsed have score 50 and Medium risk.
 
     Scores are 0 to 100, and `alignment` is the same from 0 to 1.
     """
     each = "alignment_score double, gaps array<string>, violations array<string>, risk_level string, overall_compliance_score double, remediation_suggestions array<string>, _corrupt string"
     parsed = F.from_json(T.strip_fence(F.col("raw")), each, {"columnNameOfCorruptRecord": "_corrupt"})
-    rows = answers.select("id", parsed.alias("p")).withColumn("ok", F.col("p").isNotNull() & F.col("p._corrupt").isNull())
+    rows = answers.select("id", "raw", parsed.alias("p")).withColumn("ok", F.col("p").isNotNull() & F.col("p._corrupt").isNull())
     none = F.array().cast("array<string>")
     texts = lambda *values: F.array(*(F.lit(x) for x in values)).cast("array<string>")
     get = lambda c, default, failed: F.when(F.col("ok"), F.coalesce(f"p.{c}", default)).otherwise(failed).alias(c)
     out = rows.select(
-        "id", get("alignment_score", F.lit(0.0), F.lit(50.0)), get("gaps", none, texts(*FALLBACK_GAPS)), get("violations", none, none), F.when(F.col("ok"), T.capitalised(F.coalesce("p.risk_level", F.lit("Medium")))).otherwise("Medium").alias("risk_level"),
+        "id", get("alignment_score", F.lit(0.0), F.lit(50.0)), get("gaps", none, F.when(F.col("raw").isNull(), texts(*UNANSWERED_GAPS)).otherwise(texts(*FALLBACK_GAPS))), get("violations", none, none), F.when(F.col("ok"), T.capitalised(F.coalesce("p.risk_level", F.lit("Medium")))).otherwise("Medium").alias("risk_level"),
         get("overall_compliance_score", F.lit(0.0), F.lit(50.0)), get("remediation_suggestions", none, texts(*FALLBACK_REMEDIATION)),
     )
     return out.withColumn("alignment", F.col("alignment_score") / 100)

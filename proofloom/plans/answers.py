@@ -140,3 +140,25 @@ def audited_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     shown = F.array_join(F.transform("claims", lambda x: F.concat_ws("|", x["claim_text"], x["source_section_id"], x["focused_passage"], x["verdict"], x["explanation"])), "\n")
     cited = F.size(F.filter("claims", lambda x: x["confidence"] > 0)).cast("long")
     return out.select("query_id", "n_sources", F.md5("sources").alias("sources"), "n_claims", cited.alias("n_cited"), "status", "overall_score", "shapley_score", "faithfulness", "cited_share", F.md5("reasoning").alias("reasoning"), "related", F.md5(shown).alias("claims"))
+
+
+_RAW = """CASE WHEN item_id % 7 = 0 THEN '{bad' WHEN item_id % 7 = 1 THEN NULL WHEN item_id % 7 = 2 THEN '{}' ELSE
+ '{"alignment_score": ' || length(sources) % 101 || ', "gaps": ["g"], "violations": [' || CASE item_id % 3 WHEN 0 THEN '' WHEN 1 THEN '"v"' ELSE '"v", "w"' END || '], "risk_level": "' || CASE item_id % 2 WHEN 0 THEN 'HIGH' ELSE 'low' END || '", "overall_compliance_score": 70}' END"""
+
+
+@query(
+    "validated_requirements",
+    FUSED
+    + """, rs AS (SELECT query_id AS item_id, count(*) AS n_sections, md5(string_agg(chunk_text, '|' ORDER BY rank)) AS sections, string_agg('[' || publication_name || ' | ' || edition_date || ' | Section ' || section_id || ']' || chr(10) || chunk_text || chr(10) || chr(10), '' ORDER BY rank) AS sources FROM g JOIN c USING (chunk_id) WHERE rank <= 5 GROUP BY query_id),
+ x AS (SELECT item_id AS id, n_sections, sections, item_id % 7 AS k, item_id % 3 AS v, (length(sources) % 101)::DOUBLE AS a FROM rs),
+ y AS (SELECT *, CASE WHEN k < 2 THEN 50 WHEN k = 2 THEN 0 ELSE a END::DOUBLE AS alignment_score, CASE WHEN k < 3 THEN 0 ELSE v END AS n_violations FROM x)
+ SELECT id, n_sections, sections, alignment_score, n_violations, CASE k WHEN 0 THEN 'JSON parsing failed' WHEN 1 THEN 'Unable to fully analyze requirement' WHEN 2 THEN '' ELSE 'g' END AS gaps, CASE WHEN k < 3 THEN 'Medium' WHEN id % 2 = 0 THEN 'High' ELSE 'Low' END AS risk_level,
+        CASE WHEN k < 2 THEN 50 WHEN k = 2 THEN 0 ELSE 70 END::DOUBLE AS overall_compliance_score, round(100 * (alignment_score / 100) * (1 - least(1.0::DOUBLE, 0.25::DOUBLE * n_violations)), 3) AS compliance_score FROM y""",
+)
+def validated_requirements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark's items as requirements; a stand-in for the model answers by their numbers and the length of what it reads."""
+    q, v = vectors(spark, sf_dir)
+    requirements = asked(spark, sf_dir).join(q, "query_id").select(F.col("query_id").alias("id"), F.col("query").alias("text"), "q")
+    raw = F.expr(_RAW.replace("item_id", "id"))
+    rows = A.validated(requirements, library(spark, sf_dir), v, lambda x: x.select("id", raw.alias("raw")))
+    return rows.select("id", F.size("mapped_sections").cast("long").alias("n_sections"), F.md5(F.array_join("mapped_sections", "|")).alias("sections"), "alignment_score", "n_violations", F.array_join("gaps", "; ").alias("gaps"), "risk_level", "overall_compliance_score", "compliance_score")
