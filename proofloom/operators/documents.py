@@ -30,18 +30,50 @@ def header(line: Column) -> Column:
     )
 
 
-def sections(pages: DataFrame) -> DataFrame:
+def prefix_sums(rows: DataFrame, key: str, order: str, value: Column, span: int, name: str) -> DataFrame:
+    """rows with `name`, the sum of value over the rows of the same key before them; order is a number without ties.
+
+    A key's rows are summed in ranges of span numbers, and only the ranges' sums along the key, so no task holds a key.
+    """
+    part = F.expr(f"{order} div {span}")
+    whole = rows.withColumns({"_value": value, "_part": part})
+    before = Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = whole.groupBy(key, "_part").agg(F.sum("_value").alias("_sum")).select(key, "_part", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_base"))
+    within = Window.partitionBy(key, "_part").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return whole.withColumn("_within", F.coalesce(F.sum("_value").over(within), F.lit(0))).join(bases, [key, "_part"]).withColumn(name, F.col("_base") + F.col("_within")).drop("_value", "_part", "_base", "_within")
+
+
+def _numbered_by_ranges(lines: DataFrame, span: int) -> DataFrame:
+    """lines (doc_id, page_number, pos, x, head) with n, bare, page and some, as sections() has them, without a task a document.
+
+    Pages fall into ranges of span; a range's headers, pages and whether it has any text are carried on to later ranges.
+    """
+    lines = lines.withColumn("_part", F.expr(f"page_number div {span}"))
+    each = lines.groupBy("doc_id", "_part").agg(F.count("head").alias("h"), F.count_distinct("page_number").alias("p"), F.max(F.col("x") != "").alias("s"))
+    whole = Window.partitionBy("doc_id")
+    before = whole.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = each.select("doc_id", "_part", F.coalesce(F.sum("h").over(before), F.lit(0)).alias("_h"), F.coalesce(F.sum("p").over(before), F.lit(0)).alias("_p"), (F.sum("h").over(whole) == 0).alias("bare"), F.max("s").over(whole).alias("some"))
+    own = Window.partitionBy("doc_id", "_part")
+    lines = lines.withColumns({"_n": F.count("head").over(own.orderBy("page_number", "pos")), "_page": F.dense_rank().over(own.orderBy("page_number")).cast("long")}).join(carried, ["doc_id", "_part"])
+    return lines.withColumns({"n": F.col("_n") + F.col("_h"), "page": F.col("_page") + F.col("_p")}).drop("_n", "_h", "_page", "_p", "_part")
+
+
+def sections(pages: DataFrame, span: int | None = None) -> DataFrame:
     """Sections of pages (doc_id, page_number, text): each runs from its header to the next, over page breaks.
 
-    Lines before the first header are dropped; a document without headers has a section a page.
+    Lines before the first header are dropped; a document without headers has a section a page. Each document is one task's
+    unless span says how many pages are, which documents of very many pages need.
     """
     full = pages.filter(F.col("text") != "")
     lines = full.select("doc_id", "page_number", F.posexplode(F.split("text", "\n")).alias("pos", "line")).withColumn("x", T.strip(F.col("line")))
     lines = lines.withColumn("head", header(F.col("x")))
-    whole = Window.partitionBy("doc_id")
-    order = whole.orderBy("page_number", "pos")
-    # Without any header a page is a section, so a document's last count tells which of two numbers its lines go by.
-    lines = lines.withColumns({"n": F.count("head").over(order), "bare": F.count("head").over(whole) == 0, "page": F.dense_rank().over(whole.orderBy("page_number")).cast("long"), "some": F.max(F.col("x") != "").over(whole)})
+    if span is None:
+        whole = Window.partitionBy("doc_id")
+        order = whole.orderBy("page_number", "pos")
+        # Without any header a page is a section, so a document's last count tells which of two numbers its lines go by.
+        lines = lines.withColumns({"n": F.count("head").over(order), "bare": F.count("head").over(whole) == 0, "page": F.dense_rank().over(whole.orderBy("page_number")).cast("long"), "some": F.max(F.col("x") != "").over(whole)})
+    else:
+        lines = _numbered_by_ranges(lines, span)
     lines = lines.filter("some AND (bare OR n > 0)").withColumn("section_ord", F.when(F.col("bare"), F.col("page")).otherwise(F.col("n")))
     kept = F.when(F.col("bare"), F.col("line")).when(F.col("head").isNull() & (F.col("x") != ""), F.col("x"))
     body = F.array_sort(F.collect_list(F.when(kept.isNotNull(), F.struct("page_number", "pos", kept.alias("line")))))
@@ -64,18 +96,20 @@ def windows(text: Column, size: int, overlap: int) -> Column:
     return F.element_at(F.transform(F.array(T.words(text)), cut), 1)
 
 
-def chunks(sections: DataFrame, size: int = DEFAULT.chunk_words, overlap: int = DEFAULT.chunk_overlap) -> DataFrame:
+def chunks(sections: DataFrame, size: int = DEFAULT.chunk_words, overlap: int = DEFAULT.chunk_overlap, span: int | None = None) -> DataFrame:
     """A row a chunk; chunk_idx counts through the whole document. Expects doc_id, text and section_ord.
 
-    Only the sections' numbers of chunks are summed along a document, before chunks are cut; without section_ord each row
-    is a whole document, and nothing moves.
+    Only the sections' numbers of chunks are summed along a document, before chunks are cut, or, with span, along ranges of
+    so many sections; without section_ord each row is a whole document, and nothing moves.
     """
     cut = sections.withColumn("_cut", windows(F.col("text"), size, overlap)).drop("text")
-    if "section_ord" in sections.columns:
+    if "section_ord" not in sections.columns:
+        cut = cut.withColumn("_first", F.lit(0))
+    elif span is None:
         before = Window.partitionBy("doc_id").orderBy("section_ord").rowsBetween(Window.unboundedPreceding, -1)
         cut = cut.withColumn("_first", F.coalesce(F.sum(F.size("_cut")).over(before), F.lit(0)))
     else:
-        cut = cut.withColumn("_first", F.lit(0))
+        cut = prefix_sums(cut, "doc_id", "section_ord", F.size("_cut"), span, "_first")
     names = [c for c in cut.columns if c not in ("_cut", "_first")]
     rows = cut.select(*names, "_first", F.posexplode("_cut").alias("_start", "chunk_text"))
     return rows.select(*names, "chunk_text", (F.col("_first") + F.col("_start")).cast("long").alias("chunk_idx"))
@@ -105,10 +139,10 @@ def list_sections(chunks: DataFrame, publication: str | None = None, edition: st
     return found.withColumn("place", F.row_number().over(edition_order).cast("long")).orderBy("publication_name", "edition_date", "section_id")
 
 
-def ingested(pages: DataFrame, size: int = DEFAULT.chunk_words, overlap: int = DEFAULT.chunk_overlap) -> DataFrame:
-    """Pages (doc_id, publication_name, edition_date, page_number, text) to chunks with their ids, in one move by document."""
+def ingested(pages: DataFrame, size: int = DEFAULT.chunk_words, overlap: int = DEFAULT.chunk_overlap, span: int | None = None) -> DataFrame:
+    """Pages (doc_id, publication_name, edition_date, page_number, text) to chunks with their ids, in one move by document or, with span, by ranges of pages."""
     names = pages.groupBy("doc_id").agg(F.first("publication_name").alias("publication_name"), F.first("edition_date").alias("edition_date"))
-    rows = chunks(sections(pages), size, overlap).withColumnRenamed("start_page", "page_number").join(names, "doc_id")
+    rows = chunks(sections(pages, span), size, overlap, span).withColumnRenamed("start_page", "page_number").join(names, "doc_id")
     return rows.withColumn("chunk_id", chunk_id(F.col("publication_name"), F.col("edition_date"), F.col("section_id"), F.col("chunk_idx")))
 
 

@@ -261,3 +261,16 @@ def related(queries: DataFrame, history: DataFrame, p: Params = DEFAULT) -> Data
 def vector(json: Column) -> Column:
     """An embedding from its JSON text; what is no array of numbers is null."""
     return F.from_json(json, "array<double>")
+
+
+def cache_rows(conflicts: DataFrame, at: Column) -> DataFrame:
+    """Rows of the conflict cache from conflicts (publication, section_id, edition_a, edition_b, cosine_sim, has_conflict), found at a time.
+
+    The newer edition, edition_b, is the authoritative one.
+    """
+    return conflicts.select("publication", "section_id", "edition_a", "edition_b", "cosine_sim", "has_conflict", F.col("edition_b").alias("authoritative"), at.alias("cached_at"))
+
+
+def now() -> Column:
+    """The time of the query, as text that sorts by time."""
+    return F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")

@@ -13,8 +13,12 @@ from ..operators import evidence as E
 from ..operators import reports as R
 from ..operators import retrieval as Q
 from ..params import DEFAULT
+from ..shared import new_folder, stored
+from ..sources.buckets import Bucketed
 from ..sources.files import uploads
-from .catalogue import CHUNKS, CLAIMS, DUCK_META, FUSED, LINES, META, NOISE, SIMILAR, asked, bm25_topk, chunk_ids, claims, dense_topk, hybrid, library, load, paged, query, related_at, related_sql, similar, stored_chunks, vectors
+from ..sources.tables import SCHEMAS
+from .catalogue import edition_sections as sections_of_editions
+from .catalogue import CHUNKS, CLAIMS, COSINE, DUCK_META, FUSED, LINES, META, NOISE, SECTIONS, SIMILAR, asked, bm25_topk, chunk_ids, claims, dense_topk, hybrid, library, load, paged, query, related_at, related_sql, similar, stored_chunks, vectors
 
 
 def fixed(x: str, n: int) -> str:
@@ -200,6 +204,20 @@ def ingest_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.ingest_counts(ingested(spark, sf_dir))
 
 
+#: Pages of a line each, of which four documents' worth make one, so that ranges of pages cut its sections.
+_LONG = f"""t AS (SELECT doc_id, {LINES} AS text FROM documents WHERE text <> ''), l AS (SELECT doc_id // 200 AS book, unnest(string_split(text, chr(10))) AS line, doc_id % 200 * 4000 + generate_subscripts(string_split(text, chr(10)), 1) AS page_number FROM t),
+    k AS (SELECT book, page_number, trim(line, E' \\t\\n\\r') AS x, regexp_matches(trim(line, E' \\t\\n\\r'), '^\\d+\\.\\d+ Topic Number$') AS head FROM l),
+    o AS (SELECT *, count(*) FILTER (head) OVER (PARTITION BY book ORDER BY page_number) AS section_ord FROM k)"""
+
+
+@query("long_document_sections", f"WITH {_LONG} SELECT book, section_ord, regexp_extract(max(x) FILTER (head), '^(\\S+)', 1) AS section_id, min(page_number) AS start_page, md5(coalesce(string_agg(x, chr(10) ORDER BY page_number) FILTER (NOT head AND x <> ''), '')) AS digest FROM o WHERE section_ord > 0 GROUP BY book, section_ord")
+def long_document_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two hundred documents are one of very many pages, a line each; its pages are ranges of a thousand."""
+    lines = paged(spark, sf_dir).filter("text <> ''").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "text"))
+    pages = lines.select(F.expr("doc_id div 200").alias("doc_id"), (F.col("doc_id") % 200 * 4000 + F.col("i") + 1).alias("page_number"), "text")
+    return D.sections(pages, span=1000).select(F.col("doc_id").alias("book"), "section_ord", "section_id", "start_page", F.md5("text").alias("digest"))
+
+
 FILES = "SELECT doc_id, 'f' || doc_id || '.pdf' AS filename, '2024-03-' || lpad((doc_id % 28 + 1)::VARCHAR, 2, '0') AS ingested_at FROM documents"
 REGISTERED = f"""r AS (SELECT item_id + 1 AS id, 'old' || item_id AS filename, 'MPR' AS publication_name, 'June 2024' AS edition_date, 3 AS chunk_count, '2024-02-' || lpad((item_id % 28 + 1)::VARCHAR, 2, '0') AS ingested_at FROM benchmark),
     m AS (SELECT doc_id, any_value(publication_name) AS publication_name, any_value(edition_date) AS edition_date, count(*) AS chunk_count FROM c GROUP BY doc_id), f AS ({FILES}),
@@ -245,12 +263,12 @@ _NEW_LOGS = "SELECT '2030-01-' || lpad((item_id % 28 + 1)::VARCHAR, 2, '0') AS t
 
 @query(
     "audit_append",
-    f"WITH o AS (SELECT event_id AS id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS timestamp, event_type AS query, 'Safe' AS status, NULL AS audit_data_json FROM events), n AS ({_NEW_LOGS}) SELECT * FROM o UNION ALL SELECT (SELECT max(id) FROM o) + row_number() OVER (ORDER BY timestamp, query), timestamp, query, status, json_object('query', query, 'status', status)::VARCHAR FROM n",
+    f"WITH o AS (SELECT event_id AS id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS timestamp, event_type AS query, 'Safe' AS status, NULL AS response_json, NULL AS audit_data_json FROM events), n AS ({_NEW_LOGS}) SELECT * FROM o UNION ALL SELECT (SELECT max(id) FROM o) + row_number() OVER (ORDER BY timestamp, query), timestamp, query, status, 'said ' || query, json_object('query', query, 'status', status)::VARCHAR FROM n",
 )
 def audit_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     old = load(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("timestamp"), F.col("event_type").alias("query"), F.lit(None).cast("string").alias("response_json"), F.lit("Safe").alias("status"), F.lit(None).cast("string").alias("audit_data_json"))
     new = load(spark, sf_dir, "benchmark").selectExpr("concat('2030-01-', lpad(item_id % 28 + 1, 2, '0')) AS timestamp", "concat('q', item_id) AS query", "if(item_id % 3 = 0, '', 'Safe') AS status")
-    return R.appended_logs(old, new.withColumn("audit_data_json", R.as_report(["query", "status"]))).drop("response_json")
+    return R.appended_logs(old, new.withColumns({"audit_data_json": R.as_report(["query", "status"]), "response_json": F.concat(F.lit("said "), "query")}))
 
 
 @query("audit_log_defaults", "SELECT event_id AS id, CASE WHEN event_id % 4 = 0 THEN '' ELSE 't' || event_id END AS timestamp, CASE WHEN event_id % 3 < 2 THEN 'unknown' ELSE event_type END AS status FROM events")
@@ -294,3 +312,37 @@ def json_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 def unit_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = load(spark, sf_dir, "embeddings").select("vec_id", unit(F.col("embedding")).alias("u"))
     return e.select("vec_id", F.round(F.element_at("u", 1), 6).alias("first"), F.round(F.element_at("u", -1), 6).alias("last"))
+
+
+_CACHED = f"""s AS ({SECTIONS}), p AS (SELECT o.publication, o.section_id, o.edition AS edition_a, n.edition AS edition_b, {COSINE.format('o.embedding', 'n.embedding', 6)} AS cosine_sim FROM s o JOIN s n USING (publication, section_id) WHERE o.edition_no < n.edition_no),
+ r AS (SELECT *, cosine_sim < 0.75 AS has_conflict, row_number() OVER (ORDER BY publication, section_id) AS i, count(*) OVER () AS n FROM p)"""
+
+
+@query(
+    "conflict_cache_append",
+    f"WITH {_CACHED} SELECT i AS id, publication, section_id, edition_a, edition_b, cosine_sim, has_conflict, edition_b AS authoritative, '2024-01-01T00:00:00' AS cached_at FROM r UNION ALL SELECT n + row_number() OVER (ORDER BY publication, section_id), publication, section_id, edition_a, edition_b, cosine_sim, has_conflict, edition_b, '2024-02-01T00:00:00' FROM r WHERE has_conflict",
+)
+def conflict_cache_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of editions go into an empty cache, and those in conflict once more; the cache is a stored table of buckets."""
+    pairs = E.section_pairs(sections_of_editions(spark, sf_dir), same_section=True)
+    s, has, _, _ = E.cosine_conflict(F.col("old.embedding"), F.col("new.embedding"))
+    found = stored(pairs.select("publication", F.col("old.section_id").alias("section_id"), F.col("old.edition").alias("edition_a"), F.col("new.edition").alias("edition_b"), s.alias("cosine_sim"), has.alias("has_conflict")), "conflicts")
+    cache = Bucketed(spark, new_folder(spark, "cache"), SCHEMAS["edition_conflict_cache"], "id", 8)
+    order = [F.col("publication"), F.col("section_id")]
+    cache.append(E.cache_rows(found, F.lit("2024-01-01T00:00:00")), order)
+    cache.append(E.cache_rows(found.filter("has_conflict"), F.lit("2024-02-01T00:00:00")), order)
+    return cache.read()
+
+
+@query("bucketed_upserts", "SELECT event_id, CASE WHEN event_id % 50 = 0 THEN 'new' ELSE event_type END AS event_type, CASE WHEN event_id % 500 = 0 THEN -1 WHEN event_id % 50 = 0 THEN 2 ELSE 1 END AS version FROM events UNION ALL SELECT -1 - item_id, 'added', 2 FROM benchmark")
+def bucketed_upserts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as a stored table that two upserts, the second of which comes twice, and an update change."""
+    table = Bucketed(spark, new_folder(spark, "events"), "event_id long, event_type string, version int", "event_id", 16)
+    events = load(spark, sf_dir, "events").select("event_id", "event_type", F.lit(1).alias("version"))
+    table.upsert(events, "version")
+    more = events.filter("event_id % 50 = 0").select("event_id", F.lit("new").alias("event_type"), F.lit(2).alias("version"))
+    more = more.unionByName(load(spark, sf_dir, "benchmark").select((-1 - F.col("item_id")).alias("event_id"), F.lit("added").alias("event_type"), F.lit(2).alias("version")))
+    for _ in range(2):
+        table.upsert(more.unionByName(more.withColumns({"event_type": F.lit("older"), "version": F.lit(0)})), "version")
+    table.update(events.filter("event_id % 500 = 0").select("event_id", F.lit(-1).alias("version")), "version")
+    return table.read()

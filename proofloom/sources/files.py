@@ -49,6 +49,9 @@ def sample(spark: SparkSession) -> DataFrame:
 
 
 def write_reports(logs: DataFrame, path: str, log_id: int | None = None) -> None:
-    """The reports (id, audit_data_json) as JSON lines, a folder an id; one id alone where it is given."""
-    rows = logs if log_id is None else logs.filter(F.col("id") == log_id)
-    rows.filter("audit_data_json IS NOT NULL").select("id", F.col("audit_data_json").alias("value")).write.partitionBy("id").text(path)
+    """The reports (id, audit_data_json): of one id, its JSON in a folder of its name; of all, JSON lines with id and report."""
+    rows = logs.filter("audit_data_json IS NOT NULL")
+    if log_id is None:
+        rows.select(F.to_json(F.struct("id", F.try_parse_json("audit_data_json").alias("report"))).alias("value")).write.text(path)
+    else:
+        rows.filter(F.col("id") == log_id).select("id", F.col("audit_data_json").alias("value")).coalesce(1).write.partitionBy("id").text(path)
