@@ -1,10 +1,11 @@
 """Operator 3: secret scans by grammar inference.
 
 Base patterns find assigned values, access ids and long hexadecimal runs, as the contract states them. What they find in
-all documents are labelled credentials, of whose distinct strings a bounded sample by hash is kept; ordinary words of all
-documents are the background. For each kind with any labelled string, the prefix tree of its strings, over character
-classes, is reduced by merging states whose outgoing frequencies agree within the Hoeffding bound (ALERGIA), in red-blue
-order; how long its strings are is counted beside it.
+all documents are labelled credentials, of whose distinct strings a bounded sample by hash is kept, whole. All other words
+of all documents, numbers, dates and identifiers too, are the background. For each kind with any labelled string, the
+prefix tree of its strings, over character classes, is reduced by merging states whose outgoing frequencies agree within
+the Hoeffding bound (ALERGIA), in red-blue order; how long its strings are is counted beside it, long ones in bins whose
+width grows with the length.
 
 All candidates are then scored whole: the value of every base span, and every token of LEAST or more characters, or what
 base spans leave over of it. A score is the best automaton's log-likelihood a character, less that under the background's
@@ -38,8 +39,11 @@ from .common import slices, stored, table
 
 BASE = ("assign", "access", "hex")
 KINDS = (*BASE, "format")
-#: Bounds of the training sample: strings of a kind, and characters of a string.
-SAMPLE_STRINGS, SAMPLE_LENGTH = 300, 96
+#: Bounds of the training sample: strings of a kind, and their characters; the string that passes the latter is the last.
+SAMPLE_STRINGS, SAMPLE_CHARS = 300, 200_000
+#: Lengths below are bins of their own; above, a bin is an eighth of an octave.
+EXACT, BINS = 64, 128
+LEAST_WORD = 8  # characters of a word that is background
 BATCH_BYTES = 2_000_000
 LEAST = 20  # characters of a token that is scored
 ALPHA, MARGIN, PRIOR = 0.05, 0.5, 0.1
@@ -73,6 +77,14 @@ def value_bounds(text: str, start: int, end: int, kind: str) -> tuple[int, int]:
     return _ASSIGN.match(text, start, end).span(2) if kind == "assign" else (start, end)
 
 
+def length_bin(n: int) -> tuple[int, float]:
+    """The bin of a length, and about how many lengths are in it."""
+    if n < EXACT:
+        return n, 1.0
+    eighth = int(8 * math.log2(n / EXACT))
+    return EXACT + eighth, EXACT * (2 ** ((eighth + 1) / 8) - 2 ** (eighth / 8))
+
+
 class Automaton:
     """A probabilistic finite automaton over character classes, with the counts it was inferred from."""
 
@@ -89,7 +101,7 @@ class Automaton:
                     self.count.append(Counter())
                 at = self.next[at][c]
             self.count[at][END] += 1
-        self.lengths = Counter(min(len(s), SAMPLE_LENGTH) for s in strings)
+        self.lengths = Counter(length_bin(len(s))[0] for s in strings)
         self.bound = math.sqrt(0.5 * math.log(2 / alpha))
         self._infer()
 
@@ -145,7 +157,8 @@ class Automaton:
 
     def score(self, classes: str) -> float:
         """Mean log-likelihood of a string of classes and of its length; where a class leads nowhere, the start goes on."""
-        at, total = 0, math.log((self.lengths[min(len(classes), SAMPLE_LENGTH)] + PRIOR) / (sum(self.lengths.values()) + PRIOR * SAMPLE_LENGTH))
+        own, width = length_bin(len(classes))
+        at, total = 0, math.log((self.lengths[own] + PRIOR) / (sum(self.lengths.values()) + PRIOR * BINS) / width)
         for c in classes:
             total += self.log[at].get(c, self.rest[at])
             at = self.next[at].get(c, 0)
@@ -172,29 +185,32 @@ class Formats:
 
 
 @functools.cache
-def _tables() -> tuple[np.ndarray, np.ndarray]:
-    """The place in PAIR_SYMBOLS of each character, white space as the end, and whether it is a digit."""
+def _symbols() -> np.ndarray:
+    """The place in PAIR_SYMBOLS of each character, white space as the end."""
     symbol = np.full(0x110000, PAIR_SYMBOLS.index(OTHER), np.uint8)
     for c in map(chr, range(128)):
         if (known := c.translate(_CLASSES)) in PAIR_SYMBOLS[2:]:
             symbol[ord(c)] = PAIR_SYMBOLS.index(known)
-    digit = np.zeros(0x110000, bool)
-    for c in range(0x110000):
-        if chr(c).isspace():
-            symbol[c] = 0
-        digit[c] = chr(c).isdigit()
-    return symbol, digit
-
-
-def background(texts: list[str | None]) -> np.ndarray:
-    """How often each pair of PAIR_SYMBOLS occurs in the words of 8 or more characters without a digit, with their ends."""
-    symbol, digit = _tables()
-    chars = np.frombuffer(" ".join(["", *(t or "" for t in texts), ""]).encode("utf-32-le"), np.uint32)
-    kinds = symbol[chars].astype(np.int64)
+    symbol[[c for c in range(0x110000) if chr(c).isspace()]] = 0
+    return symbol
+
+
+def unlabelled(text: str, spans: list[tuple[int, int, str]]) -> str:
+    """The text with a space in place of each base span; spans are by start."""
+    out, at = [], 0
+    for a, b, _ in spans:
+        out.append(text[at : max(a, at)])
+        at = max(at, b)
+    return " ".join([*out, text[at:]])
+
+
+def background(texts: list[str]) -> np.ndarray:
+    """How often each pair of PAIR_SYMBOLS occurs in the words of LEAST_WORD or more characters, with their ends."""
+    chars = np.frombuffer(" ".join(["", *texts, ""]).encode("utf-32-le"), np.uint32)
+    kinds = _symbols()[chars].astype(np.int64)
     edges = np.flatnonzero(np.diff(kinds == 0)) + 1  # white space comes first and last, so these are starts and ends in turn
     starts, ends = edges[::2], edges[1::2]
-    digits = np.concatenate([[0], np.cumsum(digit[chars])])
-    kept = (ends - starts >= 8) & (digits[ends] == digits[starts])
+    kept = ends - starts >= LEAST_WORD
     inside = np.zeros(len(chars) + 1, np.int64)
     inside[starts[kept]] += 1
     inside[ends[kept] + 1] -= 1
@@ -202,22 +218,32 @@ def background(texts: list[str | None]) -> np.ndarray:
     return np.bincount(kinds[at - 1] * len(PAIR_SYMBOLS) + kinds[at], minlength=len(PAIR_SYMBOLS) ** 2)
 
 
+def _sampled(strings: set[tuple[int, str]]) -> list[tuple[int, str]]:
+    """Those of least hash within the sample's bounds."""
+    out, chars = [], 0
+    for h, value in heapq.nsmallest(SAMPLE_STRINGS, strings):
+        if chars >= SAMPLE_CHARS:
+            break
+        out.append((h, value))
+        chars += len(value)
+    return out
+
+
 def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A task's pair counts, and of its distinct labelled strings of each kind the SAMPLE_STRINGS of least hash."""
+    """A task's pair counts, and its distinct labelled strings of each kind that may be in the sample."""
     pairs = np.zeros(len(PAIR_SYMBOLS) ** 2, np.int64)
     strings: dict[str, set[tuple[int, str]]] = {k: set() for k in BASE}
     for whole in batches:
         for batch in slices(whole, "text", BATCH_BYTES):
-            texts = batch.column("text").to_pylist()
-            pairs += background(texts)
-            for text in texts:
-                for a, b, kind in base_spans(text or ""):
+            rest = []
+            for text in batch.column("text").to_pylist():
+                spans = base_spans(text or "")
+                for a, b, kind in spans:
                     x, y = value_bounds(text, a, b, kind)
-                    value = text[x : min(y, x + SAMPLE_LENGTH)]
-                    strings[kind].add((xxhash.xxh64_intdigest(value.encode()) >> 1, value))
-            for kind, own in strings.items():
-                if len(own) > SAMPLE_STRINGS:
-                    strings[kind] = set(heapq.nsmallest(SAMPLE_STRINGS, own))
+                    strings[kind].add((xxhash.xxh64_intdigest(text[x:y].encode()) >> 1, text[x:y]))
+                rest.append(unlabelled(text, spans) if spans else text or "")
+            pairs += background(rest)
+            strings = {kind: set(_sampled(own)) for kind, own in strings.items()}
     rows = [{"kind": kind, "value": value, "n": h} for kind, own in strings.items() for h, value in own]
     n = len(PAIR_SYMBOLS)
     rows += [{"kind": "", "value": PAIR_SYMBOLS[i // n] + PAIR_SYMBOLS[i % n], "n": int(pairs[i])} for i in np.flatnonzero(pairs).tolist()]
@@ -225,12 +251,14 @@ def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def learn(docs: DataFrame) -> Formats:
-    """Fits on all documents: on the sums of their pairs, and on the SAMPLE_STRINGS distinct labelled strings of least hash of each kind."""
+    """Fits on all documents: on the sums of their pairs, and on a sample of each kind's distinct labelled strings by hash."""
     found = stored(docs.select("text").mapInArrow(_labelled, "kind string, value string, n long"), "labelled")
     least = Window.partitionBy("kind").orderBy("n", "value")
-    strings = found.filter("kind <> ''").distinct().withColumn("k", F.row_number().over(least)).filter(F.col("k") <= SAMPLE_STRINGS).select("kind", "value", "n")
+    strings = found.filter("kind <> ''").distinct().withColumn("k", F.row_number().over(least)).filter(F.col("k") <= SAMPLE_STRINGS)
+    before = F.coalesce(F.sum(F.length("value")).over(least.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    strings = strings.withColumn("before", before).filter(F.col("before") < SAMPLE_CHARS).select("kind", "value", "n")
     sums = found.filter("kind = ''").groupBy("kind", "value").agg(F.sum("n").alias("n"))
-    rows = strings.union(sums).collect()  # no more than SAMPLE_STRINGS a kind and PAIR_SYMBOLS squared
+    rows = strings.union(sums).collect()  # a kind's sample and PAIR_SYMBOLS squared
     pairs = {(r.value[0], r.value[1]): r.n for r in rows if not r.kind}
     strings = {kind: [r.value for r in rows if r.kind == kind] for kind in BASE}
     return Formats(strings, Counter(pairs))

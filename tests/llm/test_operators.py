@@ -51,8 +51,72 @@ def sha(text):
     return hashlib.sha256(text.encode()).hexdigest()
 
 
+def own_bin(n):
+    if n < 64:
+        return n, 1.0
+    low = max(k for k in range(400) if 64 * 2 ** (k / 8) <= n * (1 + 1e-12))
+    return 64 + low, 64 * 2 ** ((low + 1) / 8) - 64 * 2 ** (low / 8)
+
+
+def merged_tree(strings):
+    """Counts and ways of the automaton: a prefix tree whose states, in breadth of the red ones, merge with the first red state that agrees.
+
+    States are sets of prefixes; each merge joins sets until what follows is one state for each symbol.
+    """
+    after = defaultdict(lambda: defaultdict(int))
+    for s in strings:
+        for i in range(len(s)):
+            after[s[:i]][s[i]] += 1
+        after[s]["$"] += 1
+    state = {p: frozenset([p]) for p in after}
+
+    def counts(q):
+        total = defaultdict(int)
+        for p in q:
+            for c, n in after[p].items():
+                total[c] += n
+        return total
+
+    def follow(q, c):
+        return next((state[p + c] for p in sorted(q) if p + c in state), None)
+
+    def agree(a, b):
+        x, y = counts(a), counts(b)
+        n, m = sum(x.values()), sum(y.values())
+        bound = np.sqrt(0.5 * np.log(2 / 0.05)) * (1 / np.sqrt(n) + 1 / np.sqrt(m))
+        if any(abs(x[c] / n - y[c] / m) > bound for c in {*x, *y}):
+            return False
+        return all(agree(follow(a, c), follow(b, c)) for c in y if c != "$" and y[c] and x[c])
+
+    def join(a, b):
+        if a == b:
+            return
+        both = a | b
+        for p in both:
+            state[p] = both
+        for c in sorted({*counts(both)} - {"$"}):
+            ends = {state[p + c] for p in both if p + c in state}
+            while len(ends) > 1:
+                first, second, *_ = sorted(ends, key=lambda q: (min(map(len, q)), min(q)))
+                join(first, second)
+                ends = {state[p + c] for p in state[min(both)] if p + c in state}
+
+    red = [""]
+    while True:
+        blue = next((p for q in red for c in sorted({*counts(state[q])} - {"$"}) for p in [min(follow(state[q], c), key=lambda x: (len(x), x))] if not any(p in state[r] for r in red)), None)
+        if blue is None:
+            break
+        into = next((r for r in red if agree(state[r], state[blue])), None)
+        if into is None:
+            red.append(blue)
+        else:
+            join(state[into], state[blue])
+    place = {p: i for i, r in enumerate(red) for p in state[r]}
+    return [dict(counts(state[r])) for r in red], [{c: place[min(follow(state[r], c))] for c in counts(state[r]) if c != "$"} for r in red]
+
+
 def secrets_brute(rows):
-    """The spans and scores of texts by plain loops over characters, and only the merging of states from the module."""
+    """The spans and scores of texts by plain loops over characters."""
     token = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-"
     kinds = ["assign", "access", "hex", "format"]
 
@@ -67,25 +131,34 @@ def secrets_brute(rows):
     strings, pairs = defaultdict(set), defaultdict(int)
     for _, t in rows:
         for _, kind, _, (a, b) in base(t or ""):
-            strings[kind].add((t or "")[a : min(b, a + 96)])
-        for word in (t or "").split():
-            if len(word) >= 8 and not any(c.isdigit() for c in word):
+            strings[kind].add((t or "")[a:b])
+        covered = {i for a, _, b, _ in base(t or "") for i in range(a, b)}
+        for word in "".join(" " if i in covered else c for i, c in enumerate(t or "")).split():
+            if len(word) >= 8:
                 around = "$" + "".join(map(symbol, word)) + "$"
                 for x, y in zip(around, around[1:]):
                     pairs[x, y] += 1
-    automata = [secrets.Automaton(sorted(sorted(v, key=lambda x: (xxhash.xxh64_intdigest(x.encode()) >> 1, x))[:300])) for _, v in sorted(strings.items())]
+    automata = []
+    for _, v in sorted(strings.items()):
+        sample = []
+        for x in sorted(v, key=lambda x: (xxhash.xxh64_intdigest(x.encode()) >> 1, x))[:300]:
+            if sum(map(len, sample)) < 200_000:
+                sample.append(x)
+        m = secrets.Automaton(sorted(sample))  # test_merging_equals_brute_force has no part of it
+        automata.append(((m.count, m.next), [own_bin(len(x)) for x in sample]))
 
     def score(word):
         classes = "".join(map(symbol, word))
         around, ground, best = "$" + classes + "$", 0.0, -np.inf
         for x, y in zip(around, around[1:]):
             ground += np.log((pairs[x, y] + 1) / (sum(pairs[x, z] for z in "$?HAha0+/_.=-") + 12))
-        for m in automata:
-            total, at = np.log((m.lengths[min(len(word), 96)] + 0.1) / (sum(m.lengths.values()) + 9.6)), 0
+        for (counts, ways), lengths in automata:
+            here = own_bin(len(word))
+            total, at = np.log((lengths.count(here) + 0.1) / (len(lengths) + 12.8) / here[1]), 0
             for c in classes:
-                ways = {k: n for k, n in m.count[at].items() if k != "$"}
-                total += np.log((ways.get(c, 0) + 0.1) / (sum(ways.values()) + 1.1))
-                at = m.next[at].get(c, 0)
+                n = sum(k for x, k in counts[at].items() if x != "$")
+                total += np.log((counts[at].get(c, 0) + 0.1) / (n + 1.1))
+                at = ways[at].get(c, 0)
             best = max(best, total)
         return (best - ground) / (len(classes) + 1)
 
@@ -677,6 +750,50 @@ def test_band_recall_at_four_edits():
     assert total > 250 and found / total > 0.97
 
 
+def test_secrets_are_told_from_numbers(spark):
+    """Several planted formats: held-out strings are found, numbers, dates, identifiers and long words are not."""
+    rng = np.random.default_rng(8)
+    letters, mixed, hexes = list("abcdefghijklmnopqrstuvwxyz"), list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"), list("0123456789abcdef")
+    of = lambda alphabet, n: "".join(rng.choice(alphabet, n))
+    made = {"prefixed": lambda: "ghp_" + of(mixed, 36), "mixed": lambda: of(mixed, 40), "marked": lambda: f"sk-live.{of(hexes, 12)}.{of(hexes, 12)}=="}
+    numbers = {"number": lambda: of(list("0123456789"), int(rng.integers(20, 34))), "date": lambda: f"2024-0{rng.integers(1, 10)}-1{rng.integers(0, 10)}T10:{rng.integers(10, 60)}:00.000000000", "uuid": lambda: "-".join(of(hexes, n) for n in (8, 4, 4, 4, 12)), "word": lambda: of(letters, 24)}
+    prose = lambda: " ".join(of(letters, int(rng.integers(4, 12))) for _ in range(40))
+    docs, held, others = [], [], []
+    for i in range(400):
+        text = f"{prose()} {numbers['number']()} {numbers['date']()} {numbers['uuid']()} {numbers['word']()} "
+        docs.append((i, text + f"token = {made[sorted(made)[i % 3]]()} {prose()}"))
+    for i in range(60):
+        kind = sorted(made)[i % 3]
+        held.append((1000 + i, f"{prose()} {(x := made[kind]())} {prose()}"))
+    for i in range(80):
+        others.append((2000 + i, f"{prose()} {numbers[sorted(numbers)[i % 4]]()} {prose()}"))
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    formats = secrets.learn(frame(docs))
+    assert len(formats.automata["assign"].next) > 3
+    assert secrets.scan(frame(held), formats).filter("n_format = 1").count() >= 54
+    assert secrets.scan(frame(others), formats).agg(F.sum("n_format")).first()[0] == 0
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_merging_equals_brute_force(seed):
+    rng = np.random.default_rng(seed)
+    classes = {"A": "GHXYZ", "H": "ABCDEF", "a": "ghxyz", "h": "abcdef", "0": "0123456789"}
+    forms = ["A0", "0h", "Hh0", "a.", "0"][: 2 + seed % 4]
+    strings = {"k" * int(seed % 3) + "".join(rng.choice(list("".join(classes.get(x, x) for x in forms[i % len(forms)])), int(rng.integers(3, 14)))) + ("-x" if i % 3 else "=") for i in range(40 * (1 + seed))}
+    automaton = secrets.Automaton(sorted(strings))
+    named = {c: k for k, own in classes.items() for c in own} | {"k": "a"}
+    counts, ways = merged_tree(["".join(named.get(c, c) for c in x) for x in sorted(strings)])
+    assert [dict(c) for c in automaton.count] == counts and automaton.next == ways
+
+
+def test_long_labelled_strings_are_learned_whole():
+    strings = ["a" * 300 + "0" * 10 for _ in range(5)] + ["a" * 200]
+    automaton = secrets.Automaton(strings)
+    assert sum(sum(c.values()) for c in automaton.count) == sum(map(len, strings)) + len(strings)
+    assert {secrets.length_bin(n)[0] for n in (63, 64, 69, 70, 5000)} == {63, 64, 65, 114} and secrets.length_bin(96) != secrets.length_bin(5000)
+    assert [x for _, x in secrets._sampled({(i, "x" * 150_000) for i in range(9)})] == ["x" * 150_000] * 2
+
+
 def test_secret_candidates_are_scored_whole():
     class Heard:
         def __init__(self):
@@ -705,7 +822,7 @@ def test_secrets_are_learned_from_all_documents(spark):
     assert set(formats.automata) == {"access"}
     pairs = secrets.Counter()
     for word in " ".join(made).split():
-        if len(word) >= 8 and not any(c.isdigit() for c in word):
+        if len(word) >= 8 and not word.startswith("AKIA"):
             classes = "".join(c.translate(secrets._CLASSES) if c.isascii() and (c.isalnum() or c in "+/_.=-") else "?" for c in word)
             around = "$" + classes + "$"
             pairs.update(zip(around[:-1], around[1:], strict=True))
