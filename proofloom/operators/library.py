@@ -139,15 +139,16 @@ class Library:
 
     # Ingests
 
-    def ingest(self, chunks: DataFrame, files: DataFrame | None = None) -> dict:
+    def ingest(self, chunks: DataFrame, files: DataFrame | None = None, replace_editions: bool = False) -> dict:
         """Adds chunks (chunk_id, publication_name, edition_date, section_id, chunk_text[, section_title, page_number]) in
         place of those of the same ids, and registers files (filename, publication_name, edition_date, ingested_at); returns
-        the new manifest. Of rows that share an id the one of greatest text stays."""
+        the new manifest. Of rows that share an id the one of greatest text stays. Old chunks that the new ones do not name
+        stay too, unless replace_editions says that the new ones are all of their editions."""
         old = self.manifest()
         self._sweep([s["name"] for s in old["segments"]])
         name = uuid.uuid4().hex
         try:
-            new = self._written(chunks, files, old, f"{self.path}/segments/{name}", name)
+            new = self._written(chunks, files, old, f"{self.path}/segments/{name}", name, replace_editions)
             self._audit(new, f"{self.path}/segments/{name}", old)
             self._publish(new)
         except BaseException:
@@ -158,7 +159,7 @@ class Library:
     def _undo(self, name: str) -> None:
         self._fs.delete(self._class(f"{self.path}/segments/{name}"), True)
 
-    def _written(self, chunks: DataFrame, files: DataFrame | None, old: dict, at: str, name: str) -> dict:
+    def _written(self, chunks: DataFrame, files: DataFrame | None, old: dict, at: str, name: str, replace_editions: bool) -> dict:
         for c, kind in _OPTIONAL.items():
             if c not in chunks.columns:
                 chunks = chunks.withColumn(c, F.lit(None).cast(kind))
@@ -179,7 +180,8 @@ class Library:
                 for p, e in editions:
                     where = where | (F.col("publication_name").eqNullSafe(p) & F.col("edition_date").eqNullSafe(e))
                 held = held.filter(where)
-            gone = stored(held.join(rows.select("chunk_id"), "chunk_id", "left_semi").select("no", "dl", "chunk_text"), "gone")
+            by = list(EDITION) if replace_editions else ["chunk_id"]
+            gone = stored(held.join(rows.select(*by).distinct(), by, "left_semi").select("no", "dl", "chunk_text"), "gone")
             gone.select("no").write.parquet(f"{at}/dead")
 
         placed = rows.select(F.expr(f"no div {WINDOW}").alias("window"), "no", "dl", "chunk_text").repartition("window")

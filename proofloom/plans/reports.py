@@ -131,6 +131,11 @@ def retrieved_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hybrid(spark, sf_dir).join(stored_chunks(spark, sf_dir), "chunk_id").select("query_id", "rank", "publication_name", "edition_date", "section_id", F.md5("chunk_text").alias("digest"))
 
 
+@query("retrieval_records", FUSED + "SELECT query_id, chunk_id, concat_ws('_', publication_name, edition_date, section_id, 'c' || (rank - 1)) AS record_id, section_id, publication_name, edition_date, dense_score, bm25_score, rrf_score, rank FROM g JOIN c USING (chunk_id)")
+def retrieval_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Q.score_records(hybrid(spark, sf_dir), chunk_ids(spark, sf_dir)).select("query_id", "chunk_id", "record_id", "section_id", "publication_name", "edition_date", "dense_score", "bm25_score", "rrf_score", "rank")
+
+
 @query("requirement_sources", FUSED + "SELECT query_id, md5(string_agg('[' || publication_name || ' | ' || edition_date || ' | Section ' || section_id || ']' || chr(10) || chunk_text || chr(10) || chr(10), '' ORDER BY rank)) AS digest FROM g JOIN c USING (chunk_id) WHERE rank <= 5 GROUP BY query_id")
 def requirement_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = hybrid(spark, sf_dir, DEFAULT.requirement_k).join(stored_chunks(spark, sf_dir), "chunk_id")

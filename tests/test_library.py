@@ -169,3 +169,11 @@ def test_register_and_empty_library(spark, tmp_path):
     assert lib.documents().count() == 4 and lib.manifest()["n"] == 2
     got = A.retrieved(lib, asked, vectors).collect()
     assert [(r.chunk_id, r["rank"]) for r in got] == [("c", 1)]
+
+
+def test_an_edition_can_be_replaced(spark, tmp_path):
+    lib = Library(spark, str(tmp_path), buckets=2)
+    lib.ingest(frame(spark, [("a0", "A", "1", "s", "gold one"), ("a1", "A", "1", "s", "gold two"), ("b0", "B", "1", "s", "gold three")]))
+    lib.ingest(frame(spark, [("a0", "A", "1", "s", "silver")]), replace_editions=True)
+    assert {r.chunk_id: r.chunk_text for r in lib.chunks().collect()} == {"a0": "silver", "b0": "gold three"}
+    assert {r.term: r.nd for r in lib.terms().collect()} == {"silver": 1, "gold": 1, "three": 1} and lib.manifest()["words"] == 3
