@@ -270,3 +270,23 @@ def test_bm25_splits_documents_once(spark):
     """Scores come from written tokens: the plan reads the chunks' source nowhere, and only asked terms move."""
     plan = QUERIES["bm25_topk"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "documents.parquet" not in plan
+
+
+def test_bm25_scores_do_not_move(spark):
+    """A chunk's scores come from the task that holds its words; repeated words, blocks of queries and odd rows are all in them."""
+    texts = ["red red blue", "Red", "", None, "green tape " * 40, "blue tape"]
+    index = Q.bm25_index(spark.createDataFrame(list(enumerate(texts)), "chunk_id int, chunk_text string"))
+    queries = spark.createDataFrame([(1, "red tape red"), (2, "blue"), (3, "unknown"), (4, None), (None, "tape")], "query_id int, query string")
+    idf, mean = {r.term: r.idf for r in index.terms.collect()}, index.totals.first().avgdl
+    want = {}
+    for c, t in enumerate(texts):
+        w = (t or "").lower().split()
+        for q, asked in queries.collect():
+            parts = [idf[x] * w.count(x) * 2.5 / (w.count(x) + 1.5 * (0.25 + 0.75 * len(w) / mean)) for x in (asked or "").lower().split() if x in w]
+            if sum(parts) > 0:
+                want[q, c] = pytest.approx(sum(parts), abs=2e-6)
+    for p in (DEFAULT, replace(DEFAULT, max_queries=2)):
+        scores = Q.bm25_scores(index, queries, p)
+        assert {(r.query_id, r.chunk_id): r.bm25_score for r in scores.collect()} == want
+        assert {(r.query_id, r.chunk_id) for r in scores.collect()} == set(want)
+        assert "Exchange" not in scores._jdf.queryExecution().executedPlan().toString()
