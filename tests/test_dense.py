@@ -75,3 +75,15 @@ def test_recall_on_the_documents(spark):
     got = QUERIES["dense_index_topk"](spark, SF).toPandas()
     kth = exact.groupby("query_id").dense_score.min()
     assert (got.dense_score >= got.query_id.map(kth) - 1e-9).sum() / len(exact) >= 0.9
+
+
+def test_training_rows_are_those_of_least_hash(spark):
+    """The bound that is looked at first changes no row, whatever the number of rows, and few rows pass it."""
+    from proofloom.operators.dense import _least
+
+    for total in (150, 5000):
+        hashed = spark.range(total).selectExpr("cast(id as string) AS chunk_id", "array(cast(id as double)) AS embedding", "xxhash64(cast(id as string)) AS h").repartition(4)
+        want = [r.chunk_id for r in hashed.orderBy("h", "chunk_id").limit(100).collect()]
+        few = _least(hashed, 100)
+        assert [r.chunk_id for r in few.collect()] == want
+        assert ("training" in str(few.inputFiles())) == (total == 5000)
