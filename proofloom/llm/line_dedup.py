@@ -4,14 +4,16 @@
    (all of it if it is shorter). One hash a shingle is dealt into BANDS x ROWS bins, each keeping its least value; empty
    bins borrow from the next one that is filled. The rows of a band make one key. With 12 bands of 5 rows, lines of
    Jaccard 0.8 share a key with probability 0.99.
-2. Lists. The lines of a key form a list; of lists with the same lines one is kept. A list travels as its lines' hashes,
+2. Lists. Keys move packed, many in a row, and are sorted as arrays where they meet; what a key has alone stays there. The
+   lines of a key form a list; of lists with the same lines one is kept. A list travels as its lines' hashes,
    set sizes and parity sketches; a list of more than BLOCK lines is dealt into blocks, and each pair of blocks is a
    group of its own. Within a group, sizes and sketches rule pairs out as whole arrays, in memory of a bounded size; of
    those left a forest, nearest first, is given, since a pair between lines that are already connected says nothing new.
 3. Verification. The exact Jaccard of the shingle sets decides each pair given. Lists that hold a refused pair are gone
    through again for all pairs that lie in different components, so no pair of a list is left out, and only pairs that
-   sketches cannot tell from links become rows. Texts of lines are fetched for verified pairs only, by a Bloom filter of
-   at most BLOOM_BYTES; the more lines there are, the more others pass it, which costs and changes nothing.
+   sketches cannot tell from links become rows. The lines of lists are fetched once, with their sketches, by a Bloom filter
+   of at most BLOOM_BYTES; the more lines there are, the more others pass it, which costs and changes nothing. Of them only
+   those of pairs move again, to be verified.
 4. Components, by distributed union-find; of each the first occurrence stays, by doc_id, then place in the text.
 
 Equal lines (as normalised) are one line from the start. Lines of white space are neither counted nor removed. Null texts
@@ -28,17 +30,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import group_edges, group_pairs, slices, small_and_large, stored, table, whole_groups
 from .graph import components
 from .hashing import mixed, power
 
 SHINGLE, BANDS, ROWS, SIMILARITY, SEED = 5, 12, 5, 0.8, 11
-BATCH_BYTES = 1_000_000
+#: Bytes of texts at a time: as rows come and go, and what hashing and sorting keep near the processor.
+BATCH_BYTES, HASH_BYTES, SORT_BYTES = 1_000_000, 250_000, 50_000
+#: How many (band, line) a task packs at a time.
+PACKED = 1_000_000
 BLOOM_BYTES, BLOOM_BITS = 64_000_000, 12
 BLOCK = 8192
 SKETCH_BITS = 1024
@@ -65,10 +70,10 @@ def shingle_hashes(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     chars = np.frombuffer("".join(padded).encode("utf-32-le"), np.uint32)
     sums = np.zeros(len(chars) + 1, _U)
     np.cumsum((chars.astype(_U) + _U(SEED)) * power("up", len(chars)), out=sums[1:])
-    counts = sizes - SHINGLE + 1
-    own = np.repeat(np.arange(len(lines)), counts)
-    at = np.arange(len(own)) + own * (SHINGLE - 1)  # each line before has SHINGLE - 1 places where none begins
-    return mixed((sums[at + SHINGLE] - sums[at]) * power("down", len(chars))[at]), own
+    within = np.ones(max(0, len(chars) - SHINGLE + 1), bool)  # at the last SHINGLE - 1 places of a line none begins
+    within[(np.cumsum(sizes)[:-1, None] - np.arange(1, SHINGLE)).ravel()] = False
+    hashes = (sums[SHINGLE:] - sums[:-SHINGLE]) * power("down", len(chars))[: len(within)]
+    return mixed(hashes[within]), np.repeat(np.arange(len(lines)), sizes - SHINGLE + 1)
 
 
 def band_keys(lines: list[bytes]) -> np.ndarray:
@@ -80,11 +85,11 @@ def band_keys(lines: list[bytes]) -> np.ndarray:
     at = own * k + ((hashes >> _U(32)) * _U(k) >> _U(32)).astype(np.int64)
     np.minimum.at(bins, at, (hashes & _U(0xFFFFFFFE)).astype(np.uint32))
     bins = bins.reshape(-1, k).astype(_U)
-    step = 0
-    while (gap := bins == empty).any() and step < k:  # an empty bin borrows from the next filled one, with its distance
-        step += 1
-        source = np.roll(bins, -1, axis=1)
-        bins = np.where(gap & (source != empty), source + _U(0x9E3779B900000000), bins)
+    some = np.flatnonzero((bins == empty).any(axis=1))  # an empty bin borrows from the next filled one, with its distance
+    twice = np.where(bins[some] == empty, 2 * k, np.arange(k))
+    twice = np.concatenate([twice, np.minimum(twice + k, 2 * k)], axis=1)
+    source = np.minimum.accumulate(twice[:, ::-1], axis=1)[:, ::-1][:, :k]
+    bins[some] = np.take_along_axis(bins[some], source % k, axis=1) + (source - np.arange(k)).astype(_U) * _U(0x9E3779B900000000)
     keys = np.zeros((len(lines), BANDS), _U)
     for r in range(ROWS):
         keys = mixed(keys * _U(0x9E3779B97F4A7C15) + bins.reshape(len(lines), BANDS, ROWS)[:, :, r])
@@ -97,29 +102,80 @@ def _lines(text: str | None) -> Iterator[tuple[int, bytes]]:
             yield i, own
 
 
+def _split(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """The normalised lines of a column of texts, but for those of white space: each one's row, place in its text, and bytes."""
+    lists = pc.split_pattern(texts.fill_null(""), "\n")
+    lines = pc.ascii_lower(pc.utf8_trim(lists.flatten(), WHITE))
+    sizes = lists.value_lengths().to_numpy()
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    place = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    solid = pc.greater(pc.binary_length(lines), 0)
+    at = solid.to_numpy(zero_copy_only=False)
+    return row[at], place[at], lines.filter(solid).cast(pa.binary()).to_pylist()
+
+
+def _hashed(lines: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, lines), _U, len(lines)).view(np.int64)
+
+
 def _occurring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for batch in slices(whole, "text", BATCH_BYTES):
-            docs, digests, places, hashes = [], [], [], []
-            for doc_id, digest, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "digest", "text")), strict=True):
-                for i, line in _lines(text):
-                    docs.append(doc_id)
-                    digests.append(digest)
-                    places.append(i)
-                    hashes.append(line_hash(line))
-            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(digests, pa.int64()), pa.array(places, pa.int32()), pa.array(hashes, pa.int64())], names=["doc_id", "digest", "place", "line"])
-
-
-def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    done: set[int] = set()
-    for whole in batches:
-        for batch in slices(whole, "text", BATCH_BYTES):
-            lines = _known(done, batch)
-            if not lines:
-                continue
-            done.update(lines)
-            keys = band_keys(list(lines.values()))
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(np.fromiter(lines, np.int64, len(lines)), BANDS))], names=["band", "line"])
+            row, place, lines = _split(batch.column("text"))
+            own = [batch.column(c).take(pa.array(row)) for c in ("doc_id", "digest")]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(place.astype(np.int32)), pa.array(_hashed(lines))], names=["doc_id", "digest", "place", "line"])
+
+
+def _packed(parts: int):
+    """(part, entries) of texts: the (band, line) of their lines, of each part many in one row."""
+
+    def rows(bands: np.ndarray, lines: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for i in range(0, len(bands), PACKED):
+            entries = np.stack([bands[i : i + PACKED], lines[i : i + PACKED]], axis=1)
+            part = ((entries[:, 0].view(_U) >> _U(32)) * _U(parts) >> _U(32)).astype(np.int32)
+            order = np.argsort(part, kind="stable")
+            begins = group_edges(part[order])
+            offsets = np.append(begins, len(order)).astype(np.int32) * np.int32(entries.itemsize * 2)
+            packed = pa.Array.from_buffers(pa.binary(), len(begins), [None, pa.py_buffer(offsets), pa.py_buffer(entries[order])])
+            yield pa.RecordBatch.from_arrays([pa.array(part[order][begins]), packed], names=["part", "entries"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: set[int] = set()
+        keys, own, held = [], [], 0
+        for whole in batches:
+            for batch in slices(whole, "text", HASH_BYTES):
+                lines = _known(done, batch)
+                if not lines:
+                    continue
+                done.update(lines)
+                keys.append(band_keys(list(lines.values())).ravel())
+                own.append(np.repeat(np.fromiter(lines, np.int64, len(lines)), BANDS))
+                held += len(own[-1])
+                if held >= PACKED:
+                    yield from rows(np.concatenate(keys), np.concatenate(own))
+                    keys, own, held = [], [], 0
+        if held:
+            yield from rows(np.concatenate(keys), np.concatenate(own))
+
+    return run
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(band, line), each once, of the bands of two lines and more, from rows (part, entries) that come part by part."""
+    for whole in whole_groups(batches, ("part",), 4 * BLOCK, 16_000_000):
+        entries = np.frombuffer(b"".join(whole.column("entries").to_pylist()), np.int64).reshape(-1, 2)
+        order = np.argsort(entries[:, 0])
+        entries = entries[order[_several(entries[order, 0])]]
+        entries = entries[np.lexsort((entries[:, 1], entries[:, 0]))]
+        entries = entries[group_edges(entries[:, 0], entries[:, 1])]  # each once, and so some bands have one line now
+        entries = entries[_several(entries[:, 0])]
+        yield pa.RecordBatch.from_arrays([pa.array(entries[:, 0]), pa.array(entries[:, 1])], names=["band", "line"])
+
+
+def _several(keys: np.ndarray) -> np.ndarray:
+    """The places of those of the sorted keys that are there more than once."""
+    counts = np.diff(np.append(group_edges(keys), len(keys)))
+    return np.flatnonzero(np.repeat(counts > 1, counts))
 
 
 def _bloom_places(h: np.ndarray, bits: int, hashes: int) -> np.ndarray:
@@ -130,14 +186,15 @@ def _bloom_places(h: np.ndarray, bits: int, hashes: int) -> np.ndarray:
 
 def _known(done: set[int], batch: pa.RecordBatch) -> dict[int, bytes]:
     """The distinct lines of a batch by hash, but for those that this task has dealt with; forgetting some only repeats their rows."""
-    lines = {h: line for text in batch.column("text").to_pylist() for _, line in _lines(text) if (h := line_hash(line)) not in done}
+    lines = _split(batch.column("text"))[2]
+    lines = {h: line for h, line in zip(_hashed(lines).tolist(), lines, strict=True) if h not in done}
     if len(done) > 300_000:
         done.clear()
     return lines
 
 
-def _of_lines(docs: DataFrame, wanted: DataFrame, limit: int, sketches: bool) -> DataFrame:
-    """(line, n, cells) or (line, words) for the lines in wanted, and perhaps some others: each once."""
+def _of_lines(docs: DataFrame, wanted: DataFrame, limit: int) -> DataFrame:
+    """(line, n, cells, words) for the lines in wanted, and perhaps some others: each once."""
     n = wanted.count()
     size = max(64, min(limit, math.ceil(n * BLOOM_BITS / 8)))
     hashes = max(1, min(5, round(size * 8 / max(1, n) * math.log(2))))
@@ -168,16 +225,12 @@ def _of_lines(docs: DataFrame, wanted: DataFrame, limit: int, sketches: bool) ->
                     continue
                 done.update(hashed.tolist())
                 some = [lines[h] for h in hashed.tolist()]
-                if sketches:
-                    keys, starts = shingle_sets(some)
-                    cells = pa.array([x.tobytes() for x in parity_sketches(keys, starts)], pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array(hashed), pa.array(np.diff(starts)), cells], names=["line", "n", "cells"])
-                else:
-                    yield pa.RecordBatch.from_arrays([pa.array(hashed), pa.array(some, pa.binary())], names=["line", "words"])
+                keys, starts = shingle_sets(some)
+                cells = pa.array([x.tobytes() for x in parity_sketches(keys, starts)], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(hashed), pa.array(np.diff(starts)), cells, pa.array(some, pa.binary())], names=["line", "n", "cells", "words"])
 
-    columns = ("n long", "cells binary") if sketches else ("words binary",)
-    found = docs.select("text").mapInArrow(run, ", ".join(("line long", *columns)))
-    return found.groupBy("line").agg(*(F.first(c.split()[0]).alias(c.split()[0]) for c in columns))
+    found = docs.select("text").mapInArrow(run, "line long, n long, cells binary, words binary")
+    return found.repartition("line").dropDuplicates(["line"])  # moved first, as few repeat within a task and a sort of texts costs more
 
 
 def shingle_sets(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -185,7 +238,7 @@ def shingle_sets(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     keys, counts, at = [], [], 0
     while at < len(lines):
         to, size = at, 0
-        while to < len(lines) and to - at < 1000 and (to == at or size + len(lines[to]) < BATCH_BYTES):
+        while to < len(lines) and to - at < 1000 and (to == at or size + len(lines[to]) < SORT_BYTES):
             size += len(lines[to])
             to += 1
         hashes, own = shingle_hashes(lines[at:to])
@@ -304,30 +357,30 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def similar_lines(docs: DataFrame, bloom_limit: int = BLOOM_BYTES) -> DataFrame:
     """(node, component) of line hashes: lines that are alike, directly or through others."""
-    return similar_in_lists(docs.select("text").mapInArrow(_banded, "band long, line long"), docs, bloom_limit)
+    parts = 8 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    packed = docs.select("text").mapInArrow(_packed(parts), "part int, entries binary")
+    return similar_in_lists(packed.repartition("part").sortWithinPartitions("part").mapInArrow(_shared, "band long, line long"), docs, bloom_limit)
 
 
 def similar_in_lists(bands: DataFrame, docs: DataFrame, bloom_limit: int = BLOOM_BYTES, block: int = BLOCK) -> DataFrame:
-    """(node, component) of the lines of docs that lists (band, line) bring together and that are alike."""
-    order = Window.partitionBy("band").orderBy("line")
-    near = bands.withColumns({"head": F.first("line").over(order), "before": F.lag("line").over(order)}).filter("line <> head AND line <> before")
-    near = stored(near.select("band", "head", "line"), "band-lists")
+    """(node, component) of the lines of docs that lists (band, line), each row once, bring together and that are alike."""
+    bands = stored(bands, "band-lists")
     # Lines that are alike share most of their lists: of the lists with the same lines one is enough.
-    same = [F.count("*").alias("n"), *(F.bit_xor(F.xxhash64("line", F.lit(i))).alias(f"x{i}") for i in (0, 1))]
-    kept = near.groupBy("band", "head").agg(*same).groupBy("head", "n", "x0", "x1").agg(F.min("band").alias("band")).select("band", F.col("head").alias("line"), F.ceil((F.col("n") + 1) / block).cast("int").alias("blocks"))
-    kept = stored(kept, "kept-lists")
-    lists = near.select("band", "line").join(kept.select("band", "blocks"), "band").union(kept.select("band", "line", "blocks"))
+    same = [F.min("line").alias("head"), F.count("*").alias("n"), *(F.bit_xor(F.xxhash64("line", F.lit(i))).alias(f"x{i}") for i in (0, 1))]
+    kept = bands.groupBy("band").agg(*same).filter("n > 1").groupBy("head", "n", "x0", "x1").agg(F.min("band").alias("band"))
+    lists = bands.join(kept.select("band", F.ceil(F.col("n") / block).cast("int").alias("blocks")), "band")
     lists = stored(lists.withColumn("block", F.pmod(F.xxhash64("line"), F.col("blocks")).cast("int")), "lists")
-    sketches = stored(_of_lines(docs, lists.select("line").distinct(), bloom_limit, True), "sketches")
+    sketches = stored(_of_lines(docs, lists.select("line").distinct(), bloom_limit), "sketches")
 
     def pairs(some: DataFrame, forest: bool) -> DataFrame:
         dealt = some.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         part = F.xxhash64("band", F.least("block", "other"), F.greatest("block", "other"))
-        rows = dealt.select(part.alias("part"), "band", "block", "component", "line").join(sketches, "line")
+        rows = dealt.select(part.alias("part"), "band", "block", "component", "line").join(sketches.drop("words"), "line")
         return rows.repartition("part").sortWithinPartitions("part", "band").mapInArrow(_pairs(forest), "a long, b long").distinct()
 
     def verified(some: DataFrame) -> DataFrame:
-        words = stored(_of_lines(docs, some.select(F.explode(F.array("a", "b")).alias("line")).distinct(), bloom_limit, False), "lines")
+        lines = some.select(F.explode(F.array("a", "b")).alias("line")).distinct()
+        words = stored(sketches.select("line", "words").join(lines, "line", "left_semi"), "lines")
         side = lambda k: words.select(F.col("line").alias(k), F.col("words").alias(f"w_{k}"))
         return stored(some.join(side("a"), "a").join(side("b"), "b").mapInArrow(_similar, "a long, b long"), "line-links").toDF("u", "v")
 
@@ -341,23 +394,23 @@ def similar_in_lists(bands: DataFrame, docs: DataFrame, bloom_limit: int = BLOOM
     again = lists.join(lists.join(refused.select(F.col("a").alias("line")).distinct(), "line", "left_semi").select("band").distinct(), "band", "left_semi")
     again = again.join(found.withColumnRenamed("node", "line"), "line", "left").withColumn("component", F.coalesce("component", "line"))
     left = stored(pairs(again, False).join(given, ["a", "b"], "left_anti"), "line-pairs")
-    return found if left.isEmpty() else components(links.union(verified(left)))
+    return found if left.isEmpty() else components(verified(left).union(found))
 
 
 def deduplicated(docs: DataFrame, bloom_limit: int = BLOOM_BYTES) -> DataFrame:
     """docs with texts that keep one line of each component, and n_lines and n_kept, the non-empty lines before and after."""
     # A document travels as one column, so its own columns never clash with those of the search.
     own = docs.drop("n_lines", "n_kept")
-    keyed = own.select(F.struct("*").alias("own"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("digest"), "text")
-    found = stored(keyed.select("doc_id", "digest", "text").mapInArrow(_occurring, "doc_id long, digest long, place int, line long"), "occurrences")
+    keyed = own.select(F.struct("*").alias("own"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("digest"))
+    found = stored(keyed.select("doc_id", "digest", "own.text").mapInArrow(_occurring, "doc_id long, digest long, place int, line long"), "occurrences")
     alike = stored(similar_lines(docs, bloom_limit), "alike")
-    place = F.struct("doc_id", "place", "digest")
-    each = found.groupBy("line").agg(F.min(place).alias("first"), F.count("*").alias("k"))
-    each = each.join(alike.withColumnRenamed("node", "line"), "line", "left").filter("k > 1 OR component IS NOT NULL")
-    firsts = each.groupBy(F.coalesce("component", "line").alias("component")).agg(F.min("first").alias("first"), F.sum("k").alias("k")).filter("k > 1")
-    firsts = stored(firsts.select("component", "first"), "firsts")
-    heads = each.select("line", F.coalesce("component", "line").alias("component")).join(firsts, "component").select("line", "first")
-    repeats = found.join(heads, "line").filter(~F.col("first").eqNullSafe(place))
+    each = found.groupBy("line").agg(F.count("*").alias("k")).join(alike.withColumnRenamed("node", "line"), "line", "left")
+    each = stored(each.filter("k > 1 OR component IS NOT NULL").select("line", F.coalesce("component", "line").alias("component")), "repeated")
+    place = F.struct("doc_id", "place", "digest").alias("place")
+    places = stored(found.join(each, "line").select("component", place), "places")
+    firsts = places.groupBy("component").agg(F.min("place").alias("first"), F.count("*").alias("k")).filter("k > 1")
+    firsts = stored(firsts.select("component", "first"), "firsts")  # so that the join can split a large component
+    repeats = places.join(firsts, "component").filter("NOT first <=> place").select("place.*")
     gone = repeats.groupBy("doc_id", "digest").agg(F.collect_set("place").alias("gone"))
     return _rewritten(keyed, gone, own.columns)
 
@@ -365,10 +418,10 @@ def deduplicated(docs: DataFrame, bloom_limit: int = BLOOM_BYTES) -> DataFrame:
 def _rewritten(keyed: DataFrame, gone: DataFrame, columns: list[str]) -> DataFrame:
     gone = gone.select(F.col("doc_id").alias("gone_id"), F.col("digest").alias("gone_digest"), "gone")
     joined = keyed.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.col("digest") == F.col("gone_digest")), "left")
-    joined = joined.withColumn("all", F.split("text", "\n", -1)).withColumn("gone", F.coalesce("gone", F.expr("cast(array() as array<int>)")))
+    joined = joined.withColumn("all", F.split("own.text", "\n", -1)).withColumn("gone", F.coalesce("gone", F.expr("cast(array() as array<int>)")))
     left = F.expr("array_join(transform(array_except(sequence(0, size(all) - 1), gone), i -> all[i]), '\n')")
     n = F.coalesce(F.expr("cast(size(filter(all, x -> x rlike '(?U)\\\\S')) as bigint)"), F.lit(0))
-    text = F.when(F.size("gone") > 0, left).otherwise(F.col("text"))
+    text = F.when(F.size("gone") > 0, left).otherwise(F.col("own.text"))
     return joined.select(*(text.alias(c) if c == "text" else F.col("own").getField(c).alias(c) for c in columns), n.alias("n_lines"), (n - F.size("gone")).alias("n_kept"))
 
 

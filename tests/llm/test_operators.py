@@ -8,6 +8,7 @@ from collections import defaultdict
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -556,6 +557,26 @@ def test_line_dedup_of_one_long_text(spark):
     assert got.text == "\n".join([*lines, long]) and (got.n_lines, got.n_kept) == (6002, 3001)
 
 
+def test_line_keys_move_packed():
+    """Few rows move, and give each line once to each key of several lines; lines and hashes are those of single texts."""
+    texts = ["Same line\nown a\n\n \u3000", "same LINE \nsame line!\nown b", None, "", "x\r\n\u00c9\n\x1c\x00", *("some other line of words no. %d" % (i // 3) for i in range(600))]
+    row, place, lines = line_dedup._split(pa.array(texts))
+    expected = [(i, *x) for i, t in enumerate(texts) for x in line_dedup._lines(t)]
+    assert list(zip(row.tolist(), place.tolist(), lines, strict=True)) == expected
+    assert line_dedup._hashed(lines).tolist() == [line_dedup.line_hash(x) for x in lines]
+    batches = [pa.RecordBatch.from_pydict({"text": pa.array(texts[i : i + 200])}) for i in range(0, len(texts), 200)]
+    packed = [b for one in batches for b in line_dedup._packed(4)(iter([one]))]  # three tasks
+    assert sum(b.num_rows for b in packed) <= 4 * len(batches)
+    dealt = pa.Table.from_batches(packed).sort_by("part").to_batches()
+    got = [r for b in line_dedup._shared(iter(dealt)) for r in zip(b.column("band").to_pylist(), b.column("line").to_pylist(), strict=True)]
+    lists, own = defaultdict(set), list({*lines})
+    for x, keys in zip(own, line_dedup.band_keys(own).tolist(), strict=True):
+        for k in keys:
+            lists[k].add(line_dedup.line_hash(x))
+    assert sorted(got) == sorted((k, x) for k, some in lists.items() if len(some) > 1 for x in some) and got
+    assert not sum(b.num_rows for b in line_dedup._shared(iter(line_dedup._packed(4)(iter([pa.RecordBatch.from_pydict({"text": pa.array(["alone"])})])))))
+
+
 def test_line_recall_on_documents(spark):
     """Of the similar pairs among the lines of real texts, how many lists bring together."""
     texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
